@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from semspark.llm import simhash
+from semspark.llm import language, mixing, nndescent, packing, pii, secrets, simhash, topk
 from semspark.llm.common import Query
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_secrets": secrets.op2_secrets,
+        "op3_language": language.op3_language,
+        "op5_packing": packing.op5_packing,
+        "op6_topk": topk.op6_topk,
+        "op7_mixing": mixing.op7_mixing,
+        "op8_nndescent": nndescent.op8_nndescent,
         "op9_simhash": simhash.op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}
