@@ -22,6 +22,7 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,33 +56,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()], schema=schema)
-
-
-def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Batches of a partition sorted by key, regrouped so that no key is spread over two; columns as numpy arrays."""
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """Batches of a partition sorted by key, regrouped to about so many rows, no key being spread over two; columns as
+    numpy arrays."""
     held: list[dict[str, np.ndarray]] = []
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-        k = now[key]
-        if held and k[0] == held[-1][key][-1] and k[-1] == k[0]:
-            held.append(now)
+        held.append({x: batch.column(i).to_numpy(zero_copy_only=False) for i, x in enumerate(batch.schema.names)})
+        n += batch.num_rows
+        if n < rows or held[0][key][0] == held[-1][key][-1]:
             continue
-        cut = int(np.searchsorted(k, k[-1], side="left")) if k[0] != k[-1] else 0
-        head = {n: v[:cut] for n, v in now.items()}
-        if cut or held:
-            if held and k[0] != held[-1][key][-1]:
-                yield joined(held)
-                held = []
-                if cut:
-                    yield head
-            else:
-                yield joined([*held, head])
-                held = []
-        held = [{n: v[cut:] for n, v in now.items()}]
+        now = joined(held)
+        cut = int(np.searchsorted(now[key], now[key][-1], side="left"))
+        yield {x: v[:cut] for x, v in now.items()}
+        held, n = [{x: v[cut:] for x, v in now.items()}], n - cut
     if held:
         yield joined(held)
 
@@ -90,17 +80,6 @@ def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
 
 
-def group_starts(*keys: np.ndarray) -> np.ndarray:
-    """Where a new combination of keys begins in sorted arrays."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on unsigned 64-bit values (the splitmix64 finaliser)."""
     with np.errstate(over="ignore"):
@@ -110,12 +89,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2^61-1 are costly in numpy; these are modulo 2^64 over mixed byte values, with an odd base."""
+    """Hashes of any stretch of bytes (or of other small numbers): polynomials modulo 2^64 over mixed values, base odd."""
 
-    def __init__(self, base: int = 0x9E3779B97F4A7C15 | 1, seed: int = 1) -> None:
+    def __init__(self, base: int = 0x9E3779B97F4A7C15, values: int = 256) -> None:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.value = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000003))
+        self.value = mix64(np.arange(values, dtype=np.uint64) + np.uint64(1000003))
         self.up = self.down = np.ones(1, np.uint64)
 
     def powers(self, n: int) -> None:
@@ -138,11 +116,32 @@ class Rolling:
         return mix64((s[b] - s[a]) * self.down[a])
 
 
-def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For groups of these lengths: each element's group and its place in the group."""
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    ends = np.cumsum(lengths)
-    return owner, np.arange(len(owner)) - (ends - lengths)[owner]
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """out[i] = min of x[i : i + width], for each i that has so many."""
+    n, reach = len(x) - width + 1, 1
+    if n <= 0:
+        return x[:0]
+    while 2 * reach <= width:
+        x = np.minimum(x[: len(x) - reach], x[reach:])
+        reach *= 2
+    return np.minimum(x[:n], x[width - reach : width - reach + n])
+
+
+def united(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals of each owner, sorted, those that overlap or touch made one."""
+    if not len(owner):
+        return owner, start, stop
+    order = np.lexsort((start, owner))
+    owner, start, stop = owner[order], start[order], stop[order]
+    first = np.r_[True, owner[1:] != owner[:-1]]
+    # a running maximum within each owner: lift each owner's stops over those before
+    rank = np.cumsum(first) - 1
+    lift = rank * (int(stop.max()) + 1)
+    high = np.maximum.accumulate(stop + lift) - lift
+    new = first.copy()
+    new[1:] |= start[1:] > high[:-1]
+    at = np.flatnonzero(new)
+    return owner[at], start[at], np.maximum.reduceat(high, at)
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

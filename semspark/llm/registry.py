@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semspark.llm import language, mixing, nndescent, packing, pii, secrets, simhash, topk
+from semspark.llm import language, mixing, nndescent, packing, pii, secrets, simhash, substrings, topk
 from semspark.llm.common import Query
 
 
@@ -11,6 +11,7 @@ def queries() -> dict[str, Query]:
         "op1_pii": pii.op1_pii,
         "op2_secrets": secrets.op2_secrets,
         "op3_language": language.op3_language,
+        "op4_substrings": substrings.op4_substrings,
         "op5_packing": packing.op5_packing,
         "op6_topk": topk.op6_topk,
         "op7_mixing": mixing.op7_mixing,
