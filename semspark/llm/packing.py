@@ -221,7 +221,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS_PER_T
     tasks = max(1, -(-rest.count() // per_task))
     names = rest.columns
     schema = T.StructType(list(rest.schema.fields)).add("bin", "long").add("offset", "long").add("fill", "long")
-    at = names.index("length")
 
     def packed(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +230,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = ITEMS_PER_T
             if not sum(p.num_rows for p in parts):
                 return
             t = pa.Table.from_batches(parts)
+            at = t.schema.get_field_index("length")
             order = np.lexsort([*(t.column(i).fill_null(-1).to_numpy() for i in range(t.num_columns) if i != at), -t.column(at).to_numpy()])
             t = t.take(pa.array(order))
             bins, offsets, fill = best_fit(t.column(at).to_numpy(), capacity)

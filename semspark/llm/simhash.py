@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import components, documents, partitions, prepare, stage, texts, whole_groups
+from semspark.llm.common import NO_ID, components, documents, mix64, partitions, prepare, stage, texts, whole_groups
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -83,17 +83,24 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def fingerprint(ws: list[bytes], width: int) -> int:
-    if not ws:
-        return 0
-    shingles = [ws] if len(ws) < width else zip(*(ws[i:] for i in range(width)), strict=False)
-    h = np.array([xxhash.xxh64_intdigest(b" ".join(s), seed=42) for s in shingles], np.uint64)
+def hashes(ws: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle."""
+    shingles = [ws] if 0 < len(ws) < width else zip(*(ws[i:] for i in range(width)), strict=False)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(s), seed=42) for s in shingles], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """Each bit set in over half the hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
+def fingerprint(ws: list[bytes], width: int) -> int:
+    return majority(hashes(ws, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash of the text's word shingles as a bigint; null or blank text: 0."""
     prepare(docs.sparkSession)
@@ -107,7 +114,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected by at most that many differing bits; one search over blocks of a frontier."""
+    """Links (index, index) that connect what is connected by at most that many differing bits: a search from a frontier."""
     left = np.arange(len(fp))
     a, b = [], []
     while len(left):
@@ -117,10 +124,10 @@ def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
             hit = np.bitwise_count(fp[near][:, None] ^ fp[left][None, :]) <= bits
             got = hit.any(axis=0)
             if got.any():
-                a.append(fp[near[hit[:, got].argmax(axis=0)]])
-                b.append(fp[left[got]])
+                a.append(near[hit[:, got].argmax(axis=0)])
+                b.append(left[got])
                 frontier, left = np.concatenate([frontier, left[got]]), left[~got]
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+    return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
 
 
 def links(fps: DataFrame, bits: int = 3) -> DataFrame:
@@ -128,20 +135,27 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     differing bits. Not every such pair is among them: of a large bucket only a spanning forest is returned."""
     if not 0 <= bits <= 3:
         raise ValueError("bits must be 0 to 3")
-    spark = fps.sparkSession
+    return met(fps.select(F.lit(0).alias("table"), "fp", F.col("fp").alias("id")), bits)
+
+
+def met(rows: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of ids whose fingerprints (table int, fp bigint, id bigint) share a key in a table and differ in at
+    most `bits` bits; of a large bucket, a spanning forest of them."""
+    spark = rows.sparkSession
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
+            table, fp, ids = (batch.column(x).to_numpy() for x in range(3))
             i, k, s = keys(fp.view(np.uint64))
+            k |= table[i].astype(np.int64) << 26
             for at in range(0, len(i), 50_000):
                 p = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(k[p]), pa.array(s[p]), pa.array(fp[i[p]])], ["key", "side", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[p]), pa.array(s[p]), pa.array(fp[i[p]]), pa.array(ids[i[p]])], ["key", "side", "fp", "id"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, "key"):
             order = np.lexsort((g["side"], g["key"]))
-            key, side, fp = g["key"][order], g["side"][order], g["fp"][order].view(np.uint64)
+            key, side, fp, ids = g["key"][order], g["side"][order], g["fp"][order].view(np.uint64), g["id"][order]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             n_b = np.add.reduceat(side, start, dtype=np.int64)
@@ -154,18 +168,20 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
                 pairs = n_a[part] * n_b[part]
                 own = np.repeat(np.arange(len(part)), pairs)
                 place = np.arange(len(own)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-                x = fp[start[part][own] + place // n_b[part][own]]
-                y = fp[start[part][own] + n_a[part][own] + place % n_b[part][own]]
-                ok = (np.bitwise_count(x ^ y) <= bits) & (x != y)
-                found.append((x[ok], y[ok]))
+                x = start[part][own] + place // n_b[part][own]
+                y = start[part][own] + n_a[part][own] + place % n_b[part][own]
+                ok = (ids[x] != ids[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= bits)
+                found.append((ids[x[ok]], ids[y[ok]]))
             for s, n in zip(start[big], size[big], strict=True):
-                found.append(forest(np.unique(fp[s : s + n]), bits))
-            x, y = (np.concatenate(c).view(np.int64) for c in zip(*found, strict=True))
+                one, where = np.unique(ids[s : s + n], return_index=True)
+                a, b = forest(fp[s : s + n][where], bits)
+                found.append((one[a], one[b]))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
             e = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
 
-    rows = fps.select("fp").mapInArrow(spread, "key bigint, side tinyint, fp bigint")
-    return rows.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
+    found = rows.mapInArrow(spread, "key bigint, side tinyint, fp bigint, id bigint")
+    return found.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
@@ -184,6 +200,53 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     return fp.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 4) -> DataFrame:
+    """(doc_id, component_id) as in near_duplicates, for documents whose word shingles have a Jaccard similarity of about
+    `similarity` or more: several fingerprints, from rehashed shingles, each with Golay keys of its own. A pair that
+    meets in one table is verified on all fingerprints together, whose share of differing bits estimates the angle
+    between the documents. A null doc_id takes part after all others."""
+    prepare(docs.sparkSession)
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    here, most = round(64 * angle + 3 * np.sqrt(64 * angle * (1 - angle))), round(64 * tables * angle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = []
+            for t in texts(b):
+                h = hashes(words(t), width)
+                cells.append(np.array([majority(mix64(h + np.uint64(n)) if n else h) for n in range(tables)], np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["did", "fps"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), b.num_rows)), pa.array(fps), pa.array(np.repeat(b.column(0).to_numpy(), tables))], ["table", "fp", "id"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (2, 3))
+                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    fp = stage(docs.select(ids.alias("did"), F.col("text").cast("string")).mapInArrow(run, "did bigint, fps binary"))
+    unique = stage(fp.groupBy("fps").agg(F.min("did").alias("rep")))
+    pairs = met(unique.select("rep", "fps").mapInArrow(split, "table int, fp bigint, id bigint"), here).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(unique.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}")), end)
+    found = components(pairs.select("a", "b", "fps_a", "fps_b").mapInArrow(verify, "a bigint, b bigint"))
+    named = unique.join(found, unique.rep == found.id, "left").select("fps", F.coalesce("root", "rep").alias("component_id"))
+    return fp.join(named, "fps").select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("did", "doc_id"), ("component_id", "component_id"))))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 4) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays, one if several rows share it."""
+    keep = similar_groups(docs, width, similarity, tables).filter("doc_id <=> component_id")
+    named = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    return named(docs).join(named(keep).select("_id"), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -22,13 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import Rolling, documents, mix64, partitions, prepare, sliding_min, united, whole_groups
+from semspark.llm.common import NO_ID, Rolling, documents, mix64, partitions, prepare, sliding_min, united, whole_groups
 
 LENGTH = 100
 BLOCK = 2 << 20
 #: An anchor with more contexts than this in one block, or in all, is split by single strings.
 HOT_HERE, HOT = 24, 256
-NO_ID = (1 << 63) - 1
 
 
 @functools.cache
