@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from semspark.llm import language, mixing, nndescent, packing, pii, secrets, simhash, substrings, topk
+import corpus_pipeline
+from semspark.llm import chaining, language, mixing, nndescent, packing, pii, secrets, simhash, substrings, topk
 from semspark.llm.common import Query
 
 
@@ -17,8 +18,11 @@ def queries() -> dict[str, Query]:
         "op7_mixing": mixing.op7_mixing,
         "op8_nndescent": nndescent.op8_nndescent,
         "op9_simhash": simhash.op9_simhash,
+        "op10_chaining": chaining.op10_chaining,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+    found = {"op6_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+    return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}
