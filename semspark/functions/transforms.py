@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def basis_points_to_fraction(c: Column) -> Column:
-    """700 -> 0.0700. Ten digits, so that no number of basis points overflows before the division."""
-    return (c.cast("decimal(10,4)") / 10000).cast("decimal(10,4)")
+    """700 -> 0.0700. Fourteen digits hold every integer, so that no number of basis points overflows before the division."""
+    return (c.cast("decimal(14,4)") / 10000).cast("decimal(14,4)")
 
 
 def cents_to_amount(c: Column) -> Column:

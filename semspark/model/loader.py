@@ -54,10 +54,11 @@ def _table(doc: dict) -> Table:
 
 
 def _edge(doc: dict) -> Edge:
-    a, b = doc["endpoints"]["from"], doc["endpoints"]["to"]
-    name = doc.get("edge_id") or f"{a['concept']}__{b['concept']}"
+    ends = doc.get("endpoints") or {}
+    a, b = ends.get("from") or {}, ends.get("to") or {}
+    name = doc.get("edge_id") or f"{a.get('concept')}__{b.get('concept')}"
     text = lambda x: None if x is None else str(x)
-    return Edge(name, doc["level"], doc["type"], a["concept"], b["concept"], text(a.get("cardinality")), text(b.get("cardinality")), doc.get("join_rule"), doc)
+    return Edge(name, doc.get("level", ""), doc.get("type", ""), a.get("concept", ""), b.get("concept", ""), text(a.get("cardinality")), text(b.get("cardinality")), doc.get("join_rule"), doc)
 
 
 def load(root: str | Path) -> Model:
@@ -72,9 +73,11 @@ def load(root: str | Path) -> Model:
             found.append((name, files[name]))
         return found
 
-    concepts = {d["concept"]["name"]: Concept(d["concept"]["name"], d["concept"]["class"], d, n) for n, d in every(layout.ontology / "concepts") if isinstance(d.get("concept"), dict)}
+    # what lacks a required key is loaded as far as it goes: the structural gate tells
+    concepts = {d["concept"]["name"]: Concept(d["concept"]["name"], d["concept"].get("class", ""), d, n) for n, d in every(layout.ontology / "concepts") if isinstance(d.get("concept"), dict) and "name" in d["concept"]}
     edges = [_edge(e) for _, d in every(layout.ontology, "*edges.yaml") for e in d.get("edges") or []]
-    rules = [Rule(r["rule"], r["derives"], tuple([r["over"]] if isinstance(r["over"], str) else r["over"]), r["render_kind"], r.get("template"), r) for _, d in every(layout.ontology, "*rules.yaml") for r in d.get("rules") or [] if "rule" in r]
+    listed = lambda x: tuple([x] if isinstance(x, str) else x or ())
+    rules = [Rule(r["rule"], r.get("derives", ""), listed(r.get("over")), r.get("render_kind", ""), r.get("template"), r) for _, d in every(layout.ontology, "*rules.yaml") for r in d.get("rules") or [] if "rule" in r]
     tables = [_table(d) for _, d in every(layout.descriptors) if "table" in d]
     sources = [_table(d) for _, d in every(layout.sources) if "table" in d]
     transforms = []

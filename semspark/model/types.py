@@ -56,7 +56,7 @@ class Concept:
 
     @property
     def codes(self) -> list[object]:
-        return [i["code"] for i in (self.doc.get("values") or {}).get("items") or []]
+        return [i["code"] for i in (self.doc.get("values") or {}).get("items") or [] if "code" in i]
 
     @property
     def closure(self) -> str:

@@ -415,7 +415,7 @@ def milestone_lag(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(round(l_discount * 10000) AS INTEGER) AS DECIMAL(10,4)) / 10000 = CAST(round(l_discount, 4) AS DECIMAL(10,4)) AS ok, count(*) AS n FROM lineitem GROUP BY ALL")
 def transform_discount_bps(spark, d):
     bps = F.round(F.col("l_discount") * 10000).cast("int")
-    ok = basis_points_to_fraction(bps) == F.round("l_discount", 4).cast("decimal(10,4)")
+    ok = basis_points_to_fraction(bps) == F.round("l_discount", 4).cast("decimal(14,4)")
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", ok.alias("ok")).agg(F.count("*").alias("n"))
 
 
