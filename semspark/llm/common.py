@@ -212,6 +212,11 @@ def components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     return found
 
 
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the whole row in one column `_row`: an operator's own columns then clash with none."""
+    return df.select(*names, F.struct(*df.columns).alias("_row"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

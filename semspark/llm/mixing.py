@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semspark.llm.common import documents, prepare, stage
+from semspark.llm.common import aside, documents, prepare, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The seeded order is a 30-bit key, cut at the point where a source's share is full in three passes of 10 bits.
@@ -103,16 +103,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: docs' columns, a row for each repetition taken; of a partly taken document, the first words."""
     prepare(docs.sparkSession)
-    rows = sized(docs, seed)
+    rows = sized(aside(docs, "doc_id", "text", "source"), seed)
     sources, many = plan(stage(rows.select("doc_id", "source", "_size", "_order")), weights, most)
     t = taken(rows, sources, many)
     first = F.array_join(F.slice(F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.greatest(F.col("_more"), F.lit(1)).cast("int")), " ")
     part = (F.col("_more") > 0) & (F.col("_more") < F.col("_size"))
     copies = F.flatten(F.array(F.array_repeat("text", F.col("whole").cast("int")), F.when(part, F.array(first)).otherwise(F.array_repeat("text", F.when(F.col("_more") > 0, 1).otherwise(0)))))
     # a blank text has no word to take or leave: it stays once
-    t = t.withColumn("_copies", F.when(F.col("_size") == 0, F.array("text")).otherwise(copies))
-    keep = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return t.select(*(c for c in docs.columns if c != "text"), F.explode("_copies").alias("_text")).select(*keep)
+    t = t.select("_row", F.explode(F.when(F.col("_size") == 0, F.array("text")).otherwise(copies)).alias("_text"))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.lit(None)}
+    return t.select(*(changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE = """

@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import documents, prepare
+from semspark.llm.common import aside, documents, prepare
 
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
@@ -206,17 +206,16 @@ def pseudonymised(docs: DataFrame, key: str = "semspark-demo-key") -> DataFrame:
     same; columns of those names in docs give way, all others are kept. key: every document under one key has linked pseudonyms; pass your own and keep it.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop("n_pii", *(f"n_{k}" for k in KINDS))
-    names = docs.columns
+    names = [c for c in docs.columns if c not in {"n_pii", *(f"n_{k}" for k in KINDS)}]
     some = F.col("text").rlike("[@0-9]")
-    a = docs.withColumn("_raw", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    a = aside(docs, "text").withColumn("_raw", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
     a = a.withColumn("_kinds", F.transform("_raw", classified))
     a = a.withColumn("_new", F.when(F.size("_raw") > 0, F.transform(F.arrays_zip("_raw", "_kinds"), lambda x: pseudonym(key, x["_kinds"], x["_raw"]))))
     rebuilt = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.col("_new"), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
     many = lambda match: F.coalesce(F.size(F.filter("_kinds", match)), F.lit(0)).cast("bigint")
     counts = {f"n_{k}": many(partial(same, k)) for k in KINDS}
     text = F.when(F.size("_raw") > 0, rebuilt).otherwise(F.col("text")).alias("text")
-    return a.select(*(text if c == "text" else c for c in names), many(lambda x: x.isNotNull()).alias("n_pii"), *(c.alias(n) for n, c in counts.items()))
+    return a.select(*(text if c == "text" else F.col("_row")[c].alias(c) for c in names), many(lambda x: x.isNotNull()).alias("n_pii"), *(c.alias(n) for n, c in counts.items()))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

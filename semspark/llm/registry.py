@@ -24,5 +24,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op6_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE}
+    found = {"op4_substrings": substrings.ORACLE, "op6_topk": topk.ORACLE, "op7_mixing": mixing.ORACLE, "op8_nndescent": nndescent.ORACLE}
     return found if corpus_pipeline.ORACLE_SQL is None else found | {"pipeline": corpus_pipeline.ORACLE_SQL}

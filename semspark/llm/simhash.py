@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import NO_ID, components, documents, mix64, partitions, prepare, stage, texts, whole_groups
+from semspark.llm.common import NO_ID, aside, components, documents, mix64, partitions, prepare, stage, texts, whole_groups
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -242,9 +242,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
 
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 4) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, one if several rows share it."""
-    keep = similar_groups(docs, width, similarity, tables).filter("doc_id <=> component_id")
-    named = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
-    return named(docs).join(named(keep).select("_id"), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    known = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
+    keep = known(similar_groups(docs, width, similarity, tables).filter("doc_id <=> component_id")).select("_id")
+    kept = known(aside(docs, "doc_id")).join(keep, "_id", "left_semi").dropDuplicates(["_id"])
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

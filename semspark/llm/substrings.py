@@ -337,3 +337,23 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return repeated(documents(spark, sf_dir)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+#: Texts as BLOBs, places counted in bytes from 0. A 64-bit hash stands for a string, and documents are taken to be
+#: shorter than 1 GB.
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, doc_id * 1000000000 + p AS place, hash(b[p + 1 : p + 100]) AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS p FROM d)),
+f AS (SELECT s, min(place) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE w.place <> f.first),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g),
+s AS (SELECT doc_id, n, min(p) AS low, max(p) + 100 AS high FROM i GROUP BY doc_id, n),
+k AS (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM s),
+c AS (
+  SELECT d.doc_id, any_value(d.b) AS b, CAST(coalesce(sum(high - low), 0) AS BIGINT) AS n_removed, CAST(count(low) AS BIGINT) AS n_spans, CAST(coalesce(max(high), 0) AS BIGINT) AS last,
+         coalesce(string_agg(CASE WHEN low > before THEN hex(d.b[before + 1 : low]) ELSE '' END, '' ORDER BY low), '') AS kept
+  FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, n_removed, n_spans,
+       sha256(unhex(kept || CASE WHEN octet_length(b) > last THEN hex(b[last + 1 : octet_length(b)]) ELSE '' END)) AS kept_sha256 FROM c
+"""
