@@ -91,12 +91,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) over vectors (vec_id, q array<bigint>): each query's k highest inner products with
     every other row of as many dimensions, ties to the smaller vec_id; all, if there are fewer.
 
-    Rows without id or vector take no part; rows that share an id count once, with the smallest vector; an empty table
+    Rows without id, or whose vector is null or empty, take no part; rows that share an id count once, with the smallest vector; an empty table
     gives no row. Scores must fit 64 bits. Query and candidate blocks are joined on the number of their pair, each
     block copied once for each block of the other side; no side is collected or broadcast by force.
     """
     prepare(vectors.sparkSession)
-    rows = stage(vectors.filter("vec_id is not null and q is not null").groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("q").alias("q")))
+    rows = stage(vectors.filter("vec_id is not null and size(q) > 0").groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("q").alias("q")))
     right, n_right = blocks(rows, CANDIDATES)
     left, n_left = blocks(rows.filter(is_query), QUERIES)
     pairs = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

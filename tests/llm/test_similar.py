@@ -347,7 +347,7 @@ def test_pipeline_stages(spark, sf_dir):
     from semspark.llm.common import stage
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = spark.createDataFrame([(900001, "12345 !!!", "en", "src0", 9), (900002, None, None, None, None)], DOC).select(*(f"CAST({c} AS {t}) AS {c}" for c, t in docs.dtypes) if False else docs.columns)
+    extra = spark.createDataFrame([(900001, "12345 !!!", "en", "src0", 9), (900002, None, None, None, None)], DOC)
     docs = docs.unionByName(extra.selectExpr(*(f"CAST({c} AS {t}) AS {c}" for c, t in docs.dtypes)))
     columns = docs.columns
     seen = {}

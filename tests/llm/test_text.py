@@ -162,6 +162,7 @@ def duck_mix(d):
 
 def same(a, b):
     order = list(b.columns)
+    a, b = (x.assign(doc_id=x.doc_id.astype("Int64").fillna(-1).astype("int64")) for x in (a, b))
     return a[order].sort_values(order).reset_index(drop=True).equals(b.sort_values(order).reset_index(drop=True))
 
 
