@@ -12,14 +12,15 @@ def hierarchy_rollup(df: DataFrame, id_col: str, parent_col: str, root: object,
     """Ids of root and all its descendants, each once; empty if no row has that id.
 
     The frontier grows by a join with the adjacency list for each level; ids seen before don't enter again, so cycles
-    end and a node with two parents counts once. One small job for each level of the tree tells when it is done.
+    end and a node with two parents counts once. One small job for each level of the tree tells when it is done; a level's
+    ids stay cached (and can be worked out again), so no level is run twice.
     """
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    seen = edges.filter(F.col("id") == F.lit(root)).select("id").distinct()
+    seen = edges.filter(F.col("id") == F.lit(root)).select("id").distinct().cache()
     frontier = seen
     for _ in range(max_depth):
-        step = edges.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").distinct().join(seen, "id", "left_anti")
-        if step.isEmpty():
+        step = edges.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").distinct().join(seen, "id", "left_anti").cache()
+        if not step.count():
             return seen
         seen, frontier = seen.unionByName(step), step
     raise ValueError(f"the hierarchy is deeper than {max_depth} levels")

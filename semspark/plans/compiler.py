@@ -24,7 +24,7 @@ class Catalog:
     """Relations by name: given DataFrames first, then the session's tables, with a schema or without."""
 
     def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame] | None = None) -> None:
-        self.spark, self.frames = spark, dict(frames or {})
+        self.spark, self.frames = spark, frames or {}  # the mapping may load a frame when it is asked for
 
     def __getitem__(self, relation: str) -> DataFrame:
         name = relation.split(".")[-1]
@@ -299,6 +299,8 @@ class _Compilation:
         # an axis without a column (null) is one that the relation has a single value of
         axes = measure.doc.get("x-axis_columns") or {}
         effects = {axes.get(a, a): e for a, e in measure.effects.items() if e != "additive" and axes.get(a, a) is not None}
+        if not effects:
+            return []
         columns = measure.doc.get("x-measure_columns") or [measure.grounding.get("grounds_column") or ""]
         return [v for c in columns if c for v in additivity_guard(out, c, effects)]
 

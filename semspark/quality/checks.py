@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,7 +68,7 @@ def lineage_gaps(spark: SparkSession, transform: Transform) -> list[str]:
     return [f"reads {r}, which isn't declared" for r in sorted(named - said)] + [f"declares {r}, which isn't read" for r in sorted(said - named)]
 
 
-def report(model: Model, frames: dict[str, DataFrame]) -> DataFrame:
+def report(model: Model, frames: Mapping[str, DataFrame]) -> DataFrame:
     """Every key and foreign key of the descriptors, checked over the frames: (kind, relation, columns, offenders)."""
     spark = next(iter(frames.values())).sparkSession
     parts = []

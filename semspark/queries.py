@@ -4,12 +4,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from semspark import operators as O
 from semspark.functions import basis_points_to_fraction, canonical_status, fold
@@ -25,8 +26,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Schemas by path, as a catalog keeps them: a file's footer is read for its schema once in a session's life.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 @functools.cache
@@ -34,10 +42,34 @@ def tpch() -> Model:
     return load(Path(__file__).resolve().parent.parent / "models" / "tpch")
 
 
+class Frames(Mapping):
+    """The driver's tables, each read when it is asked for; partsupp is the distinct pairs of order lines."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir, self.read = spark, sf_dir, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.read:
+            if name == "partsupp":
+                self.read[name] = self["lineitem"].select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
+            elif name in TABLES:
+                self.read[name] = table(self.spark, self.sf_dir, name)
+            else:
+                raise KeyError(name)
+        return self.read[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name == "partsupp" or name in TABLES
+
+    def __iter__(self):
+        return iter((*TABLES, "partsupp"))
+
+    def __len__(self) -> int:
+        return len(TABLES) + 1
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    frames = {t: table(spark, sf_dir, t) for t in TABLES}
-    frames["partsupp"] = frames["lineitem"].select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
-    return Catalog(spark, frames)
+    return Catalog(spark, Frames(spark, sf_dir))
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
