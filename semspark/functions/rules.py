@@ -39,6 +39,20 @@ def expression(template: str) -> Column:
     return F.expr(re.sub(r"\b[a-z]{1,2}\.(?=\w)", "", text))
 
 
+_UDFS: dict[str, Callable[..., Column]] = {}
+
+
+def spark_udf(name: str, f: Callable[..., Column]) -> None:
+    """Registers what a rule of render kind spark_udf calls: a builder of Columns (or a pandas UDF)."""
+    _UDFS[name] = f
+
+
+def call_udf(name: str, *columns: str) -> Column:
+    if name not in _UDFS:
+        raise KeyError(f"no function {name} is registered")
+    return _UDFS[name](*(F.col(c) for c in columns))
+
+
 @registered("lineitem.state.fulfilled", "l_linestatus")
 def _fulfilled() -> Column:
     return F.col("l_linestatus") == "F"

@@ -152,6 +152,18 @@ def rows(m: Model) -> dict[str, list[dict]]:
     }
 
 
+def column_meanings(spark: SparkSession, m: Model) -> DataFrame:
+    """(relation, column, type, role, field_role, rules): a column's part in the data and in the concepts' rules."""
+    out = []
+    for t in m.tables.values():
+        owners = m.owners(t.name)
+        for c in t.columns:
+            said = sorted({f"{r['id']}: {' '.join(str(r.get('then') or '').split())}" for o in owners for r in o.rules if c["name"] in (r.get("binds") or [])})
+            role = next((o.field_roles[c["name"]] for o in owners if c["name"] in o.field_roles), None)
+            out.append((t.name, c["name"], c.get("type") or "string", c["role"], role, text(said) if said else None))
+    return spark.createDataFrame(out, "relation string, column string, type string, role string, field_role string, rules string")
+
+
 def meta_tables(spark: SparkSession, m: Model, views: bool = False) -> dict[str, DataFrame]:
     out = {}
     for name, found in rows(m).items():

@@ -65,3 +65,17 @@ def per_fact_as_of(fact: DataFrame, versions: DataFrame, keys: list[str], at: st
     for k in keys:
         on = on & (fact[k] == F.col(f"_{k}"))
     return fact.join(v, on, how).drop(*(f"_{k}" for k in keys))
+
+
+def value_mapped_join(fact: DataFrame, key: str, mapping: DataFrame, source: str, target: str, dimension: DataFrame, dimension_key: str, how: str = "left") -> DataFrame:
+    """A join whose keys are spelled differently on the two sides: through a mapping of source values to target keys. A
+    source value that maps to several keys would multiply rows, so such values count as unmapped."""
+    one = mapping.groupBy(F.col(source).alias("_source")).agg(F.min(target).alias("_target"), F.countDistinct(target).alias("_n")).filter("_n = 1").drop("_n")
+    right = dimension.join(one, F.col(dimension_key) == F.col("_target"))
+    return fact.join(right, F.col(key) == F.col("_source"), how).drop("_source", "_target")
+
+
+def federated(left: DataFrame, left_key: str, alias: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
+    """Rows of two sources that an alias table (left_id, right_id) says are the same; sources are never joined on raw keys."""
+    a = alias.select(F.col("left_id").alias("_l"), F.col("right_id").alias("_r")).distinct()
+    return left.join(a, F.col(left_key) == F.col("_l")).join(right, F.col(right_key) == F.col("_r")).drop("_l", "_r")

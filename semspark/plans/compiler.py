@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.functions.folds import fold
-from semspark.functions.rules import expression, predicate
+from semspark.functions.rules import call_udf, expression, predicate
 from semspark.model.types import Citation, Concept, Model, Rule
 from semspark.plans.guards import additivity_guard
 from semspark.plans.intent import Ask, Intent, NotDerivable
@@ -288,6 +288,9 @@ class _Compilation:
             effects = set(measure.effects.values())
             name = self.intent.fold or ("avg" if "averageable" in effects else "sum")
             return fold(name, F.col(measure.grounding["grounds_column"])), snake(measure.name)
+        if rule.render_kind == "spark_udf" and rule.doc.get("x-udf"):
+            self.cite("SELECT", f"rule {rule.name}", rule.doc["x-udf"]["name"])
+            return fold(rule.doc["x-udf"].get("fold", "sum"), call_udf(rule.doc["x-udf"]["name"], *rule.doc["x-udf"].get("columns") or [])), rule.name
         if rule.render_kind != "sql_expression" or not rule.template:
             raise self.refuse(f"rule {rule.name} ({rule.render_kind}) gives no expression to aggregate", rule.name)
         self.cite("SELECT", f"rule {rule.name}", rule.template.strip())

@@ -457,6 +457,50 @@ def transform_status_canonical(spark, d):
     return table(spark, d, "events").groupBy(canonical_status(raw, {"click": "CLICK", "view": "VIEW", "purchase": "PURCHASE"}, "OTHER").alias("status")).agg(F.count("*").alias("n"))
 
 
+def _bound_to(concept: str, sql: str, name: str) -> None:
+    """The check that a model's enumeration binds, as its file says."""
+
+    def run(spark, d):
+        binding = tpch().concepts[concept].doc["values"]["realized_by"]
+        return O.realize(table(spark, d, binding["params"]["table"]), binding)
+
+    query(sql, name)(run)
+
+
+_bound_to("LineStatus", "SELECT DISTINCT l_linestatus FROM lineitem WHERE l_linestatus NOT IN ('O', 'F')", "bound_linestatus_anomalies")
+_bound_to("OrderStatus", "SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P')", "bound_orderstatus_anomalies")
+_bound_to("MarketSegment", "SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')", "bound_segment_anomalies")
+
+
+@query("""WITH f AS (SELECT * FROM events WHERE event_type NOT IN ('error') AND event_type = 'purchase')
+SELECT user_id, event_id FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def composed_binding(spark, d):
+    """Three operators bound in order: an exclusion, a default, a collapse."""
+    steps = [
+        {"udf": "exclusion_filter", "params": {"column": "event_type", "not_in": ["error"]}},
+        {"udf": "any.namespace.axis_default", "params": {"axis_column": "event_type", "default_value": "purchase"}},
+        {"udf": "snapshot_collapse", "params": {"natural_key": "user_id", "order_by": "ts", "tie": ["event_id"]}},
+    ]
+    return O.realize(table(spark, d, "events"), steps).select("user_id", "event_id")
+
+
+@query("SELECT o_orderpriority, n_name, count(*) AS n FROM orders LEFT JOIN nation ON n_nationkey = CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AND o_orderpriority <> '5-LOW' GROUP BY ALL")
+def value_mapped_key(spark, d):
+    """Priorities spelled as text meet nations by number through a mapping; the one that maps to two keys counts as unmapped."""
+    orders, nation = table(spark, d, "orders"), table(spark, d, "nation")
+    words = orders.select("o_orderpriority").distinct()
+    mapping = words.select(F.col("o_orderpriority").alias("word"), F.substring("o_orderpriority", 1, 1).cast("int").alias("k"))
+    mapping = mapping.unionByName(mapping.filter("word = '5-LOW'").withColumn("k", F.lit(17)))
+    return O.value_mapped_join(orders, "o_orderpriority", mapping, "word", "k", nation, "n_nationkey").groupBy("o_orderpriority", "n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_suppkey = c_custkey WHERE c_custkey % 3 = 0")
+def federation_alias(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    alias = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("left_id"), F.col("c_custkey").alias("right_id"))
+    return O.federated(c, "c_custkey", alias, s, "s_suppkey").select("c_custkey", "s_suppkey")
+
+
 @query("SELECT kind, n FROM (VALUES ('ask', 1), ('resolve', 1)) t(kind, n)")
 def ambiguity_decisions(spark, d):
     asked = O.ambiguity_gate("revenue", ["net", "gross"]).action

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from semspark import operators as O
 from semspark import quality
-from semspark.meta import META_TABLES, meta_tables
+from semspark.meta import META_TABLES, column_meanings, meta_tables
 from semspark.plans import Intent, compile_intent
 from semspark.plans.guards import additivity_guard, array_membership_guard, composite_key_guard, opaque_code_guard
 from semspark.queries import ORACLES, QUERIES, catalog, query, table, tpch
@@ -80,6 +80,11 @@ for name in META_TABLES:
     _meta(name)
 
 
+@query()
+def meta_columns(spark, d):
+    return column_meanings(spark, tpch())
+
+
 @query("SELECT guard, violations FROM (VALUES ('additivity', 1), ('additivity_pinned', 0), ('composite_key', 1), ('opaque_code', 1), ('array_membership', 1)) t(guard, violations)")
 def guard_report(spark, d):
     c, e = table(spark, d, "customer"), table(spark, d, "events")

@@ -183,3 +183,24 @@ def test_transforms(spark):
     a = r.select(basis_points_to_fraction(F.col("bps")), cents_to_amount(F.col("cents")), canonical_status(F.col("s"), {"shipped": "SHIPPED"}, "UNKNOWN"), lifecycle_state([("d", "DONE")], "NEW")).collect()
     assert [str(x) for x in a[0]] == ["0.0700", "1234.56", "SHIPPED", "NEW"]
     assert [str(x) for x in a[1]][2:] == ["UNKNOWN", "DONE"]
+
+
+def test_bindings(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("test", 3), ("z", 4)], "k string, v int")
+    steps = [{"udf": "x.exclusion_filter", "params": {"column": "k", "not_like": ["te%"]}}, {"udf": "snapshot_collapse", "params": {"natural_key": ["k"], "order_by": "v", "tie": ["v"]}}]
+    assert rows(O.realize(df, steps)) == [("a", 2), ("z", 4)]
+    assert rows(O.realize(df, {"udf": "closure_anomaly_check", "params": {"column": "k", "closure": "closed", "register": "r"}}, {"r": df.filter("k <> 'z'").select("k")})) == [("z",)]
+    assert O.realize(df, {"udf": "closure_anomaly_check", "params": {"column": "k", "closure": "open"}}).count() == 0
+    tree = spark.createDataFrame(TREE, "id string, parent string")
+    assert O.realize(tree, {"udf": "hierarchy_rollup", "params": {"id_col": "id", "parent_col": "parent"}}, root="C2").count() == 2
+    with pytest.raises(KeyError):
+        O.realize(df, {"udf": "additivity_guard"})
+
+
+def test_mapped_and_federated_joins(spark):
+    fact = spark.createDataFrame([("one", 1), ("two", 2), ("both", 3), (None, 4)], "w string, v int")
+    mapping = spark.createDataFrame([("one", 1), ("one", 1), ("two", 2), ("both", 1), ("both", 2)], "w string, k int")
+    dim = spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
+    assert rows(O.value_mapped_join(fact, "w", mapping.toDF("word", "to"), "word", "to", dim, "k").select("v", "name")) == [(1, "x"), (2, "y"), (3, None), (4, None)]
+    alias = spark.createDataFrame([("one", 2), ("one", 2)], "left_id string, right_id int")
+    assert rows(O.federated(fact, "w", alias, dim, "k").select("v", "name")) == [(1, "y")]

@@ -158,3 +158,29 @@ def test_lineage_and_join_rules(spark, stock):
     assert "stock" in lineage(spark.sql("SELECT w FROM stock"))
     assert join_clauses(spark, "a.x = b.y AND a.z = b.w") == [(("a", "x"), ("b", "y")), (("a", "z"), ("b", "w"))]
     assert join_clauses(spark, "a line belongs to its order") is None
+
+
+def test_rule_of_a_registered_function(spark):
+    from semspark.functions import spark_udf
+    from semspark.model import Rule
+
+    m = tpch()
+    spark_udf("net", lambda price, discount: price * (1 - F.coalesce(discount, F.lit(0.0))))
+    rule = Rule("by_function", "Revenue", ("LineItem",), "spark_udf", None, {"x-udf": {"name": "net", "columns": ["l_extendedprice", "l_discount"]}})
+    c = m.concepts["Revenue"]
+    m = replace(m, rules={**m.rules, "by_function": rule}, concepts={**m.concepts, "Revenue": replace(c, doc={**c.doc, "derived_by_rule": "by_function"})})
+    lines = spark.createDataFrame([(1, 100.0, 0.1), (1, 50.0, None)], "l_orderkey bigint, l_extendedprice double, l_discount double")
+    assert compile_intent(m, Catalog(spark, {"lineitem": lines}), Intent("Revenue")).df.first()[0] == pytest.approx(140.0)
+    spec = Rule("only_said", "Revenue", ("LineItem",), "spec_only", None, {})
+    m = replace(m, rules={**m.rules, "by_function": spec})
+    assert isinstance(compile_intent(m, Catalog(spark, {"lineitem": lines}), Intent("Revenue")), NotDerivable)
+
+
+def test_value_filter_and_unsupported_grounding(spark, sf_dir):
+    m = tpch()
+    c = m.concepts["Customer"]
+    scoped = replace(m, concepts={**m.concepts, "Customer": replace(c, doc={**c.doc, "grounding": {**c.grounding, "value_filter": "c_mktsegment = 'BUILDING'"}})})
+    cat = catalog(spark, sf_dir)
+    assert compile_intent(scoped, cat, Intent(count="Customer")).df.first().n == cat["customer"].filter("c_mktsegment = 'BUILDING'").count()
+    other = replace(m, concepts={**m.concepts, "Customer": replace(c, doc={**c.doc, "grounding": {**c.grounding, "kind": "api"}})})
+    assert isinstance(compile_intent(other, cat, Intent(count="Customer")), NotDerivable)
