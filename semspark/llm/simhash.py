@@ -25,7 +25,7 @@ from semspark.llm.common import NO_ID, aside, components, documents, mix64, part
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
 #: Groups of up to this many rows are compared pair by pair, larger ones by a search that returns a spanning forest.
-SMALL_GROUP = 64
+SMALL_GROUP = 16
 
 
 @functools.cache
@@ -114,17 +114,18 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (index, index) that connect what is connected by at most that many differing bits: a search from a frontier."""
+    """Links (index, index) that connect what is connected by at most that many differing bits: a search from a frontier,
+    each one reached being linked with the nearest in the frontier's block."""
     left = np.arange(len(fp))
     a, b = [], []
     while len(left):
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             near, frontier = frontier[:256], frontier[256:]
-            hit = np.bitwise_count(fp[near][:, None] ^ fp[left][None, :]) <= bits
-            got = hit.any(axis=0)
+            differ = np.bitwise_count(fp[near][:, None] ^ fp[left][None, :])
+            got = differ.min(axis=0) <= bits
             if got.any():
-                a.append(near[hit[:, got].argmax(axis=0)])
+                a.append(near[differ[:, got].argmin(axis=0)])
                 b.append(left[got])
                 frontier, left = np.concatenate([frontier, left[got]]), left[~got]
     return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
@@ -200,11 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     return fp.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
     """(doc_id, component_id) as in near_duplicates, for documents whose word shingles have a Jaccard similarity of about
     `similarity` or more: several fingerprints, from rehashed shingles, each with Golay keys of its own. A pair that
     meets in one table is verified on all fingerprints together, whose share of differing bits estimates the angle
-    between the documents. A null doc_id takes part after all others."""
+    between the documents. The tables take turns, and the documents that one groups go on as their first, so that a large
+    group makes pairs in one table only. A null doc_id takes part after all others."""
     prepare(docs.sparkSession)
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     here, most = round(64 * angle + 3 * np.sqrt(64 * angle * (1 - angle))), round(64 * tables * angle)
@@ -217,10 +219,14 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
                 cells.append(np.array([majority(mix64(h + np.uint64(n)) if n else h) for n in range(tables)], np.uint64).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["did", "fps"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), b.num_rows)), pa.array(fps), pa.array(np.repeat(b.column(0).to_numpy(), tables))], ["table", "fp", "id"])
+    def split(n: int):
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(b.num_rows, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n, np.int32)), pa.array(np.ascontiguousarray(fps[:, n])), b.column(0)], ["table", "fp", "id"])
+
+        return one
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,15 +238,18 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
     ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     fp = stage(docs.select(ids.alias("did"), F.col("text").cast("string")).mapInArrow(run, "did bigint, fps binary"))
     unique = stage(fp.groupBy("fps").agg(F.min("did").alias("rep")))
-    pairs = met(unique.select("rep", "fps").mapInArrow(split, "table int, fp bigint, id bigint"), here).distinct()
-    for end in ("a", "b"):
-        pairs = pairs.join(unique.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}")), end)
-    found = components(pairs.select("a", "b", "fps_a", "fps_b").mapInArrow(verify, "a bigint, b bigint"))
-    named = unique.join(found, unique.rep == found.id, "left").select("fps", F.coalesce("root", "rep").alias("component_id"))
+    alive, named = unique, unique.select("fps", F.col("rep").alias("component_id"))
+    for n in range(tables):  # what one table groups goes on as its first document
+        pairs = met(alive.select("rep", "fps").mapInArrow(split(n), "table int, fp bigint, id bigint"), here).distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(alive.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}")), end)
+        found = components(pairs.select("a", "b", "fps_a", "fps_b").mapInArrow(verify, "a bigint, b bigint"))
+        named = named.join(found, named.component_id == found.id, "left").select("fps", F.coalesce("root", "component_id").alias("component_id"))
+        alive = stage(alive.join(found.filter("id <> root").select(F.col("id").alias("rep")), "rep", "left_anti"))
     return fp.join(named, "fps").select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("did", "doc_id"), ("component_id", "component_id"))))
 
 
-def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, one if several rows share it."""
     known = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
     keep = known(similar_groups(docs, width, similarity, tables).filter("doc_id <=> component_id")).select("_id")
