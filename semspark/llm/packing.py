@@ -33,8 +33,8 @@ SLACK = 16
 #: Code points whose classes are the same in every version of Unicode that matters here; texts with others go the plain way.
 KNOWN = 0x250
 #: Distinct words that a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
-BLOCK_CHARS = 1_000_000
+CACHE_WORDS = 200_000
+BLOCK_CHARS = 500_000
 
 
 @functools.cache
@@ -185,6 +185,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     crc.append(zlib.crc32(whole[at : at + n].tobytes()))
                     at, n = at + n, capacity
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder.forget()  # the worker goes on to other tasks
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
