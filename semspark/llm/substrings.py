@@ -102,7 +102,8 @@ class Block:
         self.high = np.minimum(self.end[self.own], self.at + self.length)
 
 
-SUFFIXES = "part bigint, kind tinyint, context bigint, did bigint, at bigint, low bigint, high bigint"
+#: reach: bytes from a stretch's begin to `at`, and from there to its end, in 32 bits each; mostly alike, so it packs well.
+SUFFIXES = "part bigint, kind tinyint, context bigint, did bigint, at bigint, reach bigint"
 #: Kinds of rows: an anchor, a stretch that is removed, an anchor asked for with its context or by single strings, a sign
 #: that an anchor is hot.
 ANCHOR, REMOVED, COLD_ASK, HOT_ASK, HOT_SIGN = range(5)
@@ -112,7 +113,13 @@ def rows(part, kind, context, did, at, low, high) -> pa.RecordBatch:
     n = len(at)
     wide = lambda x: np.broadcast_to(np.asarray(x), n)
     as_int = lambda x: np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(as_int(wide(part))), pa.array(wide(kind).astype(np.int8)), *(pa.array(as_int(wide(x))) for x in (context, did, at, low, high))], ["part", "kind", "context", "did", "at", "low", "high"])
+    reach = (at - low) << 32 | (high - at)
+    return pa.RecordBatch.from_arrays([pa.array(as_int(wide(part))), pa.array(wide(kind).astype(np.int8)), *(pa.array(as_int(wide(x))) for x in (context, did, at, reach))], ["part", "kind", "context", "did", "at", "reach"])
+
+
+def stretch(at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end."""
+    return at - (reach >> 32), at + (reach & 0xFFFFFFFF)
 
 
 def removed(did: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
@@ -165,6 +172,7 @@ def second_pass(suffixes: DataFrame, hot: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, "part"):
             kind = g["kind"]
+            g["low"], g["high"] = stretch(g["at"], g["reach"])
             for k in (REMOVED, HOT_ASK):
                 s = kind == k
                 yield from small(rows(g["part"][s], k, 0, g["did"][s], g["at"][s], g["low"][s], g["high"][s]))
@@ -193,12 +201,12 @@ STRINGS = "part bigint, kind tinyint, did bigint, low bigint, high bigint, bytes
 
 def string_rows(part, kind, did, low, high, cells=None) -> pa.RecordBatch:
     r = rows(part, kind, 0, did, low, low, high)
-    return pa.RecordBatch.from_arrays([r.column(0), r.column(1), r.column(3), r.column(5), r.column(6), pa.array(cells, pa.binary()) if cells is not None else pa.nulls(r.num_rows, pa.binary())], ["part", "kind", "did", "low", "high", "bytes"])
+    return pa.RecordBatch.from_arrays([r.column(0), r.column(1), r.column(3), pa.array(low), pa.array(high), pa.array(cells, pa.binary()) if cells is not None else pa.nulls(r.num_rows, pa.binary())], ["part", "kind", "did", "low", "high", "bytes"])
 
 
 def last_digits(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """For anchors asked for: their contexts, or their strings one by one where the anchor is hot; and what is removed."""
-    asks = asked.groupBy("did").agg(F.collect_list(F.struct("part", "kind", "at", "low", "high")).alias("asks"))
+    asks = asked.groupBy("did").agg(F.collect_list(F.struct("part", "kind", "at", "reach")).alias("asks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +214,8 @@ def last_digits(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             did = b.column(0).to_numpy()
             lists = b.column(2)
             own = np.repeat(np.arange(len(did)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            part, kind, _, low, high = (c.to_numpy() for c in lists.flatten().flatten())
+            part, kind, at, reach = (c.to_numpy() for c in lists.flatten().flatten())
+            low, high = stretch(at, reach)
             r = kind == REMOVED
             gone = united(did[own[r]], low[r], high[r])
             yield from small(string_rows(mix64(gone[0].astype(np.uint64)), REMOVED, *gone))
