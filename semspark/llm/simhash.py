@@ -201,55 +201,128 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     return fp.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
-    """(doc_id, component_id) as in near_duplicates, for documents whose word shingles have a Jaccard similarity of about
-    `similarity` or more: several fingerprints, from rehashed shingles, each with Golay keys of its own. A pair that
-    meets in one table is verified on all fingerprints together, whose share of differing bits estimates the angle
-    between the documents. The tables take turns, and the documents that one groups go on as their first, so that a large
-    group makes pairs in one table only. A null doc_id takes part after all others."""
+def min_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of h under each of n multiplications; h must not be empty."""
+    factor = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, (factor[:, None] * h[None, at : at + 1024]).min(axis=1))
+    return least
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (index, index) that connect what is connected by pairs of sets of that Jaccard similarity at least: a search
+    in which each one reached is compared with all that aren't reached yet."""
+    size = np.array([len(x) for x in sets])
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    has = np.zeros(len(values), np.int64)
+    left = np.arange(len(sets))
+    a, b = [], []
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        flat = None
+        while frontier and len(left):
+            x = frontier.pop()
+            mine = code[start[x] : start[x] + size[x]]
+            if flat is None:
+                flat = np.concatenate([code[start[y] : start[y] + size[y]] for y in left.tolist()])
+            has[mine] = 1
+            common = np.add.reduceat(has[flat], np.cumsum(size[left]) - size[left])
+            has[mine] = 0
+            got = common >= similarity * (size[x] + size[left] - common) - 1e-9
+            if got.any():
+                a += [x] * int(got.sum())
+                b += left[got].tolist()
+                frontier += left[got].tolist()
+                left, flat = left[~got], None
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+#: Tables of the first round of similar_groups; in the second, buckets whose members the first has connected are left out.
+FIRST_TABLES = 3
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 20, least: int = 5) -> DataFrame:
+    """(doc_id, component_id) as in near_duplicates, for documents whose sets of word shingles have a Jaccard similarity
+    of `similarity` or more, and what such pairs connect. Documents whose `least` min-hashes of a table agree share a
+    bucket; in every bucket the exact similarity decides which are linked, and a forest of those links is kept. A pair of
+    similarity s shares a bucket with probability 1 - (1 - s ** least) ** tables. Only documents of equal sets are put
+    together beforehand. A null doc_id takes part after all others."""
     prepare(docs.sparkSession)
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    here, most = round(64 * angle + 3 * np.sqrt(64 * angle * (1 - angle))), round(64 * tables * angle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.arange(tables, dtype=np.uint64)
         for b in batches:
-            cells = []
+            digests, cells = [], []
             for t in texts(b):
-                h = hashes(words(t), width)
-                cells.append(np.array([majority(mix64(h + np.uint64(n)) if n else h) for n in range(tables)], np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["did", "fps"])
-
-    def split(n: int):
-        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(b.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n, np.int32)), pa.array(np.ascontiguousarray(fps[:, n])), b.column(0)], ["table", "fp", "id"])
-
-        return one
+                h = np.unique(hashes(words(t), width))
+                key = table
+                if len(h):
+                    for m in min_hashes(h, tables * least).reshape(least, tables):
+                        key = mix64(key ^ m)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                cells.append(key.tobytes() if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(cells, pa.binary())], ["did", "th", "digest", "keys"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(b.column(1).is_valid())
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in (2, 3))
-                ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most)
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
-
-    ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    fp = stage(docs.select(ids.alias("did"), F.col("text").cast("string")).mapInArrow(run, "did bigint, fps binary"))
-    unique = stage(fp.groupBy("fps").agg(F.min("did").alias("rep")))
-    alive, named = unique, unique.select("fps", F.col("rep").alias("component_id"))
-    for n in range(tables):  # what one table groups goes on as its first document
-        pairs = met(alive.select("rep", "fps").mapInArrow(split(n), "table int, fp bigint, id bigint"), here).distinct()
-        for end in ("a", "b"):
-            pairs = pairs.join(alive.select(F.col("rep").alias(end), F.col("fps").alias(f"fps_{end}")), end)
-        found = components(pairs.select("a", "b", "fps_a", "fps_b").mapInArrow(verify, "a bigint, b bigint"))
-        named = named.join(found, named.component_id == found.id, "left").select("fps", F.coalesce("root", "component_id").alias("component_id"))
-        alive = stage(alive.join(found.filter("id <> root").select(F.col("id").alias("rep")), "rep", "left_anti"))
-    return fp.join(named, "fps").select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("did", "doc_id"), ("component_id", "component_id"))))
-
-
-def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5) -> DataFrame:
+                key = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), b.num_rows)), pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(), tables))], ["table", "key", "id"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # keys of several documents, named by these, so that keys of the same documents become one bucket
+        for g in whole_groups(batches, "key"):
+            key, ids = g["key"], g["id"]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            name = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), start) ^ size.astype(np.uint64))
+            use = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[use].view(np.int64)), pa.array(ids[use]), pa.array(g["table"][use])], ["bucket", "id", "table"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # buckets whose documents aren't connected yet
+        for g in whole_groups(batches, "bucket"):
+            bucket, root = g["bucket"], g["root"]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            use = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), np.diff(np.r_[start, len(bucket)]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[use]), pa.array(g["id"][use])], ["bucket", "id"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(words(t), width)).tobytes() for t in texts(b)], pa.binary())], ["id", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, "bucket", 1 << 11):
+            cut = np.flatnonzero(np.r_[True, g["bucket"][1:] != g["bucket"][:-1], True])
+            out = [(g["id"][s:e], *linked([np.frombuffer(x, np.uint64) for x in g["hashes"][s:e]], similarity)) for s, e in zip(cut, cut[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0][x[n]] for x in out])) for n in (1, 2)], ["a", "b"])
+
+    n = partitions(docs.sparkSession)
+    ids, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.col("text").cast("string")
+    rows = docs.select(ids.alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    one = stage(rows.mapInArrow(run, "did bigint, th bigint, digest binary, keys binary"))
+    unique = stage(one.groupBy("digest").agg(F.min("did").alias("rep"), F.min("th").alias("th"), F.min("keys").alias("keys")).withColumn("id", F.xxhash64("digest")))
+    keyed = unique.select("id", "keys").mapInArrow(spread, "table int, key bigint, id bigint").repartition(n, "key").sortWithinPartitions("key", "id")
+    buckets = stage(keyed.mapInArrow(shared, "bucket bigint, id bigint, table int").groupBy("bucket", "id").agg(F.min("table").alias("table")))
+    members = unique.select("id", "th").join(buckets.select("id").distinct(), "id")
+    sets = stage(rows.select("th", "text").join(members, "th").dropDuplicates(["th"]).select("id", "text").mapInArrow(shingled, "id bigint, hashes binary"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        return stage(some.join(sets, "id").select("bucket", "id", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(compare, "a bigint, b bigint"))
+
+    edges = verified(buckets.filter(F.col("table") < FIRST_TABLES))
+    later = buckets.filter(F.col("table") >= FIRST_TABLES).join(components(edges), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    edges = edges.unionByName(verified(later.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(apart, "bucket bigint, id bigint")))
+    rooted = unique.join(components(edges), "id", "left").select("digest", "rep", F.coalesce("root", "id").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    out = one.select("did", "digest").join(rooted.join(named, "root").select("digest", "component_id"), "digest")
+    return out.select(*(F.nullif(F.col(c), F.lit(NO_ID)).alias(n) for c, n in (("did", "doc_id"), ("component_id", "component_id"))))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 20) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, one if several rows share it."""
     known = lambda df: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)))
     keep = known(similar_groups(docs, width, similarity, tables).filter("doc_id <=> component_id")).select("_id")

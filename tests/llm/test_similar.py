@@ -101,6 +101,18 @@ def test_similar_groups(spark):
     assert kept.columns == documents(spark, rows).columns and kept.count() <= 82
 
 
+def test_links_of_large_buckets_are_verified():
+    """Pairs that are near an unrelated row, and near each other, are linked whatever else a bucket holds."""
+    r = random.Random(14)
+    for others in (0, 5, 40):
+        base = [r.getrandbits(63) for _ in range(100)]
+        sets = [np.array(base[:60] + [r.getrandbits(63) for _ in range(40)], np.uint64) for _ in range(others + 1)]
+        pair = base[:55] + [r.getrandbits(63) for _ in range(45)]
+        sets += [np.array(pair, np.uint64), np.array(pair[:-4] + [r.getrandbits(63) for _ in range(4)], np.uint64)]
+        a, b = simhash.linked(sets, 0.8)
+        assert [{int(x), int(y)} for x, y in zip(a, b, strict=True)] == [{others + 1, others + 2}]
+
+
 def test_simhash_odd(spark):
     got = simhash.near_duplicates(documents(spark)).collect()
     assert len(got) == len(ODD) and {x.component_id for x in got if x.fp == 0} == {1}
