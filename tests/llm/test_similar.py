@@ -101,6 +101,23 @@ def test_similar_groups(spark):
     assert kept.columns == documents(spark, rows).columns and kept.count() <= 82
 
 
+def altered(words, n, r):
+    """words with n of them, at least 5 apart, replaced by new ones: 5 shingles each are lost."""
+    out = list(words)
+    for i in r.sample(range(1, len(words) // 6), n):
+        out[6 * i] = f"new{r.getrandbits(40)}"
+    return out
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(x[i:] for i in range(5)), strict=False)) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def grouped(spark, rows):
+    return {x.doc_id: x.component_id for x in simhash.similar_groups(documents(spark, [(i, " ".join(t), None, None, None) for i, t in rows.items()])).collect()}
+
+
 def test_links_of_large_buckets_are_verified():
     """Pairs that are near an unrelated row, and near each other, are linked whatever else a bucket holds."""
     r = random.Random(14)
@@ -113,6 +130,18 @@ def test_links_of_large_buckets_are_verified():
         assert [{int(x), int(y)} for x, y in zip(a, b, strict=True)] == [{others + 1, others + 2}]
 
 
+def test_similar_chains(spark):
+    """A~B and B~C put A and C together, though they are below the bound, whatever the order of ids."""
+    texts, _, r = prose(15, 30, (300, 300))
+    rows = {}
+    for n, a in enumerate(texts):
+        b = altered(a, 5, r)
+        c = altered(b, 5, r)
+        rows |= dict(zip([(n, 100 + n, 200 + n), (100 + n, n, 200 + n), (200 + n, 100 + n, n)][n % 3], (a, b, c), strict=True))
+    want = union([(i, j) for n in range(30) for i in (n, 100 + n, 200 + n) for j in (n, 100 + n, 200 + n) if i <= j and jaccard(rows[i], rows[j]) >= 0.8])
+    assert all(want[200 + n] == n for n in range(30)) and grouped(spark, rows) == want
+
+
 def test_simhash_odd(spark):
     got = simhash.near_duplicates(documents(spark)).collect()
     assert len(got) == len(ODD) and {x.component_id for x in got if x.fp == 0} == {1}
