@@ -142,6 +142,17 @@ def test_similar_chains(spark):
     assert all(want[200 + n] == n for n in range(30)) and grouped(spark, rows) == want
 
 
+def test_similar_recall_at_the_bound(spark):
+    """Pairs at a similarity just over 0.8 are found, those just under it are not."""
+    texts, _, r = prose(16, 200, (320, 320))
+    rows = dict(enumerate(texts)) | {1000 + n: altered(t, 6 + n % 3, r) for n, t in enumerate(texts)}
+    over = [n for n in range(200) if jaccard(rows[n], rows[1000 + n]) >= 0.8]
+    got = grouped(spark, rows)
+    assert 100 <= len(over) < 200 and max(jaccard(rows[n], rows[1000 + n]) for n in over) < 0.84
+    assert sum(got[1000 + n] == n for n in over) >= 0.99 * len(over)
+    assert all(got[1000 + n] == 1000 + n for n in set(range(200)) - set(over))
+
+
 def test_simhash_odd(spark):
     got = simhash.near_duplicates(documents(spark)).collect()
     assert len(got) == len(ODD) and {x.component_id for x in got if x.fp == 0} == {1}
