@@ -260,6 +260,23 @@ def test_chaining_finds_planted_passages(spark):
     assert len(exact) == len(range(60, 200, 20))
 
 
+@pytest.mark.parametrize("between", [(80, 80), (120, 135), (20, 250)])
+def test_passages_on_both_sides_of_other_text(spark, between):
+    """Two exact passages with unrelated words between them are returned, each on its own."""
+    texts, voc, r = prose(17, 40, (30, 60), 4000)
+    docs, want = dict(enumerate(texts)), {}
+    for n in range(0, 40, 2):
+        p, q = ([r.choice(voc) for _ in range(60)] for _ in range(2))
+        for d, gap in zip((n, n + 1), between, strict=True):
+            docs[d] = p + [r.choice(voc) for _ in range(gap)] + q
+            want[d] = 60 + gap
+    got = chaining.fuzzy_passages(documents(spark, [(i, " ".join(t), None, None, None) for i, t in docs.items()])).collect()
+    for d in range(1, 40, 2):
+        text = " ".join(docs[d]).encode()
+        at = [(len(text[: g.start].split()), g.n_words) for g in got if g.doc_id == d and g.ref_doc_id == d - 1]
+        assert len(at) == 2 and min(at)[0] == 0 and abs(max(at)[0] - want[d]) <= 3 and all(60 <= n <= 66 for _, n in at)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
