@@ -6,7 +6,10 @@
 3. Links at the threshold (less a margin for single precision) give coarse components. Lists of vectors in a component
    may be saturated, so each is enlarged to its whole component: blocks of the component are compared with blocks, in
    double precision, which gives exact link counts and a spanning forest of links, whatever the component's size.
-4. An audit compares a bounded sample of vectors with all others; below the recall asked for, rounds go on.
+4. A saturated list may also lack links to other components. Saturated vectors of a component lie in balls of a centre and
+   an angle; balls of two components that are near enough for a link are compared, and a link found joins the components.
+5. An audit compares a bounded sample of vectors with all others; below the recall asked for, rounds go on, and
+   where they don't help the query fails.
 """
 
 from __future__ import annotations
@@ -198,6 +201,66 @@ def exact(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     return keyed.repartition(n, "part").sortWithinPartitions("part", "dims", "id").mapInArrow(run, "id bigint, n bigint, a bigint, b bigint")
 
 
+def between(lists: DataFrame, coarse: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
+    """For saturated vectors of different components (id, root): a link (a, b) of each two balls that have one."""
+    spark = lists.sparkSession
+    n, reach = partitions(spark), float(np.arccos(threshold))
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [len(x) == 4 * k and np.frombuffer(x, np.float32).min() >= threshold - MARGIN for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, "ball", 1 << 12):
+            cut = np.flatnonzero(np.r_[True, g["ball"][1:] != g["ball"][:-1], True])
+            out = []
+            for s, e in zip(cut, cut[1:], strict=False):
+                m = matrix(g["v64"][s:e], np.float64)
+                c = m.mean(axis=0) if np.linalg.norm(m.mean(axis=0)) > 1e-6 else m[0]
+                c = c / np.linalg.norm(c)
+                out.append((g["ball"][s], g["root"][s], g["dims"][s], c.tobytes(), float(np.arccos(np.clip(m @ c, -1, 1)).max())))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["ball", "root", "dims", "centre", "radius"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, "part", 1 << 12):
+            cut = np.flatnonzero(np.r_[True, (g["part"][1:] != g["part"][:-1]) | (g["dims"][1:] != g["dims"][:-1]), True])
+            for s, e in zip(cut, cut[1:], strict=False):
+                names, root, block, radius = (g[x][s:e] for x in ("ball", "root", "block", "radius"))
+                c = matrix(g["centre"][s:e], np.float64)
+                ok = np.arccos(np.clip(c @ c.T, -1, 1)) <= radius[:, None] + radius[None, :] + reach + 1e-6
+                ok &= (root[:, None] != root[None, :]) & (names[:, None] < names[None, :])
+                if g["i"][s] != g["j"][s]:
+                    ok &= block[:, None] != block[None, :]
+                x, y = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], ["x", "y"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in whole_groups(batches, "pair", 1 << 12):
+            cut = np.flatnonzero(np.r_[True, (g["pair"][1:] != g["pair"][:-1]) | (g["x"][1:] != g["x"][:-1]) | (g["y"][1:] != g["y"][:-1]), True])
+            for s, e in zip(cut, cut[1:], strict=False):
+                ids, m, first = g["id"][s:e], matrix(g["v64"][s:e], np.float64), g["ball"][s:e] == g["x"][s]
+                link = m[first] @ m[~first].T >= threshold
+                if link.any():
+                    a, b = np.unravel_index(link.argmax(), link.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[first][a]]), pa.array([ids[~first][b]])], ["a", "b"])
+
+    members = lists.select("id", "sims").mapInArrow(full, "id bigint").join(coarse, "id")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(sizes, "root").withColumn("ball", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    members = stage(members.join(vectors.select("id", "dims", "v64"), "id").select("ball", "root", "id", "dims", "v64"))
+    balls = stage(members.repartition(n, "ball").sortWithinPartitions("ball").mapInArrow(ball, "ball bigint, root bigint, dims int, centre binary, radius double"))
+    blocks = -(-balls.count() // BLOCK)
+    if not blocks:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    rows = balls.withColumn("block", F.pmod(F.xxhash64("ball"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).withColumn("part", F.xxhash64("i", "j"))
+    pairs = stage(rows.repartition(n, "part").sortWithinPartitions("part", "dims").mapInArrow(near, "x bigint, y bigint").withColumn("pair", F.xxhash64("x", "y")))
+    sides = pairs.withColumn("ball", F.explode(F.array("x", "y")))
+    sides = sides.join(members, "ball").select("pair", "x", "y", "ball", "id", "v64")
+    return stage(sides.repartition(n, "pair").sortWithinPartitions("pair", "x", "y", "ball").mapInArrow(linked, "a bigint, b bigint"))
+
+
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, sample: int = SAMPLE) -> float:
     """Recall of the links of a bounded sample of vectors, held against all vectors."""
     some = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v64").collect()
@@ -254,10 +317,15 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, orde
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(nbrs[ok])], ["a", "b"])
 
         coarse = components(lists.select("id", "nbrs", "sims").mapInArrow(near, "a bigint, b bigint"))
+        joined = between(lists, coarse, vectors, threshold, k)
+        coarse = components(coarse.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(joined))
         dense = stage(exact(coarse, vectors, threshold))
         counts = stage(dense.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n_links")))
-        if done >= ROUNDS or audit(vectors, counts, threshold) >= recall:
+        reached = audit(vectors, counts, threshold)
+        if reached >= recall:
             break
+        if done >= ROUNDS:
+            raise RuntimeError(f"after {done} rounds the audit found {reached:.4f} of the links, and {recall} was asked for")
     final = components(dense.filter("a is not null").select("a", "b"))
     out = one.select("id").join(counts, "id", "left").join(final, "id", "left")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("root", "id").alias("component_id"), F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -381,6 +381,27 @@ def test_nndescent(spark, tmp_path):
     assert (got.component_id.to_numpy() == comp).mean() > 0.99 and (got.kept == (got.vec_id == got.component_id)).all()
 
 
+def test_links_between_saturated_groups(spark, monkeypatch):
+    """Groups of more near copies than a list holds, linked with each other: no list has an entry of the other group."""
+    rng = np.random.default_rng(18)
+    x = rng.standard_normal((1200, 32))
+    x[0] /= np.linalg.norm(x[0])
+    for n in range(8):  # cosine 0.95 between the groups of a pair, about 0.999 within
+        a = x[1000 + n] / np.linalg.norm(x[1000 + n])
+        b = x[1100 + n] - (x[1100 + n] @ a) * a
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b)
+        for at, c in ((100 * n, a), (100 * n + 50, b)):
+            x[at : at + 40] = c + 0.005 * rng.standard_normal((40, 32))
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))])
+    n, comp = brute_links(x.astype(np.float32))
+    assert n[0] == 80
+    got = nndescent.near_duplicates(rows).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == n.tolist() and got.component_id.tolist() == comp.tolist()
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="0.5000 of the links"):
+        nndescent.near_duplicates(rows)
+
+
 def test_blocks_of_large_components(spark, monkeypatch):
     """A component of several blocks is counted as it is in one."""
     rng = np.random.default_rng(13)
