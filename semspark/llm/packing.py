@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Tokens: a text is cut by the vocabulary's pre-tokeniser rule, worked out in numpy for texts of Latin letters; each
-distinct word goes to the tokenizer once and is then looked up by its hash. Other texts go to the tokenizer whole.
+Tokens: the vocabulary's pre-tokeniser always parts a text before a space that follows a non-space, so a text is cut there
+and each distinct piece goes to the tokenizer once; its ids are then looked up by the piece itself.
 
 Packing: partitions pack their pieces by best fit, longest first. Bins that are nearly full are final. Underfull bins
 become items of the next round, in an eighth as many partitions, until one is left; what counts as nearly full doubles
@@ -11,7 +11,7 @@ its slack each round, so that what goes up the tree stays a few bins for each pa
 from __future__ import annotations
 
 import functools
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,134 +23,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from semspark.llm.common import documents, mix64, prepare, stage, texts
+from semspark.llm.common import documents, prepare, stage, texts
 
 CAPACITY = 1024
 END = 2
 ITEMS_PER_TASK = 50_000
 FAN_IN = 8
 SLACK = 16
-#: Code points whose classes are the same in every version of Unicode that matters here; texts with others go the plain way.
-KNOWN = 0x250
-#: Distinct words that a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 200_000
-BLOCK_CHARS = 500_000
+#: Longer pieces aren't kept; of the others those that come a second time are, up to so many bytes, then all are dropped.
+LONGEST_KEPT = 64
+KEPT_BYTES = 112 << 20
+ENTRY_BYTES = 200
+#: Pieces met once are marked by hash in a table of so many places, which is wiped when half of them are taken.
+MARKS = 1 << 21
+BLOCK_CHARS = 300_000
+JOINED = 200
 
-
-@functools.cache
-def classes() -> np.ndarray:
-    """1 letter, 2 number, 3 other, 0 space, 9 not known."""
-    out = np.full(0x110000, 9, np.uint8)
-    for c in [*range(9, 14), *range(32, 127), *range(0xA1, KNOWN), *range(0x2010, 0x2028)]:
-        kind = unicodedata.category(chr(c))[0]
-        out[c] = 0 if c <= 32 else {"L": 1, "N": 2}.get(kind, 3)
-    return out
+#: White space in any version of Unicode, and what some versions count as such.
+_BLANK = r"[\s\u180e\u200b\ufeff]"
+_BETWEEN_BLANKS = re.compile(rf"{_BLANK} (?:{_BLANK}|\Z)")
+_SURE_CUT = re.compile(rf"(?<!{_BLANK})(?= )")
 
 
 class Tokens:
-    """Token ids of many texts at once, equal to Tokenizer.encode(text, add_special_tokens=False)."""
+    """Token ids of many texts at once, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    def __init__(self, path: str) -> None:
+    The pre-tokeniser's pieces are 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+: a space
+    is inside none but a run of blanks, so one next to a non-blank on either side begins a piece, and what lies between
+    two such spaces is tokenised alike wherever it stands.
+    """
+
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.up = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK_CHARS * 2, 0x9E3779B97F4A7C15, np.uint64)], dtype=np.uint64)
-        self.down = np.cumprod(np.r_[np.uint64(1), np.full(BLOCK_CHARS * 2, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-        self.value = mix64(np.arange(0x2028, dtype=np.uint64) + np.uint64(77))
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
+        # a byte-level vocabulary writes each byte as one character
+        size = self.tokenizer.get_vocab_size()
+        self.width = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)
+        self.kept_bytes = kept_bytes
+        self.kept: dict[str, bytes] = {}
         self.used = 0
-        self.first, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.met, self.marked = bytearray(MARKS), 0
+
+    def plain(self, found: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
-    def plain(self, found: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a text, each but the first without the space that it begins with."""
+        if not _BETWEEN_BLANKS.search(text):
+            return text.split(" ")
+        first, *others = _SURE_CUT.split(text)
+        return [first, *(x[1:] for x in others)]
 
-    def many(self, found: list[str]) -> list[np.ndarray]:
-        """Each text's ids."""
-        out: list[np.ndarray | None] = [None] * len(found)
+    def many(self, found: list[str]) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = []
         block, size = [], 0
-        for i, t in enumerate(found):
-            c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-            if not len(c):
-                out[i] = np.zeros(0, np.uint32)
-            elif len(c) > BLOCK_CHARS or (classes()[c] == 9).any() or any(s in t for s in self.special):
-                out[i] = self.plain([t])[0]
-            else:
-                block.append((i, t, c))
-                size += len(c)
-                if size >= BLOCK_CHARS:
-                    self.block(block, out)
-                    block, size = [], 0
-        if block:
-            self.block(block, out)
-        return out  # type: ignore[return-value]
-
-    def block(self, block: list[tuple[int, str, np.ndarray]], out: list) -> None:
-        c = np.concatenate([x[2] for x in block])
-        bounds = np.r_[0, np.cumsum([len(x[2]) for x in block])]
-        start = self.starts(c, bounds[:-1])
-        begin = np.flatnonzero(start)
-        end = np.r_[begin[1:], len(c)]
-        s = np.r_[np.uint64(0), np.cumsum(self.value[c] * self.up[: len(c)], dtype=np.uint64)]
-        h = mix64((s[end] - s[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
-        unique, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        known = self.known
-        index = [known.get(x, -1) for x in unique.tolist()]
-        new = [i for i, x in enumerate(index) if x < 0]
-        if new:
-            text = "".join(x[1] for x in block)
-            ids = self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)], add_special_tokens=False)
-            lists = [e.ids for e in ids]
-            n = len(known)
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for e in lists for x in e), np.uint32, int(lengths.sum()))
-            while len(self.pool) < self.used + len(flat):
-                self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-            while len(self.first) < n + len(new):
-                self.first, self.count = np.r_[self.first, np.zeros_like(self.first)], np.r_[self.count, np.zeros_like(self.count)]
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.first[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.count[n : n + len(new)] = lengths
-            self.used += len(flat)
-            for j, i in enumerate(new):
-                index[i] = n + j
-                known[int(unique[i])] = n + j
-        word = np.array(index)[back]
-        count = self.count[word]
-        ends = np.cumsum(count)
-        ids = self.pool[np.repeat(self.first[word] - (ends - count), count) + np.arange(ends[-1])]
-        cut = np.r_[0, ends][np.searchsorted(begin, bounds)]
-        for k, (i, _, _) in enumerate(block):
-            out[i] = ids[cut[k] : cut[k + 1]]
-
-    @staticmethod
-    def starts(c: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Where the words of 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+ begin."""
-        k = classes()[c]
-        opens = np.zeros(len(c) + 3, bool)
-        opens[first] = True
-        space = k == 0
-        before = np.r_[np.uint8(9), k[:-1]]
-        blank = np.r_[False, c[:-1] == 32]
-        last = space & np.r_[~space[1:], False] & ~opens[1 : len(c) + 1]  # the run's last, with a word after it
-        start = np.where(space, (before != 0) | last, (before != k) & ~blank)
-        start = np.r_[start | opens[: len(c)], False, False, False]
-        at = np.flatnonzero((c == 39) & start[: len(c)])
-        if len(at):
-            follow = np.r_[c, 0, 0]
-            here = ~opens[at + 1]
-            one = at[here & np.isin(follow[at + 1], [115, 116, 109, 100])]
-            pairs = follow[at + 1].astype(np.int64) << 16 | follow[at + 2]
-            two = at[here & ~opens[at + 2] & np.isin(pairs, [ord(x) << 16 | ord(y) for x, y in ("re", "ve", "ll")])]
-            start[one + 1] = False
-            start[one + 2] = True
-            start[two + 1] = start[two + 2] = False
-            start[two + 3] = True
-        return start[: len(c)]
+        for t in found:
+            block.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                out += self.block(block)
+                block, size = [], 0
+        return out + self.block(block)
+
+    def block(self, block: list[str]) -> list[bytes]:
+        whole = [any(s in t for s in self.special) for t in block]
+        cut = [[t] if w else self.pieces(t) for t, w in zip(block, whole, strict=True)]
+        wanted: set[str] = set()
+        wanted.update(*(p[1:] for p in cut))
+        kept = self.kept
+        ids = {w: x for w in wanted if (x := kept.get(w)) is not None}
+        if len(ids) < len(wanted):
+            new = [w for w in wanted if w not in ids]
+            for at in range(0, len(new), JOINED):
+                ids.update(self.encoded(new[at : at + JOINED]))
+            self.keep(new, ids)
+        first = self.plain([p[0] for p in cut])
+        return [f + b"".join([ids[w] for w in p[1:]]) for f, p in zip(first, cut, strict=True)]
+
+    def keep(self, new: list[str], ids: dict[str, bytes]) -> None:
+        met, kept = self.met, self.kept
+        if self.marked > MARKS // 2:
+            self.met, self.marked = bytearray(MARKS), 0
+            met = self.met
+        for w in new:
+            place = hash(w) & (MARKS - 1)
+            if not met[place]:
+                met[place] = 1
+                self.marked += 1
+            elif len(w) <= LONGEST_KEPT:
+                kept[w] = x = ids[w]
+                self.used += len(w) + len(x) + ENTRY_BYTES
+        if self.used > self.kept_bytes:
+            self.kept, self.used = {}, 0
+
+    def encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with the ids of " " + word: all are encoded as one text, which is cut at its spaces."""
+        text = " " + " ".join(words)
+        if _BETWEEN_BLANKS.search(text) or any(s in text for s in self.special):
+            return zip(words, self.plain([" " + w for w in words]), strict=True)
+        line = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
+        cut = [*(4 * np.searchsorted(np.cumsum(self.width[line]), spaces, side="right")).tolist(), 4 * len(line)]
+        held = line.tobytes()
+        return zip(words, [held[a:z] for a, z in zip(cut, cut[1:], strict=False)], strict=True)
 
 
 @functools.cache
@@ -172,20 +148,21 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = tokens(path)
+        mark = np.array([end], "<u4").tobytes()
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for d, ids in zip(b.column(0).to_pylist(), coder.many([t or "" for t in texts(b)]), strict=True):
-                whole = np.append(ids, np.uint32(end)).astype("<u4")
-                at, n = 0, len(whole) % capacity or capacity
-                while at < len(whole):
+                whole = ids + mark
+                total = len(whole) // 4
+                at, n = 0, total % capacity or capacity
+                while at < total:
                     doc.append(d)
                     piece.append(piece[-1] + 1 if at else 0)
                     start.append(at)
                     length.append(n)
-                    crc.append(zlib.crc32(whole[at : at + n].tobytes()))
+                    crc.append(zlib.crc32(whole[4 * at : 4 * (at + n)]))
                     at, n = at + n, capacity
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        coder.forget()  # the worker goes on to other tasks
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

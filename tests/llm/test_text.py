@@ -240,14 +240,44 @@ def test_packing_odd(spark):
     assert packing.packed_documents(documents(spark, [])).count() == 0
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet="abcéÑ '\"stmdrvel  \n\t.,!?123²„“漢\x85\xa0", max_size=40), max_size=5))
+def ids_of(cells):
+    return [np.frombuffer(x, "<u4").tolist() for x in cells]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet="abcéÑ '\"stmdrvel  \n\t.,!?123²„“漢\x85\xa0\u180e\u2028\u0301", max_size=40), max_size=5))
 def test_tokens_are_those_of_the_tokenizer(found):
     coder = packing.tokens(VOCABULARY)
-    assert [list(x) for x in coder.many(found)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
+    assert ids_of(coder.many(found)) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
 
 
 def test_special_words_in_texts():
     coder = packing.tokens(VOCABULARY)
-    for t in ("a <|endoftext|> b", "don't 's 're '' ''s x'll", "  \n\n a", "a \n", "'"):
-        assert list(coder.many([t, t])[1]) == coder.tokenizer.encode(t, add_special_tokens=False).ids
+    for t in ("a <|endoftext|> b", "don't 's 're '' ''s x'll", "  \n\n a", "a \n", "'", "a  ", "a   b", " ", "  ", "\n \n x", "x \u00a0 y"):
+        assert ids_of(coder.many([t, t])) == [coder.tokenizer.encode(t, add_special_tokens=False).ids] * 2
+
+
+def test_long_words_that_collide_under_polynomial_hashes():
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    found = [f"x {a} y", f"x {a.translate(str.maketrans('ab', 'ba'))} y", f"{a} {a}"]
+    coder = packing.tokens(VOCABULARY)
+    assert len(a) == 1024 and ids_of(coder.many(found)) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
+
+
+def test_kept_words_stay_within_their_bytes():
+    coder = packing.Tokens(VOCABULARY, kept_bytes=20_000)
+    texts, _, _ = prose(7, 400, (1, 60), 5000)
+    for at in range(0, 400, 20):
+        part = [" ".join(t) for t in texts[at : at + 20]]
+        assert ids_of(coder.many(part)) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert coder.used <= 20_000 and len(coder.kept) * packing.ENTRY_BYTES <= coder.used
+
+
+def test_words_met_twice_are_kept():
+    coder = packing.Tokens(VOCABULARY)
+    coder.many(["one two three", "one"])
+    assert not coder.kept
+    coder.many(["x two four"])
+    assert list(coder.kept) == ["two"]
