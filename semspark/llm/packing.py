@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Tokens: the vocabulary's pre-tokeniser always parts a text before a space that follows a non-space, so a text is cut there
-and each distinct piece goes to the tokenizer once; its ids are then looked up by the piece itself.
+Tokens: ids are those of the vocabulary file's tokenizer. Its merges run in a faster engine where that is proven to give the
+same ids (see Tokens); other texts go to the tokenizer itself.
 
 Packing: partitions pack their pieces by best fit, longest first. Bins that are nearly full are final. Underfull bins
 become items of the next round, in an eighth as many partitions, until one is left; what counts as nearly full doubles
@@ -11,13 +11,15 @@ its slack each round, so that what goes up the tree stays a few bins for each pa
 from __future__ import annotations
 
 import functools
-import re
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,103 +32,67 @@ END = 2
 ITEMS_PER_TASK = 50_000
 FAN_IN = 8
 SLACK = 16
-#: Longer pieces aren't kept; of the others those that come a second time are, up to so many bytes, then all are dropped.
-LONGEST_KEPT = 64
-KEPT_BYTES = 112 << 20
-ENTRY_BYTES = 200
-#: Pieces met once are marked by hash in a table of so many places, which is wiped when half of them are taken.
-MARKS = 1 << 21
-BLOCK_CHARS = 300_000
-JOINED = 200
 
-#: White space in any version of Unicode, and what some versions count as such.
-_BLANK = r"[\s\u180e\u200b\ufeff]"
-_BETWEEN_BLANKS = re.compile(rf"{_BLANK} (?:{_BLANK}|\Z)")
-_SURE_CUT = re.compile(rf"(?<!{_BLANK})(?= )")
 
+@functools.cache
+def unsure() -> np.ndarray:
+    """Code points that some version of Unicode's tables may class otherwise than another: letter, number, blank or neither."""
+    def kind(category: str) -> str:
+        return {"L": "letter", "N": "number", "Z": "blank"}.get(category[0], "other")
+
+    old = unicodedata.ucd_3_2_0
+    sure = lambda c: (was := old.category(c))[0] != "C" and kind(was) == kind(unicodedata.category(c))
+    out = np.fromiter((not sure(chr(c)) for c in range(0x110000)), bool, 0x110000)
+    out[9:14] = False
+    return out
 
-class Tokens:
-    """Token ids of many texts at once, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    The pre-tokeniser's pieces are 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+: a space
-    is inside none but a run of blanks, so one next to a non-blank on either side begins a piece, and what lies between
-    two such spaces is tokenised alike wherever it stands.
+class Tokens:
+    """Token ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).
+
+    Byte-pair encoding may be run by merging, again and again, the two neighbours whose joint bytes are the token of the
+    lowest id (as tiktoken does), instead of the lowest listed pair. Both give the same ids if a token's id is that of
+    its merge, each merge joins tokens of lower ids, and the tokenizer encodes each token's bytes as this token. For
+    suppose a first difference: all merges below some id are done alike, and neighbours p, q, which aren't a listed pair,
+    have the joint bytes of that id's token. No merge has crossed their outer edges, so the token's bytes alone would
+    also have come to p, q, and no listed merge would make them one; but the tokenizer encodes them as one token. All
+    this is checked when a file is loaded; where it doesn't hold the tokenizer does everything. It also gets texts with
+    special tokens in them or with code points whose class isn't the same in all versions of Unicode.
     """
 
-    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
+    def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a byte-level vocabulary writes each byte as one character
-        size = self.tokenizer.get_vocab_size()
-        self.width = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)
-        self.kept_bytes = kept_bytes
-        self.kept: dict[str, bytes] = {}
-        self.used = 0
-        self.met, self.marked = bytearray(MARKS), 0
-
-    def plain(self, found: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text, each but the first without the space that it begins with."""
-        if not _BETWEEN_BLANKS.search(text):
-            return text.split(" ")
-        first, *others = _SURE_CUT.split(text)
-        return [first, *(x[1:] for x in others)]
+        with open(path, encoding="utf-8") as f:
+            self.engine = self.fast(json.load(f))
+
+    def fast(self, spec: dict) -> tiktoken.Encoding | None:
+        model, cutter = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")) and not spec.get("normalizer") and not spec.get("post_processor")
+        if model.get("type", "BPE") != "BPE" or not plain or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex"):
+            return None
+        own = {t["content"] for t in spec.get("added_tokens", [])}
+        ids = {k: i for k, i in model["vocab"].items() if k not in own}
+        # a byte-level vocabulary writes each byte as one character: printable ones as themselves, the others from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letter = {chr(b): b for b in seen} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(seen))}
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        if len(ids) != 256 + len(pairs) or any(c not in ids or ids[c] >= 256 for c in letter):
+            return None
+        if any(ids.get(a + b) != 256 + n or not max(ids.get(a, 1 << 60), ids.get(b, 1 << 60)) < 256 + n for n, (a, b) in enumerate(pairs)):
+            return None
+        if any([t.id for t in self.tokenizer.model.tokenize(k)] != [i] for k, i in ids.items()):
+            return None
+        return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(letter[c] for c in k): i for k, i in ids.items()}, special_tokens={})
 
     def many(self, found: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        out: list[bytes] = []
-        block, size = [], 0
-        for t in found:
-            block.append(t)
-            size += len(t)
-            if size >= BLOCK_CHARS:
-                out += self.block(block)
-                block, size = [], 0
-        return out + self.block(block)
-
-    def block(self, block: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.special) for t in block]
-        cut = [[t] if w else self.pieces(t) for t, w in zip(block, whole, strict=True)]
-        wanted: set[str] = set()
-        wanted.update(*(p[1:] for p in cut))
-        kept = self.kept
-        ids = {w: x for w in wanted if (x := kept.get(w)) is not None}
-        if len(ids) < len(wanted):
-            new = [w for w in wanted if w not in ids]
-            for at in range(0, len(new), JOINED):
-                ids.update(self.encoded(new[at : at + JOINED]))
-            self.keep(new, ids)
-        first = self.plain([p[0] for p in cut])
-        return [f + b"".join([ids[w] for w in p[1:]]) for f, p in zip(first, cut, strict=True)]
-
-    def keep(self, new: list[str], ids: dict[str, bytes]) -> None:
-        met, kept = self.met, self.kept
-        if self.marked > MARKS // 2:
-            self.met, self.marked = bytearray(MARKS), 0
-            met = self.met
-        for w in new:
-            place = hash(w) & (MARKS - 1)
-            if not met[place]:
-                met[place] = 1
-                self.marked += 1
-            elif len(w) <= LONGEST_KEPT:
-                kept[w] = x = ids[w]
-                self.used += len(w) + len(x) + ENTRY_BYTES
-        if self.used > self.kept_bytes:
-            self.kept, self.used = {}, 0
-
-    def encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with the ids of " " + word: all are encoded as one text, which is cut at its spaces."""
-        text = " " + " ".join(words)
-        if _BETWEEN_BLANKS.search(text) or any(s in text for s in self.special):
-            return zip(words, self.plain([" " + w for w in words]), strict=True)
-        line = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        spaces = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-        cut = [*(4 * np.searchsorted(np.cumsum(self.width[line]), spaces, side="right")).tolist(), 4 * len(line)]
-        held = line.tobytes()
-        return zip(words, [held[a:z] for a, z in zip(cut, cut[1:], strict=False)], strict=True)
+        return [self.one(t) for t in found]
+
+    def one(self, text: str) -> bytes:
+        odd = self.engine is None or any(s in text for s in self.special) or unsure()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if odd else self.engine.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, "<u4").tobytes()
 
 
 @functools.cache

@@ -266,18 +266,23 @@ def test_long_words_that_collide_under_polynomial_hashes():
     assert len(a) == 1024 and ids_of(coder.many(found)) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
 
 
-def test_kept_words_stay_within_their_bytes():
-    coder = packing.Tokens(VOCABULARY, kept_bytes=20_000)
-    texts, _, _ = prose(7, 400, (1, 60), 5000)
-    for at in range(0, 400, 20):
-        part = [" ".join(t) for t in texts[at : at + 20]]
-        assert ids_of(coder.many(part)) == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
-        assert coder.used <= 20_000 and len(coder.kept) * packing.ENTRY_BYTES <= coder.used
-
-
-def test_words_met_twice_are_kept():
-    coder = packing.Tokens(VOCABULARY)
-    coder.many(["one two three", "one"])
-    assert not coder.kept
-    coder.many(["x two four"])
-    assert list(coder.kept) == ["two"]
+def test_engine_and_tokenizer_class_code_points_alike():
+    coder = packing.tokens(VOCABULARY)
+    assert coder.engine is not None
+    sure = [chr(c) for c in np.flatnonzero(~packing.unsure()).tolist()]
+    assert len(sure) > 90_000 and all(c in sure[:5000] for c in "a Z9\n\t\xa0éñßд漢"[:9])
+    lines = ["".join(f"a{c}b {c}{c} 1{c}2  {c}." for c in sure[at : at + 50]) for at in range(0, len(sure), 50)]
+    want = [e.ids for e in coder.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+    assert [coder.engine.encode_ordinary(t) for t in lines] == want
+
+
+def test_vocabularies_that_the_engine_cannot_run(tmp_path):
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"].reverse()
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    coder = packing.Tokens(str(tmp_path / "v.json"))
+    assert coder.engine is None
+    assert ids_of(coder.many(["some words, and more"])) == [coder.tokenizer.encode("some words, and more", add_special_tokens=False).ids]
