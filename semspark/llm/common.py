@@ -58,6 +58,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def small(batch: pa.RecordBatch, n: int = 20_000) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string or binary column's bytes end to end, and where its values begin and end; null: empty."""
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if column.null_count:
+        column = column.fill_null("" if text else b"")
+    _, where, held = column.buffers()
+    bounds = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if where else np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8), bounds
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
     """Batches of a partition sorted by key, regrouped to about so many rows, no key being spread over two; columns as
     numpy arrays."""
@@ -212,6 +228,38 @@ def components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     return found
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int, Callable[..., DataFrame]]:
+    """docs (doc_id, text) as (did, text), did being different for every row and in the order of doc_id, nulls last; how many
+    bytes the texts have; and what turns columns of dids back into doc_ids.
+
+    Where ids are unique, and one at most is null, did is the id. Else did is the row's place in the order of id, text's
+    hash and text, worked out by a distributed sort; rows that are alike in all three may take any of their places.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    seen = rows.groupBy(key.alias("did")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    size, most = seen.agg(F.sum("size"), F.max("n")).first()
+    if (most or 0) <= 1:
+        return rows.select(key.alias("did"), "text"), size or 0, lambda df, *names: df.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in names})
+    salted = rows.select(key.alias("did"), "doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("salt"), "text")
+    placed = salted.repartitionByRange(partitions(spark), "did", "th", "salt").sortWithinPartitions("did", "th", "text", "salt")
+    placed = stage(placed.select("doc_id", "text", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row for each partition
+    before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+    starts = spark.createDataFrame([(r["part"], b) for r, b in zip(counts, before, strict=False)], "part bigint, start bigint")
+    one = placed.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("did"), "doc_id", "text")
+
+    def back(df: DataFrame, *names: str) -> DataFrame:
+        for c in names:
+            known = one.select(F.col("did").alias("_did"), F.col("doc_id").alias("_doc"))
+            df = df.join(known, df[c] == F.col("_did"), "left").withColumn(c, F.col("_doc")).drop("_did", "_doc")
+        return df
+
+    return one.select("did", "text"), size, back
+
+
 def aside(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and the whole row in one column `_row`: an operator's own columns then clash with none."""
     return df.select(*names, F.struct(*df.columns).alias("_row"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import NO_ID, Rolling, documents, mix64, partitions, prepare, sliding_min, united, whole_groups
+from semspark.llm.common import NO_ID, Rolling, documents, mix64, partitions, prepare, sliding_min, small, text_bytes, united, whole_groups
 
 LENGTH = 100
 BLOCK = 2 << 20
@@ -127,20 +127,6 @@ def removed(did: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatc
     return rows(mix64(did.astype(np.uint64)), REMOVED, 0, did, low, low, high)
 
 
-def small(batch: pa.RecordBatch, n: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, n):
-        yield batch.slice(at, n)
-
-
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string or binary column's bytes end to end, and where its values begin and end; null: empty."""
-    if column.null_count:
-        column = column.fill_null("" if pa.types.is_string(column.type) else b"")
-    _, where, held = column.buffers()
-    bounds = np.frombuffer(where, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if where else np.zeros(len(column) + 1, np.int64)
-    return np.frombuffer(held, np.uint8) if held else np.zeros(0, np.uint8), bounds
-
-
 def first_pass(docs: DataFrame, length: int, hot_here: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

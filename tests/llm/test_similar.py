@@ -304,6 +304,93 @@ def test_edit_distance_and_chains():
         assert abs(top - max(best.values())) < 1e-9
 
 
+def test_passages_put_together_from_earlier_ones(spark):
+    """A 96-word passage of two documents is found though eight earlier ones hold overlapping 28-word parts of it."""
+    texts, voc, r = prose(23, 40, (30, 60), 4000)
+    docs = dict(enumerate(texts))
+    p = [r.choice(voc) for _ in range(96)]
+    for n, at in enumerate(range(0, 69, 9)):
+        docs[n] = docs[n][:10] + p[at : at + 28] + docs[n][10:]
+    docs[20], docs[30] = docs[20][:5] + p + docs[20][5:], docs[30][:15] + p + docs[30][15:]
+    got = chaining.fuzzy_passages(documents(spark, [(i, " ".join(t), None, None, None) for i, t in docs.items()])).collect()
+    assert [(g.doc_id, g.ref_doc_id) for g in got if g.n_words >= 96 and g.similarity == 1] == [(30, 20)]
+
+
+def mosaics(seed, n):
+    """Documents put together from parts of common pieces of 50 to 160 words and words of their own."""
+    texts, voc, r = prose(seed, n, (5, 40), 3000)
+    pieces = [[r.choice(voc) for _ in range(r.randint(50, 160))] for _ in range(8)]
+    for t in texts:
+        for _ in range(r.randint(0, 3)):
+            q = r.choice(pieces)
+            a = r.randrange(max(1, len(q) - 20))
+            at = r.randrange(len(t))
+            t[at:at] = q[a : a + r.randint(20, 90)]
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_long_repetitions_are_covered(spark, seed):
+    """Brute force: each run of LONG_RUN words that occurs earlier, in any document, lies in a passage, and passages hold."""
+    docs = mosaics(seed, 60)
+    got = chaining.fuzzy_passages(documents(spark, [(i, " ".join(t), None, None, None) for i, t in enumerate(docs)])).collect()
+    n, seen, found = chaining.LONG_RUN, set(), 0
+    for i, t in enumerate(docs):
+        stops = np.cumsum([len(w) + 1 for w in t]) - 1
+        for a in range(len(t) - n + 1):
+            run = tuple(t[a : a + n])
+            if run in seen:
+                found += 1
+                start, stop = int(stops[a]) - len(t[a]), int(stops[a + n - 1])
+                inside = [(max(start, g.start), min(stop, g.stop)) for g in got if g.doc_id == i]
+                assert sum(len(" ".join(t)[x:y].split()) for x, y in inside if x < y) >= n, (i, a)
+            seen.add(run)
+    assert found > 100
+    for g in got:
+        x, y = " ".join(docs[g.doc_id])[g.start : g.stop].split(), " ".join(docs[g.ref_doc_id])[g.ref_start : g.ref_stop].split()
+        assert len(x) >= 40 and abs(1 - edit(x, y) / max(len(x), len(y)) - g.similarity) < 1e-9 and g.similarity >= 0.8
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    docs = mosaics(5, 300)
+    df = documents(spark, [(i, " ".join(t), None, None, None) for i, t in enumerate(docs)])
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts, size in ((1, 1 << 21), (4, 20_000), (64, 3_000)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted(map(str, chaining.fuzzy_passages(df.repartition(parts), block_bytes=size).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(seen[0]) > 100 and seen[0] == seen[1] == seen[2]
+
+
+def test_recall_of_changed_passages(spark):
+    """Of passages of 60 words with so many of them changed at random places, how many are found (README)."""
+    texts, voc, r = prose(31, 400, (20, 60), 5000)
+    for share, least in ((0.05, 0.99), (0.10, 0.97), (0.15, 0.85)):
+        docs = [list(t) for t in texts]
+        for i in range(200):
+            p = [r.choice(voc) for _ in range(60)]
+            q = list(p)
+            for k in r.sample(range(60), round(60 * share)):
+                q[k] = r.choice(voc)
+            docs[i][10:10], docs[200 + i][15:15] = p, q
+        got = chaining.fuzzy_passages(documents(spark, [(i, " ".join(t), None, None, None) for i, t in enumerate(docs)])).collect()
+        pairs = {(g.ref_doc_id, g.doc_id) for g in got}
+        recall = sum((i, 200 + i) in pairs for i in range(200)) / 200
+        print(share, recall, len(pairs))
+        assert recall >= least and len(pairs) <= 205
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    texts, voc, r = prose(41, 12, (50, 60), 4000)
+    p = [r.choice(voc) for _ in range(60)]
+    rows = [(None if i % 3 else i // 4, " ".join(t[:20] + p + t[20:]), None, None, None) for i, t in enumerate(texts)]
+    got = chaining.fuzzy_passages(documents(spark, rows)).collect()
+    assert len(got) == 11 and all(g.similarity == 1 for g in got) and sum(g.doc_id is None for g in got) == 8
+    assert sorted(g.doc_id for g in got if g.doc_id is not None) == [0, 1, 2]
+
+
 def test_chaining_odd(spark):
     assert {r.doc_id for r in chaining.fuzzy_passages(documents(spark)).collect()} <= {9}
     assert chaining.fuzzy_passages(documents(spark, [])).count() == 0
