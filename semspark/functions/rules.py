@@ -4,7 +4,7 @@ or a predicate registered under its id that touches only the columns the rule bi
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,43 @@ def expression(template: str) -> Column:
     return F.expr(re.sub(r"\b[a-z]{1,2}\.(?=\w)", "", text))
 
 
+_TAG = re.compile(r"\{%\s*(if\s+(?:not\s+)?\w+|else|endif)\s*%\}")
+_NAMED = re.compile(r"\{\{\s*(\w+)\s*\}\}|(?<![\w:]):(\w+)")
+
+
+def rendered(template: str, given: Mapping[str, object], marker: str = "_bound_{}") -> tuple[str, dict[str, object]]:
+    """A template with its conditionals settled ({% if name %} ... {% else %} ... {% endif %}, {% if not name %}; a parameter
+    holds if it is given and not null), and the values that it names as {{ name }} or :name. These are bound: the text gets
+    a marker for each, never the value. A name that isn't given is a KeyError; comments go first."""
+    text = re.sub(r"--[^\n]*", "", template)
+    out, open_ = [], []  # of each open conditional, if its part is kept
+    at = 0
+    for m in _TAG.finditer(text):
+        if all(open_):
+            out.append(text[at : m.start()])
+        at = m.end()
+        words = m[1].split()
+        if words[0] == "if":
+            open_.append((given.get(words[-1]) is not None) != (words[1] == "not" and len(words) == 3))
+        elif not open_:
+            raise ValueError(f"{{% {m[1]} %}} stands outside any conditional")
+        elif words[0] == "else":
+            open_[-1] = not open_[-1]
+        else:
+            open_.pop()
+    if open_:
+        raise ValueError("a conditional isn't closed")
+    out.append(text[at:])
+    bound: dict[str, object] = {}
+
+    def bind(m: re.Match) -> str:
+        name = m[1] or m[2]
+        bound[marker.format(name).lstrip(":")] = given[name]
+        return marker.format(name)
+
+    return _NAMED.sub(bind, "".join(out)), bound
+
+
 _UDFS: dict[str, Callable[..., Column]] = {}
 
 

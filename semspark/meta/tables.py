@@ -24,7 +24,7 @@ META_TABLES = {
     "meta_rule_refs": ("rule_id", "ref_kind", "ref_value"),
     "meta_decision_policy": ("slot", "policy", "governing_rule", "rule_id", "on_missing"),
     "meta_rule_kinds": ("term", "lane", "closed"),
-    "meta_edges": ("edge_id", "level", "type", "from_concept", "to_concept", "cardinality", "join_rule", "role"),
+    "meta_edges": ("edge_id", "level", "type", "from_concept", "to_concept", "cardinality", "join_rule", "role", "realized_by_register", "verified_by", "confidence"),
     "meta_edge_join_clauses": ("edge_id", "ordinal", "left_relation", "left_column", "right_relation", "right_column"),
     "meta_provenance": ("source", "versions", "input_path", "input_sha256", "input_bytes"),
 }
@@ -43,6 +43,11 @@ def cardinality_label(e) -> str:
     return f"{many(e.source_cardinality)}:{many(e.target_cardinality)}"
 
 
+def _register(e) -> str | None:
+    by = e.doc.get("realized_by")
+    return by.get("via_register") if isinstance(by, dict) else None
+
+
 def variant(code: str) -> tuple[str, str]:
     """(stem, suffix) of a dotted code."""
     stem, _, suffix = code.rpartition(".")
@@ -146,7 +151,7 @@ def rows(m: Model) -> dict[str, list[dict]]:
         "meta_rule_refs": _rule_refs(m),
         "meta_decision_policy": _policies(m),
         "meta_rule_kinds": [{"term": k, "lane": LANES[k], "closed": True} for k in RULE_KINDS],
-        "meta_edges": [{"edge_id": e.edge_id, "level": e.level, "type": e.type, "from_concept": e.source, "to_concept": e.target, "cardinality": cardinality_label(e), "join_rule": e.join_rule, "role": e.role} for e in m.edges.values()],
+        "meta_edges": [{"edge_id": e.edge_id, "level": e.level, "type": e.type, "from_concept": e.source, "to_concept": e.target, "cardinality": cardinality_label(e), "join_rule": e.join_rule, "role": e.role, "realized_by_register": _register(e), "verified_by": e.doc.get("verified_by"), "confidence": e.doc.get("confidence")} for e in m.edges.values()],
         "meta_edge_join_clauses": [{"edge_id": e.edge_id, "ordinal": n, "left_relation": c.left_relation, "left_column": c.left_column, "right_relation": c.right_relation, "right_column": c.right_column} for e in m.edges.values() for n, c in enumerate(e.clauses)],
         "meta_provenance": _provenance(m),
     }
@@ -174,6 +179,47 @@ def meta_tables(spark: SparkSession, m: Model, views: bool = False) -> dict[str,
     return out
 
 
+def _lines(width: int, **fields: object) -> list[str]:
+    """Fields that are given, aligned."""
+    return [f"{k:<{width}} {text(v)}" for k, v in fields.items() if v not in (None, "", [], {})]
+
+
+def concept_cards(m: Model) -> dict[str, str]:
+    """What is known of each concept, as one text by name: what it is, where its rows are, its rules and its edges."""
+    out = {}
+    for c in m.concepts.values():
+        body = [f"# {c.name}", "", " ".join(str(c.body.get("definition") or "").split()), ""]
+        body += _lines(10, kind=c.kind, identity=term(_identity(c).get("kind") or "") or None, relation=c.relation, grain=c.grounding.get("grain"), derived=c.doc.get("derived_by_rule"), closure=c.closure if c.codes else None, codes=c.codes or None, effects=c.effects or None)
+        body += [f"rule       {r['id']} ({term(r['kind'])}): {' '.join(str(r.get('then') or '').split())}" for r in c.rules]
+        body += [f"edge       {e.edge_id} ({cardinality_label(e)}): {e.source} -> {e.target}" for e in m.edges.values() if c.name in (e.source, e.target)]
+        out[c.name] = "\n".join(body).rstrip() + "\n"
+    return out
+
+
+def descriptor_cards(m: Model) -> dict[str, str]:
+    """What is known of each described relation, as one text by name: its columns with their parts, and where its keys lead."""
+    out = {}
+    for t in m.tables.values():
+        owners = [c.name for c in m.owners(t.name)]
+        body = [f"# {t.name}", "", *_lines(10, schema=t.schema, type=t.doc["table"].get("type"), key=t.key or None, concepts=owners or None)]
+        body += [f"column     {c['name']} {c.get('type') or 'string'} ({c['role']})" for c in t.columns]
+        body += [f"leads      {f['from_column']} -> {f['to_table']}.{f['to_column']}" for f in t.foreign_keys]
+        out[t.name] = "\n".join(body) + "\n"
+    return out
+
+
+def write_cards(m: Model, folder: str | Path) -> list[str]:
+    """concepts/<name>.md and descriptors/<name>.md under a folder; returns the files."""
+    files = []
+    for kind, cards in (("concepts", concept_cards(m)), ("descriptors", descriptor_cards(m))):
+        place = Path(folder) / kind
+        place.mkdir(parents=True, exist_ok=True)
+        for name, body in cards.items():
+            (place / f"{name}.md").write_text(body, encoding="utf-8")
+            files.append(f"{kind}/{name}.md")
+    return files
+
+
 def coverage(m: Model) -> tuple[int, int]:
     """Slots that carry behaviour: those bound to an operator or an executable rule, and all."""
     bound = every = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,20 @@ def absence_average(fact: DataFrame, measure: str, keys: list[str], grid: DataFr
     if meaning == "structurally_untracked":
         return cells.agg(F.avg(measure).alias("average"), F.count(F.lit(1)).alias("cells"), present.alias("present"))
     raise ValueError(f"unknown meaning of absence: {meaning}")
+
+
+def absence_average_over(fact: DataFrame, measure: str, axes: Mapping[str, DataFrame]) -> DataFrame:
+    """absence_average with genuine zeros over the grid of whole axes (fact column -> its members), and the average of present
+    cells beside it, as one row (average, average_present, cells, present). No grid is made: absent cells only add to the
+    divisor, which is the product of the axes' sizes. The fact has one row at most for a cell; rows off the axes don't count.
+    """
+    sizes = []
+    for column, members in axes.items():
+        keys = members.select(F.col(members.columns[0]).alias(column)).distinct()
+        fact = fact.join(keys, column, "left_semi")
+        sizes.append(keys.agg(F.count(F.lit(1)).alias("n")))
+    cells = F.lit(1).cast("bigint")
+    for size in sizes:
+        cells = cells * size.scalar()
+    total = fact.agg(F.coalesce(F.sum(measure), F.lit(0)).alias("total"), F.count(measure).alias("present"), F.avg(measure).alias("average_present"))
+    return total.select((F.col("total") / F.nullif(cells, F.lit(0))).alias("average"), "average_present", cells.alias("cells"), "present")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +20,15 @@ def exclusion_filter(df: DataFrame, column: str, not_in: Sequence[object] = (),
     return df.filter(keep) if not_in or not_like else df
 
 
+def attribute_filter(df: DataFrame, equal: Mapping[str, object] | None = None, between: Mapping[str, tuple[object, object]] | None = None) -> DataFrame:
+    """Rows whose curated attributes have the values given, or lie between two (both included); null passes no test."""
+    for column, value in (equal or {}).items():
+        df = df.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
+    for column, (low, high) in (between or {}).items():
+        df = df.filter(F.col(column).between(low, high))
+    return df
+
+
 @dataclass(frozen=True)
 class Defaulted:
     df: DataFrame

@@ -11,19 +11,17 @@ MAX_DEPTH = 100
 def hierarchy_rollup(df: DataFrame, id_col: str, parent_col: str, root: object, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Ids of root and all its descendants, each once; empty if no row has that id.
 
-    The frontier grows by a join with the adjacency list for each level; ids seen before don't enter again, so cycles
-    end and a node with two parents counts once. One small job for each level of the tree tells when it is done; a level's
-    ids stay cached (and can be worked out again), so no level is run twice.
+    One lazy recursive query: nothing runs or is kept while it is built, and its plan doesn't grow with the depth. Each way
+    down carries the ids on it and never enters one again, so cycles end; a node with two parents counts once. A
+    hierarchy deeper than max_depth, or of more rows than spark.sql.cteRecursionRowLimit, is an error when it runs.
     """
     edges = df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    seen = edges.filter(F.col("id") == F.lit(root)).select("id").distinct().cache()
-    frontier = seen
-    for _ in range(max_depth):
-        step = edges.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select("id").distinct().join(seen, "id", "left_anti").cache()
-        if not step.count():
-            return seen
-        seen, frontier = seen.unionByName(step), step
-    raise ValueError(f"the hierarchy is deeper than {max_depth} levels")
+    return df.sparkSession.sql(
+        f"WITH RECURSIVE subtree(id, way) MAX RECURSION LEVEL {int(max_depth)} AS (SELECT DISTINCT id, array(id) FROM {{edges}} WHERE id = :root "
+        "UNION ALL SELECT c.id, array_append(s.way, c.id) FROM {edges} c JOIN subtree s ON c.parent = s.id WHERE NOT array_contains(s.way, c.id)) SELECT DISTINCT id FROM subtree",
+        args={"root": root},
+        edges=edges,
+    )
 
 
 def hierarchy_sql(table: str, id_col: str, parent_col: str, max_depth: int = MAX_DEPTH) -> str:

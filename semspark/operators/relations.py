@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,15 @@ def has_member(fact: DataFrame, bridge: DataFrame, key: str, member_col: str, me
 
 
 def allocate(fact: DataFrame, bridge: DataFrame, key: str, measure: str) -> DataFrame:
-    """fact by bridge member, the measure split evenly, so that it still sums to itself."""
-    n = bridge.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return fact.join(n, key).join(bridge, key).withColumn(measure, F.col(measure) / F.col("_n")).drop("_n")
+    """fact by its distinct bridge members, the measure split evenly, so that it still sums to itself.
+
+    The bridge is gathered by key once, as a set of members (the bridge's other columns), and its size is the divisor; a
+    key's members are bounded by what one fact row relates to. Facts without a member are left out.
+    """
+    members = [c for c in bridge.columns if c != key]
+    sets = bridge.groupBy(key).agg(F.collect_set(F.struct(*members)).alias("_members"))
+    out = fact.join(sets, key).withColumn(measure, F.col(measure) / F.size("_members"))
+    return out.select(*fact.columns, F.explode("_members").alias("_member")).select(*fact.columns, *(F.col("_member")[c].alias(c) for c in members))
 
 
 def discriminated_union(rows: DataFrame, type_col: str, id_col: str, targets: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -79,3 +86,15 @@ def federated(left: DataFrame, left_key: str, alias: DataFrame, right: DataFrame
     """Rows of two sources that an alias table (left_id, right_id) says are the same; sources are never joined on raw keys."""
     a = alias.select(F.col("left_id").alias("_l"), F.col("right_id").alias("_r")).distinct()
     return left.join(a, F.col(left_key) == F.col("_l")).join(right, F.col(right_key) == F.col("_r")).drop("_l", "_r")
+
+
+def by_role(roles: Mapping[str, tuple[DataFrame, Column]], axis: str) -> DataFrame:
+    """One dimension in several roles: rows counted along it, (role, axis, n), for each role's rows and its own expression. A
+    role is named in every row; roles are never added up."""
+    parts = [df.groupBy(F.lit(role).alias("role"), at.alias(axis)).agg(F.count(F.lit(1)).alias("n")) for role, (df, at) in roles.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def flag_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Rows by each of some low-cardinality flags on its own, in one pass: the other flags are null in a row."""
+    return df.groupingSets([[F.col(f)] for f in flags], *flags).agg(F.count(F.lit(1)).alias("n"))

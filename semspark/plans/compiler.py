@@ -2,18 +2,24 @@
 
 SELECT comes from the measure's rule, JOIN from edges, tables and columns from descriptors, WHERE from restrictions,
 windows, exclusion rules and defaults. Nothing runs here: the answer is a lazy DataFrame that Catalyst plans.
+
+All paths that are needed are gathered first, as a tree that grows from the fact. Each branch is put together and
+filtered on its own, from its far end, and then joined to the fact once: a restriction on a dimension's dimension shrinks
+the near one before the fact is touched, and branches with restrictions come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.functions.folds import fold
-from semspark.functions.rules import call_udf, expression, predicate
+from semspark.functions.rules import call_udf, expression, predicate, rendered
 from semspark.model.types import Citation, Concept, Model, Rule
 from semspark.plans.guards import additivity_guard
 from semspark.plans.intent import Ask, Intent, NotDerivable
@@ -54,12 +60,20 @@ def snake(name: str) -> str:
     return "".join(f"_{c.lower()}" if c.isupper() and i else c.lower() for i, c in enumerate(name))
 
 
+Key = tuple[str, ...]  # the edge ids of a path from the fact
+
+
 class _Compilation:
     def __init__(self, model: Model, catalog: Catalog, intent: Intent) -> None:
         self.model, self.catalog, self.intent = model, catalog, intent
         self.cited: list[Citation] = []
         self.said: list[str] = []
-        self.joined: dict[tuple[str, ...], str] = {}
+        self.joined: dict[Key, str] = {}
+        self.steps: dict[Key, Step] = {}
+        #: conditions on columns of a place that no missing row meets, others, and semi joins (far side, ends)
+        self.strict: dict[Key, list[Column]] = {}
+        self.late: list[Column] = []
+        self.semis: dict[Key, list[tuple[DataFrame, list[tuple[str, str]]]]] = {}
 
     def cite(self, clause: str, element: str, detail: str = "") -> None:
         self.cited.append(Citation(clause, element, detail))
@@ -88,27 +102,54 @@ class _Compilation:
     def place(self, path: list[Step]) -> str:
         return self.joined[tuple(s[1].edge_id for s in path)]
 
-    def join(self, df: DataFrame, path: list[Step]) -> DataFrame:
-        """df with the path's relations, their columns prefixed; each prefix of a path is joined once."""
+    def plan(self, path: list[Step]) -> Key:
+        """Puts a path into the tree; each prefix of a path is there once."""
         for n in range(1, len(path) + 1):
             key = tuple(s[1].edge_id for s in path[:n])
-            if key in self.joined:
-                continue
-            start, edge, to = path[n - 1]
-            near = self.place(path[: n - 1])
-            name = f"j{len(self.joined)}"
-            right = self.relation(self.concept(to))
-            right = right.select(*(F.col(c).alias(f"{name}.{c}") for c in right.columns))
-            on = F.lit(True)
-            for a, b in self.ends(edge, start):
-                on = on & (F.col(f"`{near}.{a}`") == F.col(f"`{name}.{b}`"))
-            # a target that need not be there keeps its row, unless something is asked of it
-            optional = "0..1" in ((edge.target_cardinality if start == edge.source else edge.source_cardinality) or "")
-            df = df.join(right, on, "left" if optional else "inner")
-            self.joined[key] = name
-            self.cite("JOIN", f"edge {edge.edge_id}", edge.join_rule or "")
+            if key not in self.joined:
+                self.joined[key] = f"j{len(self.joined)}"
+                self.steps[key] = path[n - 1]
+                self.cite("JOIN", f"edge {path[n - 1][1].edge_id}", path[n - 1][1].join_rule or "")
+        return tuple(s[1].edge_id for s in path)
+
+    def asked(self, key: Key) -> bool:
+        """Something is asked of a place, or of one beyond it, that a missing row doesn't meet."""
+        return any(k[: len(key)] == key for k in (*self.strict, *self.semis))
+
+    def branch(self, df: DataFrame, key: Key) -> DataFrame:
+        """df, which holds a place's rows, filtered, and with all branches that grow from there."""
+        for test in self.strict.get(key, ()):
+            df = df.filter(test)
+        for n, (far, ends) in enumerate(self.semis.get(key, ())):
+            far = far.toDF(*(f"_s{n}_{k}" for k in range(len(ends))))
+            on = reduce(and_, (F.col(f"`{self.joined[key]}.{a}`") == F.col(f"_s{n}_{k}") for k, (a, _) in enumerate(ends)))
+            df = df.join(far, on, "left_semi")
+        children = [k for k in self.steps if k[:-1] == key]
+        for child in sorted(children, key=lambda k: not self.asked(k)):
+            df = self.attach(df, child)
         return df
 
+    def attach(self, df: DataFrame, key: Key) -> DataFrame:
+        start, edge, to = self.steps[key]
+        near, name = self.joined[key[:-1]], self.joined[key]
+        ends = self.ends(edge, start)
+        concept = self.concept(to)
+        # a target that need not be there keeps its row, unless something is asked of it
+        optional = "0..1" in ((edge.target_cardinality if start == edge.source else edge.source_cardinality) or "") and not self.asked(key)
+        if self.within(concept, start, ends) and not optional:
+            there = reduce(and_, (F.col(f"`{near}.{a}`").isNotNull() for a, _ in ends))
+            return self.branch(df.filter(there).withColumns({f"{name}.{b}": F.col(f"`{near}.{a}`") for a, b in ends}), key)
+        right = self.relation(concept)
+        right = self.branch(right.toDF(*(f"{name}.{c}" for c in right.columns)), key)
+        on = reduce(and_, (F.col(f"`{near}.{a}`") == F.col(f"`{name}.{b}`") for a, b in ends))
+        return df.join(right, on, "left" if optional else "inner")
+
+    def within(self, concept: Concept, start: str, ends: list[tuple[str, str]]) -> bool:
+        """The concept is nothing but the keys that rows of `start` name: its columns are at hand, no join is needed."""
+        own = concept.grounding.get("x-distinct_keys_of") or {}
+        near = self.concept(start)
+        return bool(own) and own.get("relation") == near.relation and dict(own.get("columns") or {}) == {b: a for a, b in ends} and not concept.grounding.get("value_filter") and not near.grounding.get("value_filter")
+
     def ends(self, edge, start: str) -> list[tuple[str, str]]:
         near = set(self.concept(start).relations)
         out = []
@@ -117,8 +158,8 @@ class _Compilation:
             out.append((c.left_column, c.right_column) if forward else (c.right_column, c.left_column))
         return out
 
-    def path(self, concept: str) -> list[Step]:
-        found = find_path(self.model, self.fact.name, self.concept(concept).name, self.intent.via, self.intent.measure or self.intent.count or "")
+    def path(self, concept: str, via: tuple[str, ...] = ()) -> list[Step]:
+        found = find_path(self.model, self.fact.name, self.concept(concept).name, (*self.intent.via, *via), self.intent.measure or self.intent.count or "")
         if isinstance(found, (Ask, NotDerivable)):
             raise Refused(found)
         return found
@@ -139,13 +180,40 @@ class _Compilation:
         if role in ("attribute", "measure"):
             raise self.refuse(f"{ref} is {role}: not for {use}", ref)
 
-    def matches(self, column: Column, value: object) -> Column:
+    def matches(self, column: Column, value: object, ref: str) -> Column:
+        """Equality; membership, where the column holds several values."""
         if value is None:
             return column.isNull()
-        return column.isin(list(value)) if isinstance(value, (list, tuple, set)) else column == F.lit(value)
+        several = isinstance(value, (list, tuple, set))
+        described = self.model.tables.get(self.concept(ref.partition(".")[0]).relation or "")
+        if described is not None and str((described.column(ref.partition(".")[2]) or {}).get("type", "")).startswith("array"):
+            return F.arrays_overlap(column, F.array(*map(F.lit, value))) if several else F.array_contains(column, value)  # type: ignore[arg-type]
+        return column.isin(list(value)) if several else column == F.lit(value)  # type: ignore[arg-type]
+
+    def grouped_by(self, ref: str) -> tuple[str, tuple[str, ...], Column | None]:
+        """A partition's Concept.column, concepts that its path passes, and an expression over it, for a grouping's name:
+        what the grouping rolls up to, or, where it lists its members, the code of the one that has the member."""
+        concept = self.model.concepts.get(ref)
+        if "." in ref or concept is None or concept.kind != "grouping":
+            return ref, (), None
+        members = concept.doc.get("members") or {}
+        if to := members.get("x-rolls_up_to"):
+            self.cite("GROUP BY", f"concept {ref}", f"rolls up to {to}")
+            return to, (members["over"],) if members.get("over") else (), None
+        column, said = members.get("x-member_column"), members.get("definitions") or []
+        if not column or not said:
+            raise self.refuse(f"{ref} has neither listed members nor a column that it rolls up to", ref)
+        every = [m for d in said for m in d.get("members") or []]
+        if len(every) != len(set(every)):
+            raise self.refuse(f"{ref}: a member is in several groups, so it would count some twice", ref)
+        self.cite("GROUP BY", f"concept {ref}", f"members of {column}")
+        place = F.col(f"_member_{ref}")
+        code = reduce(lambda c, d: c.when(place.isin(list(d.get("members") or [])), F.lit(str(d["code"]))), said, F)  # type: ignore[arg-type, return-value]
+        return column, (), code  # type: ignore[return-value]
 
     def run(self) -> Answer:
         i = self.intent
+        self.bound: dict[str, object] = {}
         if (i.measure is None) == (i.count is None):
             raise self.refuse("a measure or a count is asked for, not both")
         rule: Rule | None = None
@@ -163,35 +231,51 @@ class _Compilation:
             self.cite("SELECT", f"concept {measure.name}", rule.name if rule else measure.grounding["grounds_column"])
             if reading := (measure.doc.get("contract") or {}).get("default_reading"):
                 self.said.append(str(reading))
-        df = self.relation(self.fact)
-        df = df.select(*(F.col(c).alias(f"f.{c}") for c in df.columns))
         self.joined[()] = "f"
         self.cite("FROM", f"concept {self.fact.name}", self.fact.relation or "")
         wanted = self.restrictions()
-        for ref in i.partition:
+        groups = []
+        for asked in i.partition:
+            ref, via, code = self.grouped_by(asked)
             self.usable(ref, "grouping")
-            concept, _ = self.column(ref)
-            path = self.path(concept)
+            concept, column = self.column(ref)
+            path = self.path(concept, via)
             if bad := next((e for a, e, _ in path if not e.many_to_one(a)), None):
                 raise self.refuse(f"edge {bad.edge_id} meets several rows for one of {self.fact.name}; grouping by {ref} would count some twice", ref)
-            df = self.join(df, path)
-        for ref, test in wanted:
+            groups.append((path, concept, column, asked if code is not None else column, code))
+        for ref, test, strict in wanted:
             concept, column = self.column(ref)
             path = self.path(concept)
             many = next((n for n, (a, e, _) in enumerate(path) if not e.many_to_one(a)), None)
-            if many is None:
-                df = self.join(df, path)
-                df = df.filter(test(F.col(f"`{self.place(path)}.{column}`")))
+            if many is not None:
+                self.exists(path, many, column, test)
+                continue
+            key = self.plan(path)
+            condition = test(F.col(f"`{self.joined[key]}.{column}`"))
+            if strict:
+                self.strict.setdefault(key, []).append(condition)
             else:
-                df = self.exists(df, path, many, column, test)
-        df = self.fact_rules(df)
+                self.late.append(condition)
+        for path, *_ in groups:
+            self.plan(path)
+        df = self.fact_rules(self.relation(self.fact))
+        own = df.columns
+        df = self.branch(df.toDF(*(f"f.{c}" for c in own)), ())
+        for condition in self.late:
+            df = df.filter(condition)
         value, name = self.value(measure, rule)
         df = self.finer(df, rule)
-        groups = [F.col(f"`{self.place(self.path(self.column(r)[0]))}.{self.column(r)[1]}`").alias(self.column(r)[1]) for r in i.partition]
-        plain = df.select(*groups, *(F.col(f"`f.{c}`").alias(f"f_{c}" if c in {self.column(r)[1] for r in i.partition} else c) for c in [x[2:] for x in df.columns if x.startswith("f.")]))
-        out = plain.groupBy(*(self.column(r)[1] for r in i.partition)).agg(value.alias(name))
-        for r in i.partition:
-            self.cite("GROUP BY", f"concept {self.column(r)[0]}", self.column(r)[1])
+        names = {g[3] for g in groups}
+        held = [f"`{self.place(path)}.{column}` AS `{f'_member_{name_}' if code is not None else name_}`" for path, _, column, name_, code in groups]
+        plain = df.selectExpr(*held, *(f"`{c}` AS `{'f_' + c[2:] if c[2:] in names else c[2:]}`" for c in df.columns if c.startswith("f.")))
+        for *_, name_, code in groups:
+            if code is not None:
+                plain = plain.withColumn(name_, code).drop(f"_member_{name_}")
+        if self.bound:
+            plain = plain.withColumns({k: F.lit(v) for k, v in self.bound.items()})
+        out = plain.groupBy(*(g[3] for g in groups)).agg(value.alias(name))
+        for _, concept, column, *_ in groups:
+            self.cite("GROUP BY", f"concept {concept}", column)
         bad = self.guarded(plain, out, measure)
         if bad:
             raise self.refuse("; ".join(bad))
@@ -201,11 +285,11 @@ class _Compilation:
         i, out = self.intent, []
         for ref, value in i.restrict.items():
             self.usable(ref, "filtering")
-            out.append((ref, lambda c, v=value: self.matches(c, v)))
+            out.append((ref, lambda c, v=value, r=ref: self.matches(c, v, r), value is not None))
             self.cite("WHERE", f"concept {self.column(ref)[0]}", f"{self.column(ref)[1]} = {value!r}")
         if i.window:
             w = i.window
-            out.append((w.column, lambda c: (c >= F.lit(w.start)) & (c < F.lit(w.end))))
+            out.append((w.column, lambda c: (c >= F.lit(w.start)) & (c < F.lit(w.end)), True))
             self.cite("WHERE", f"concept {self.column(w.column)[0]}", f"{w.start} <= {self.column(w.column)[1]} < {w.end}")
         bound = {*i.restrict, *i.partition, *([i.window.column] if i.window else [])}
         for axis, policy in (self.fact.doc.get("x-axes") or {}).items():
@@ -215,30 +299,26 @@ class _Compilation:
             if policy.get("policy") == "mandatory_no_default":
                 raise Refused(Ask(ref, tuple(policy.get("candidates") or ()), "required, and there is no default"))
             if policy.get("policy") == "assumable_default":
-                out.append((ref, lambda c, v=policy["default"]: self.matches(c, v)))
+                out.append((ref, lambda c, v=policy["default"], r=ref: self.matches(c, v, r), policy["default"] is not None))
                 self.said.append(f"{ref} was not given; {policy['default']!r} is assumed")
                 self.cite("WHERE", f"default of {ref}", repr(policy["default"]))
         return out
 
-    def exists(self, df: DataFrame, path: list[Step], many: int, column: str, test) -> DataFrame:
+    def exists(self, path: list[Step], many: int, column: str, test) -> None:
         """A restriction across an edge that meets several rows is a semi join, so none is multiplied."""
-        df = self.join(df, path[:many])
-        near = self.place(path[:many])
+        key = self.plan(path[:many])
         start, edge, to = path[many]
         inner = _Compilation(self.model, self.catalog, self.intent)
         inner.fact = self.concept(to)
         inner.joined[()] = "f"
+        far = inner.plan(path[many + 1 :])
+        inner.strict[far] = [test(F.col(f"`{inner.joined[far]}.{column}`"))]
         right = inner.relation(inner.fact)
-        right = inner.join(right.select(*(F.col(c).alias(f"f.{c}") for c in right.columns)), path[many + 1 :])
-        right = right.filter(test(F.col(f"`{inner.place(path[many + 1 :])}.{column}`")))
+        right = inner.branch(right.toDF(*(f"f.{c}" for c in right.columns)), ())
         ends = self.ends(edge, start)
-        right = right.select(*(F.col(f"`f.{b}`").alias(f"_k{n}") for n, (_, b) in enumerate(ends)))
-        on = F.lit(True)
-        for n, (a, _) in enumerate(ends):
-            on = on & (F.col(f"`{near}.{a}`") == F.col(f"_k{n}"))
+        self.semis.setdefault(key, []).append((right.select(*(F.col(f"`f.{b}`") for _, b in ends)), ends))
         self.cite("WHERE EXISTS", f"edge {edge.edge_id}", edge.join_rule or "")
         self.cited += inner.cited
-        return df.join(right, on, "left_semi")
 
     def fact_rules(self, df: DataFrame) -> DataFrame:
         """Rules asked for, and the fact's exclusion rules, as predicates; those without one are disclosed."""
@@ -257,10 +337,7 @@ class _Compilation:
                     raise self.refuse(f"rule {rule_id} has no executable form", rule_id)
                 self.said.append(f"{rule_id}: {r.get('then', '')}")
                 continue
-            own = [c for c in df.columns if c.startswith("f.")]
-            renamed = df.select(*(F.col(f"`{c}`").alias(c[2:]) if c in own else F.col(f"`{c}`") for c in df.columns))
-            kept = renamed.filter(test)
-            df = kept.select(*(F.col(c[2:]).alias(c) if c in own else F.col(f"`{c}`") for c in df.columns))
+            df = df.filter(test)
             self.cite("WHERE", f"rule {rule_id}", ", ".join(r.get("binds") or []))
         return df
 
@@ -293,8 +370,15 @@ class _Compilation:
             return fold(rule.doc["x-udf"].get("fold", "sum"), call_udf(rule.doc["x-udf"]["name"], *rule.doc["x-udf"].get("columns") or [])), rule.name
         if rule.render_kind != "sql_expression" or not rule.template:
             raise self.refuse(f"rule {rule.name} ({rule.render_kind}) gives no expression to aggregate", rule.name)
-        self.cite("SELECT", f"rule {rule.name}", rule.template.strip())
-        return expression(rule.template), rule.name
+        given = dict(self.intent.parameters)
+        if self.intent.window:
+            given |= {"period_start": self.intent.window.start, "period_end": self.intent.window.end}
+        try:
+            text, self.bound = rendered(rule.template, given)
+        except KeyError as e:
+            raise self.refuse(f"rule {rule.name} needs {e.args[0]}", e.args[0]) from None
+        self.cite("SELECT", f"rule {rule.name}", text.strip())
+        return expression(text), rule.name
 
     def guarded(self, plain: DataFrame, out: DataFrame, measure: Concept | None) -> list[str]:
         if measure is None or self.intent.fold not in (None, "sum"):
@@ -315,8 +399,9 @@ def compile_intent(model: Model, catalog: Catalog, intent: Intent) -> Answer | A
         return r.answer
 
 
-def derived_set(model: Model, catalog: Catalog, rule_name: str) -> DataFrame:
-    """The rows of a rule that defines a set: its query, run over the catalog's relations by their bare names."""
+def derived_set(model: Model, catalog: Catalog, rule_name: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
+    """The rows of a rule that defines a set: its query, run over the catalog's relations by their bare names. Conditionals of
+    its template are settled by the parameters, which are bound, never put into the text."""
     rule = model.rules[rule_name]
     if rule.render_kind == "sql_view":
         return catalog[rule.doc["view_ref"]]
@@ -324,7 +409,8 @@ def derived_set(model: Model, catalog: Catalog, rule_name: str) -> DataFrame:
         raise ValueError(f"rule {rule_name} ({rule.render_kind}) defines no set")
     for name in rule.doc.get("validated_against") or []:
         catalog[name].createOrReplaceTempView(name.split(".")[-1])
-    return catalog.spark.sql(rule.template)
+    text, bound = rendered(rule.template, parameters or {}, ":{}")
+    return catalog.spark.sql(text, args=bound or None)
 
 
 def related(model: Model, catalog: Catalog, edge_id: str) -> DataFrame:

@@ -23,7 +23,9 @@ class Intent:
 
     Columns are named Concept.column. partition enters GROUP BY; restrict only filters, however many values it names.
     `via` names concepts (or edge ids) that the join path must pass, where several paths exist. `rules` are ids of
-    predicate rules that must hold. `count` asks for the number of rows of a concept instead of a measure.
+    predicate rules that must hold. `count` asks for the number of rows of a concept instead of a measure. A grouping's bare
+    name in partition stands for what it rolls up to. `parameters` are what templates may ask for by name; a window's ends
+    are period_start and period_end.
     """
 
     measure: str | None = None
@@ -34,6 +36,7 @@ class Intent:
     rules: tuple[str, ...] = ()
     count: str | None = None
     fold: str | None = None
+    parameters: Mapping[str, object] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)

@@ -48,6 +48,21 @@ def constraints(model: Model, concept: str, df: DataFrame) -> list[tuple[str, st
     return [(x["assert"], x.get("severity", "ERROR"), n) for x, n in zip(c, row, strict=True)]  # type: ignore[arg-type]
 
 
+def guarantees(model: Model, frames: Mapping[str, DataFrame]) -> DataFrame:
+    """What the model's rules of kind guarantee promise, checked: (rule_id, relation, offenders). A promise is checked by the
+    rule's x-assert, a condition on its concept's rows; one in prose only isn't listed. A relation is read once for all."""
+    parts = []
+    for c in model.concepts.values():
+        said = [r for r in c.rules if str(r.get("kind", "")).endswith("guarantee") and r.get("x-assert")]
+        if not said or c.relation not in frames:
+            continue
+        row = frames[c.relation].agg(F.array(*(F.struct(F.lit(r["id"]).alias("rule_id"), F.count(F.when(~F.coalesce(F.expr(r["x-assert"]), F.lit(False)), 1)).alias("offenders")) for r in said)).alias("r"))
+        parts.append(row.select(F.explode("r").alias("r")).select("r.rule_id", F.lit(c.relation).alias("relation"), "r.offenders"))
+    if not parts:
+        return next(iter(frames.values())).sparkSession.createDataFrame([], "rule_id string, relation string, offenders bigint")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reconcile(a: DataFrame, b: DataFrame, value: str, tolerance: float = 0.0) -> DataFrame:
     """Two one-row figures side by side: a, b, gap, share of b, and if they agree."""
     x, y = a.select(F.col(value).alias("a")), b.select(F.col(value).alias("b"))

@@ -9,7 +9,8 @@ from semspark import quality
 from semspark.meta import META_TABLES, column_meanings, meta_tables
 from semspark.plans import Intent, compile_intent
 from semspark.plans.guards import additivity_guard, array_membership_guard, composite_key_guard, opaque_code_guard
-from semspark.queries import ORACLES, QUERIES, catalog, query, table, tpch
+from semspark.queries import ORACLES, QUERIES, catalog, query, retail, table, tpch
+from semspark.second_reading import second_reading
 from semspark.sources import build_view
 
 
@@ -64,25 +65,39 @@ def transformed_lineitem(spark, d):
     return clean.agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount").cast("double"))), 2).alias("net"))
 
 
-@query()
+KEYS = [("customer", "c_custkey"), ("events", "event_id"), ("nation", "n_nationkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")]
+PAIRS = "(SELECT DISTINCT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem)"
+
+
+def _offenders() -> str:
+    parts = [f"SELECT 'unique' AS kind, 'partsupp' AS relation, 'ps_partkey,ps_suppkey' AS columns, count(*) AS offenders FROM (SELECT 1 FROM {PAIRS} GROUP BY ps_partkey, ps_suppkey HAVING count(*) > 1)"]
+    parts += [f"SELECT 'unique', '{t}', '{k}', count(*) FROM (SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1)" for t, k in KEYS]
+    fks = [*FKS, (PAIRS, "ps_partkey", "part", "p_partkey"), (PAIRS, "ps_suppkey", "supplier", "s_suppkey")]
+    parts += [f"SELECT 'foreign_key', '{'partsupp' if a == PAIRS else a}', '{c}', count(DISTINCT {c}) FROM {a} WHERE {c} NOT IN (SELECT {k} FROM {b})" for a, c, b, k in fks]
+    return " UNION ALL ".join(parts)
+
+
+@query(_offenders())
 def quality_report(spark, d):
     return quality.report(tpch(), catalog(spark, d).frames)
 
 
 def _meta(name: str):
     def one(spark, d):
-        return meta_tables(spark, tpch())[name]
+        said = [meta_tables(spark, m)[name].withColumn("model", F.lit(label)) for label, m in (("tpch", tpch()), ("retail", retail()))]
+        return said[0].unionByName(said[1])
 
-    query(None, name)(one)
+    query(second_reading(name), name)(one)
 
 
 for name in META_TABLES:
     _meta(name)
 
 
-@query()
+@query(second_reading("meta_columns"))
 def meta_columns(spark, d):
-    return column_meanings(spark, tpch())
+    said = [column_meanings(spark, m).withColumn("model", F.lit(label)) for label, m in (("tpch", tpch()), ("retail", retail()))]
+    return said[0].unionByName(said[1])
 
 
 @query("SELECT guard, violations FROM (VALUES ('additivity', 1), ('additivity_pinned', 0), ('composite_key', 1), ('opaque_code', 1), ('array_membership', 1)) t(guard, violations)")
