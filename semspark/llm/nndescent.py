@@ -1,19 +1,24 @@
 """Embedding near-duplicates by NN-descent.
 
+Vectors that are equal after scaling are one class with a multiplicity; all steps work on classes, so a vector that a third of
+all rows have is one row.
+
 1. A first neighbour graph: a few random-projection orders; in each, stretches of neighbours in the order are compared.
 2. Rounds of NN-descent: at each vector its neighbours, and those that have it as a neighbour, are compared with each
-   other, and every list keeps its best. Rounds end when few entries change.
+   other, and every list keeps its best. A vector that very many have in their lists is split, by those, into groups that
+   all hold its own neighbours, before any vector is sent there. Rounds end when few entries change.
 3. Links at the threshold (less a margin for single precision) give coarse components. Lists of vectors in a component
    may be saturated, so each is enlarged to its whole component: blocks of the component are compared with blocks, in
    double precision, which gives exact link counts and a spanning forest of links, whatever the component's size.
 4. A saturated list may also lack links to other components. Saturated vectors of a component lie in balls of a centre and
    an angle; balls of two components that are near enough for a link are compared, and a link found joins the components.
-5. An audit compares a bounded sample of vectors with all others; below the recall asked for, rounds go on, and
-   where they don't help the query fails.
+5. An audit compares two bounded samples, of all vectors and of those that have links, with all others; below the recall
+   asked for, rounds go on, and where they don't help the query fails. The figure is logged.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,10 @@ LIST, JOINED, ORDERS, STRETCH, MEMBERS, BLOCK = 16, 8, 6, 512, 192, 1024
 MARGIN = 1e-3
 SAMPLE, RECALL, ROUNDS = 512, 0.98, 6
 LISTS = "id bigint, nbrs binary, sims binary"
+#: Rows that a class's copies are spread over when they look up their class.
+SALTS = 16
+
+log = logging.getLogger(__name__)
 
 
 def matrix(column: pa.Array | np.ndarray, kind: type) -> np.ndarray:
@@ -57,6 +66,16 @@ def normalised(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, dims int, v32 binary, v64 binary")
 
 
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors as one: (id: the smallest, dims, v32, v64, mult); and (id, cid) for each vector that isn't alone. Copies are
+    counted where they lie; they look up their class in SALTS places."""
+    keyed = vectors.withColumn("digest", F.unhex(F.md5("v64")))
+    one = stage(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.first("dims").alias("dims"), F.first("v32").alias("v32"), F.first("v64").alias("v64"), F.count(F.lit(1)).alias("mult")))
+    several = one.filter("mult > 1").select("digest", F.col("id").alias("cid"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = keyed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(several, ["digest", "salt"])
+    return one.drop("digest"), stage(known.select("id", "cid"))
+
+
 def nearest(ids: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
     """Lists of each row's k most similar others in m."""
     s = m @ m.T
@@ -143,7 +162,7 @@ def first_graph(vectors: DataFrame, k: int, orders: int, seed: int) -> DataFrame
     return compared(rows.select("part", "id", "dims", "v32"), STRETCH, k)
 
 
-def round_of(lists: DataFrame, vectors: DataFrame, k: int, joined: int) -> DataFrame:
+def round_of(lists: DataFrame, vectors: DataFrame, k: int, joined: int, members: int = MEMBERS) -> DataFrame:
     """Lists found at every vector among its best neighbours and those that have it among theirs."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +170,20 @@ def round_of(lists: DataFrame, vectors: DataFrame, k: int, joined: int) -> DataF
             nbrs = [x[: 8 * joined] for x in b.column(1).to_pylist()]
             own = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in nbrs])
             to = np.frombuffer(b"".join(nbrs), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, to]), pa.array(np.r_[to, own])], ["part", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(to)], ["own", "hub"])
 
     n = partitions(lists.sparkSession)
-    pairs = lists.select("id", "nbrs").mapInArrow(edges, "part bigint, id bigint")
-    rows = pairs.join(vectors.select("id", "dims", "v32"), "id").select("part", "id", "dims", "v32")
+    to = stage(lists.select("id", "nbrs").mapInArrow(edges, "own bigint, hub bigint"))
+    # a hub with more in-neighbours than are compared at once is several groups, each with some of these and all of its own
+    many = to.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > members).select("hub", F.ceil(F.col("n") / members).cast("int").alias("groups"))
+    many = stage(many)
+    inward = to.join(many, "hub", "left").withColumn("salt", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("own"), F.col("groups"))).otherwise(0).cast("int"))
+    outward = to.select(F.col("own").alias("part"), F.col("hub").alias("id")).join(many.withColumnRenamed("hub", "part"), "part", "left")
+    outward = outward.select("part", "id", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)).alias("salt"))
+    pairs = inward.select(F.col("hub").alias("part"), F.col("own").alias("id"), "salt").unionByName(outward).distinct()
+    rows = vectors.select("id", "dims", "v32").join(pairs, "id").select(F.xxhash64("part", "salt").alias("part"), "id", "dims", "v32")
     rows = rows.repartition(n, "part").sortWithinPartitions("part", "dims", F.xxhash64("id", "part"))
-    return compared(rows, MEMBERS, k)
+    return compared(rows, members + joined, k)
 
 
 def spanning(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,12 +202,14 @@ def spanning(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Over coarse components (id, root): rows (id, n, a, b), being link counts to be summed by id, and forest links."""
+    """Over coarse components (id, root): rows (id, n, a, b), being counts of linked vectors of other classes, to be summed by id,
+    and forest links."""
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("root", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.join(vectors.select("id", "dims", "v64"), "id").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "dims", "v64")
-    keyed = rows.withColumn("part", F.xxhash64("root", "i", "j")).select("part", "i", "j", "block", "id", "dims", "v64")
+    weight = F.col("mult") if "mult" in vectors.columns else F.lit(1).cast("bigint")
+    rows = rows.join(vectors.select("id", "dims", "v64", weight.alias("mult")), "id").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "dims", "v64", "mult")
+    keyed = rows.withColumn("part", F.xxhash64("root", "i", "j")).select("part", "i", "j", "block", "id", "dims", "v64", "mult")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, "part"):
@@ -192,7 +220,7 @@ def exact(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
                 link = m @ m.T >= threshold
                 np.fill_diagonal(link, False)
                 counted = link if g["i"][s] == g["j"][s] else link & (block[:, None] != block[None, :])
-                n = counted.sum(axis=1)
+                n = counted @ g["mult"][s:e]
                 a, b = spanning(link)
                 none = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(n.astype(np.int64)), none]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[a])]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[b])])], ["id", "n", "a", "b"])
@@ -262,27 +290,29 @@ def between(lists: DataFrame, coarse: DataFrame, vectors: DataFrame, threshold:
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, sample: int = SAMPLE) -> float:
-    """Recall of the links of a bounded sample of vectors, held against all vectors."""
-    some = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v64").collect()
-    if not some:
-        return 1.0
+    """Recall of the links of bounded samples, of all classes and of those that have links, held against all classes."""
+    spread = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample).select("id", "v64")
+    linked = vectors.join(counts.filter("n > 0").select("id"), "id", "left_semi").orderBy(F.xxhash64("id", F.lit(6)), "id").limit(sample).select("id", "v64")
+    some = {r.id: r for r in [*spread.collect(), *linked.collect()]}
     by: dict[int, list] = {}
-    for r in some:
+    for r in some.values():
         by.setdefault(len(r.v64), []).append(r)
     held = {d: (np.array([r.id for r in rs], np.int64), matrix([bytes(r.v64) for r in rs], np.float64)) for d, rs in by.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
+            cells, ids, mult = b.column(1).to_pylist(), b.column(0).to_numpy(), b.column(2).to_numpy()
             for d, (mine, m) in held.items():
                 at = [i for i, x in enumerate(cells) if len(x) == d]
                 if at:
                     link = (m @ matrix([cells[i] for i in at], np.float64).T >= threshold) & (mine[:, None] != ids[at][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(link.sum(axis=1).astype(np.int64))], ["id", "true"])
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array((link @ mult[at]).astype(np.int64))], ["id", "true"])
 
-    true = vectors.select("id", "v64").mapInArrow(run, "id bigint, true bigint").groupBy("id").agg(F.sum("true").alias("true"))
-    r = true.join(counts, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("n_links", F.lit(0)), F.col("true"))).alias("f")).first()
-    return r.f / r.t if r.t else 1.0
+    true = vectors.select("id", "v64", "mult").mapInArrow(run, "id bigint, true bigint").groupBy("id").agg(F.sum("true").alias("true"))
+    r = true.join(counts, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.col("true"))).alias("f")).first()
+    found = r.f / r.t if r.t else 1.0
+    log.info("the audit of %d classes found %.4f of %d links", len(some), found, r.t or 0)
+    return found
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, orders: int = ORDERS, rounds: int = 2, recall: float = RECALL, seed: int = 11) -> DataFrame:
@@ -296,7 +326,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, orde
     prepare(spark)
     e = rows.select(F.col("vec_id").cast("bigint").alias("id"), F.when(usable(F.col("embedding")), F.col("embedding").cast("array<double>")).alias("e"))
     one = stage(e.groupBy("id").agg(F.min("e").alias("e")))
-    vectors = stage(normalised(one.filter("id is not null and e is not null")))
+    vectors, copies = classes(stage(normalised(one.filter("id is not null and e is not null"))))
     lists = stage(merged(first_graph(vectors, k, orders, seed).withColumn("old", F.lit(False)), k))
     done = 0
     while True:
@@ -320,15 +350,21 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, k: int = LIST, orde
         joined = between(lists, coarse, vectors, threshold, k)
         coarse = components(coarse.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(joined))
         dense = stage(exact(coarse, vectors, threshold))
-        counts = stage(dense.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n_links")))
+        counts = stage(dense.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")))
         reached = audit(vectors, counts, threshold)
         if reached >= recall:
             break
         if done >= ROUNDS:
             raise RuntimeError(f"after {done} rounds the audit found {reached:.4f} of the links, and {recall} was asked for")
     final = components(dense.filter("a is not null").select("a", "b"))
-    out = one.select("id").join(counts, "id", "left").join(final, "id", "left")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("root", "id").alias("component_id"), F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    known = vectors.select(F.col("id").alias("cid"), "mult").join(counts.withColumnRenamed("id", "cid"), "cid", "left").join(final.withColumnRenamed("id", "cid"), "cid", "left")
+    known = known.select("cid", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+    # copies of a class look it up in SALTS places
+    spread = known.join(copies.select("cid").distinct(), "cid", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = copies.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["cid", "salt"]).select("id", "n_links", "root")
+    alone = known.join(copies.select("cid").distinct(), "cid", "left_anti").select(F.col("cid").alias("id"), "n_links", "root")
+    out = one.select("id").join(salted.unionByName(alone), "id", "left")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("root", "id").alias("component_id"), F.coalesce(F.coalesce("root", "id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op8_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:

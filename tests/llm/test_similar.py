@@ -489,6 +489,35 @@ def test_links_between_saturated_groups(spark, monkeypatch):
         nndescent.near_duplicates(rows)
 
 
+def test_copies_of_a_vector_are_one_class(spark):
+    """A third of all rows are one vector, some others are near it, scaled copies of it are it."""
+    rng = np.random.default_rng(29)
+    x = rng.standard_normal((900, 16))
+    x[100:400] = x[7]
+    x[400:420] = x[7] + 0.05 * rng.standard_normal((20, 16))
+    x[420:430] = 2 * x[7]
+    n, comp = brute_links(x)
+    got = nndescent.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).toPandas().sort_values("vec_id")
+    assert n[7] >= 330 and got.n_links.tolist() == n.tolist() and got.component_id.tolist() == comp.tolist()
+    assert (got.kept == (got.vec_id == got.component_id)).all()
+
+
+def test_hubs_are_split(spark):
+    """A vector that all others have in their lists is several groups, each with all of its own neighbours."""
+    rng = np.random.default_rng(30)
+    x = rng.standard_normal((201, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, 8, v.astype(np.float32).tobytes()) for i, v in enumerate(x)], "id bigint, dims int, v32 binary")
+    entry = lambda ids: (np.array(ids, np.int64).tobytes(), np.zeros(len(ids), np.float32).tobytes())
+    lists = spark.createDataFrame([(i, *entry([0] if i else [1, 2])) for i in range(201)], nndescent.LISTS)
+    found = nndescent.round_of(lists, rows, 300, 8, members=20).toPandas()
+    met = {i: set() for i in range(201)}
+    for r in found.itertuples():
+        met[r.id] |= set(np.frombuffer(r.nbrs, np.int64).tolist())
+    assert max(len(x) // 8 for x in found.nbrs) < 45
+    assert all(met[i] - {i} >= {1, 2} - {i} for i in range(3, 201)) and len(met[1] - {1}) == 199
+
+
 def test_blocks_of_large_components(spark, monkeypatch):
     """A component of several blocks is counted as it is in one."""
     rng = np.random.default_rng(13)
