@@ -437,6 +437,38 @@ def test_topk_blocks_and_large_numbers():
             assert got[1][m].tolist() == ids[order].tolist() and got[2][m].tolist() == [s[i, j] for j in order]
 
 
+def clustered(seed, clusters, size, dims):
+    """Integer vectors around far-apart centres."""
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal((clusters, dims)) * 400
+    return np.rint(np.repeat(centre, size, axis=0) + 12 * rng.standard_normal((clusters * size, dims))).astype(np.int64)
+
+
+def test_topk_prunes_clustered_vectors(spark, caplog):
+    """Most pairs of blocks never meet, most of the others' products are never worked out, and the result is whole."""
+    x = clustered(15, 40, 60, 48)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, q array<bigint>").repartition(5)
+    with caplog.at_level("INFO", logger="semspark.llm.topk"):
+        got = topk.top_k(rows, topk.F.col("vec_id") % 20 == 0, 7, size=60).toPandas()
+    met, of = (int(w) for w in caplog.messages[-1].split() if w.isdigit())
+    assert of >= 35 and met < 0.25 * of * (of - 1)
+    for i in range(0, len(x), 20):
+        s = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:7]
+        r = got[got.query_id == i].sort_values("rank")
+        assert r.vec_id.tolist() == order and r.score.tolist() == s[order].tolist()
+    ids, some = np.arange(len(x)), x[:16]
+    floors = np.sort(some @ x.T, axis=1)[:, -8].astype(np.float64)
+    found, share = topk.searched(ids[:16], some, ids, x.T.copy(), 7, floors)
+    assert share < 0.5 and sorted(zip(*(c.tolist() for c in found), strict=True)) == sorted(zip(*(c.tolist() for c in topk.best(ids[:16], some, ids, x.T.copy(), 7)), strict=True))
+
+
+def test_topk_keeps_all_vectors_of_an_id(spark):
+    rows = spark.createDataFrame([(20, [1, 0]), (20, [0, 3]), (1, [5, 5]), (1, [5, 6]), (2, []), (40, []), (40, [])], "vec_id bigint, q array<bigint>")
+    got = [r[:] for r in topk.top_k(rows, topk.F.col("vec_id") % 20 == 0, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 18), (20, 2, 1, 15), (20, 3, 1, 5), (40, 1, 2, 0)]
+
+
 def test_topk_odd(spark, tmp_path):
     got = topk.op6_topk(spark, write_vectors(spark, tmp_path, VECTORS)).collect()
     assert {(r.query_id, r.vec_id) for r in got if r.query_id == 20} == {(20, i) for i in (2, 6, 7, 40)}
