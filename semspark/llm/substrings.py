@@ -1,14 +1,18 @@
-"""Exact substring dedup: depth-limited radix order of suffixes, by most-significant-digit passes over distributed keys.
+"""Exact substring dedup: depth-limited radix order of suffixes, by most-significant-digit passes.
 
 Every string of `length` bytes holds one anchor: the k bytes with the smallest hash in it (its first, if tied). Equal
-strings have equal anchors at equal places, so only suffixes that begin at anchors are ordered, about one in 35, and a
-string is a suffix with an offset. Digits, most significant first:
-  1. the anchor's k bytes (hashed): suffixes that share them with no other are done, as no string through them repeats;
-  2. the bytes of all strings through the anchor, as one digit: those that share it agree to the full depth;
-  3. for what is left, the digits at single offsets: each string through the anchor is one key.
-Equal groups after the last digit are exactly the repeated strings; all but the first of each are removed. What several
-documents share is cut down where it lies before it is shuffled, so a passage in a third of all documents sends a few
-rows from each block; anchors with very many contexts are split by single strings, which go to as many places.
+strings have equal anchors at equal places, so only suffixes that begin at anchors are looked at, about one in 35, and a
+string is a suffix with an offset.
+  1. Suffixes meet by their anchor's bytes, as a 64-bit number; those that share it with no other are done, as no string
+     through them repeats.
+  2. Suffixes whose strings are all equal (the same stretch of bytes around the anchor: compared byte by byte in a block,
+     by a further 64-bit number across blocks) are reduced to the first.
+  3. The strings through what is left are put in order by most-significant-digit passes over their own bytes, DIGIT bytes a
+     pass through all `length` bytes, a group being split by each digit and left when it has one member. Groups after
+     the last pass are exactly the repeated strings; all but the first of each are removed.
+What several documents share is cut down where it lies before it is shuffled, so a passage in a third of all documents
+sends a few rows from each block; anchors with very many contexts are split by single strings, which go to as many
+places, with their bytes.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import NO_ID, Rolling, documents, mix64, partitions, prepare, sliding_min, small, text_bytes, united, whole_groups
+from semspark.llm.common import Rolling, documents, mix64, numbered, partitions, prepare, sliding_min, small, text_bytes, united, whole_groups
 
 LENGTH = 100
 BLOCK = 2 << 20
 #: An anchor with more contexts than this in one block, or in all, is split by single strings.
 HOT_HERE, HOT = 24, 256
+#: Bytes of a digit.
+DIGIT = 8
 
 
 @functools.cache
@@ -127,6 +133,43 @@ def removed(did: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatc
     return rows(mix64(did.astype(np.uint64)), REMOVED, 0, did, low, low, high)
 
 
+def differing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Rows that aren't, byte by byte, what their group's first is, though their numbers are the same."""
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out = []
+    rest = np.flatnonzero(~new)
+    for at in range(0, len(rest), 8192):
+        i = rest[at : at + 8192]
+        j = first[i]
+        same = size[i] == size[j]
+        out.append(i[~same])
+        i, j = i[same], j[same]
+        mine, edge = gather(data, begin[i], size[i])
+        theirs, _ = gather(data, begin[j], size[j])
+        if len(i):
+            out.append(i[np.add.reduceat(mine != theirs, edge) > 0])
+    return np.concatenate(out) if out else rest
+
+
+def equal_strings(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes over strings flat[start : start + length], within groups: the rows that have equals, equal
+    ones next to each other and in their given order, and the number of each one's group."""
+    row, group = np.arange(len(start)), group
+    padded = np.r_[flat, np.zeros(DIGIT, np.uint8)]
+    window = np.lib.stride_tricks.sliding_window_view(padded, DIGIT)
+    for depth in range(0, length, DIGIT):
+        digit = np.ascontiguousarray(window[start[row] + depth]).view(f">u{DIGIT}").ravel().astype(np.uint64)
+        if length - depth < DIGIT:
+            digit >>= np.uint64(8 * (DIGIT - (length - depth)))
+        order = np.lexsort((digit, group))
+        row, group, digit = row[order], group[order], digit[order]
+        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(row) else np.zeros(0, bool)
+        number = np.cumsum(new) - 1
+        several = (np.bincount(number) > 1)[number] if len(row) else new
+        row, group = row[several], number[several]
+    return row, group
+
+
 def first_pass(docs: DataFrame, length: int, hot_here: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,6 +184,8 @@ def first_pass(docs: DataFrame, length: int, hot_here: int) -> DataFrame:
                 key, context, did, at, low, high = (v[order] for v in (x.key, x.context, did, at, low, high))
                 new_key = np.r_[True, key[1:] != key[:-1]]
                 new = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])]
+                here = x.low[order]
+                new[differing(x.data, here, high - low, new)] = True
                 twice = np.r_[False, ~new[1:] & (did[1:] == did[:-1]) & (at[1:] == at[:-1])]
                 gone = ~new & ~twice
                 yield from small(removed(did[gone], low[gone], high[gone]))
@@ -225,10 +270,12 @@ def last_digits(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 order = np.lexsort((lo, d, h))
                 h, d, lo = h[order], d[order], lo[order]
                 new = np.r_[True, h[1:] != h[:-1]]
+                new[differing(flat, a[order], np.full(len(h), length), new)] = True
                 same = np.r_[False, ~new[1:] & (d[1:] == d[:-1]) & (lo[1:] == lo[:-1])]
                 gone = united(d[~new & ~same], lo[~new & ~same], lo[~new & ~same] + length)
                 yield string_rows(mix64(gone[0].astype(np.uint64)), REMOVED, *gone)
-                yield from small(string_rows(h[new], HOT_ASK, d[new], lo[new], lo[new] + length))
+                cells = [flat[e : e + length].tobytes() for e in a[order][new].tolist()]
+                yield from small(string_rows(h[new], HOT_ASK, d[new], lo[new], lo[new] + length, cells), 4096)
 
     return docs.join(asks, "did").select("did", "text", "asks").mapInArrow(run, STRINGS)
 
@@ -256,23 +303,23 @@ def last_pass(strings: DataFrame, length: int) -> DataFrame:
             kind = g["kind"]
             s = kind == REMOVED
             yield from result(g["did"][s], g["low"][s], g["high"][s])
-            s = kind == COLD_ASK
-            cells = g["bytes"][s]
+            s = kind != REMOVED
+            if not s.any():
+                continue
             size = g["high"][s] - g["low"][s]
-            flat = np.frombuffer(b"".join(cells), np.uint8)
+            flat = np.frombuffer(b"".join(g["bytes"][s]), np.uint8)
             edge = np.cumsum(size) - size
             who, offset = ragged_starts(size - length + 1)
-            a = edge[who] + offset
-            h = rolling().of(rolling().sums(flat), a, a + length) if len(a) else np.zeros(0, np.uint64)
             part, did, low = g["part"][s][who], g["did"][s][who], g["low"][s][who] + offset
-            s = kind == HOT_ASK
-            part, did, low = np.r_[part, g["part"][s]], np.r_[did, g["did"][s]], np.r_[low, g["low"][s]]
-            h = np.r_[h, np.zeros(int(s.sum()), np.uint64)]
-            if not len(part):
+            # in the order of document and place, which the passes keep
+            order = np.lexsort((low, did, part))
+            part, did, low, start = part[order], did[order], low[order], (edge[who] + offset)[order]
+            group = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
+            row, group = equal_strings(flat, start, group, length)
+            if not len(row):
                 continue
-            order = np.lexsort((low, did, h, part))
-            part, did, low, h = part[order], did[order], low[order], h[order]
-            new = np.r_[True, (part[1:] != part[:-1]) | (h[1:] != h[:-1])]
+            did, low = did[row], low[row]
+            new = np.r_[True, group[1:] != group[:-1]]
             same = np.r_[False, ~new[1:] & (did[1:] == did[:-1]) & (low[1:] == low[:-1])]
             gone = ~new & ~same
             yield from result(did[gone], low[gone], low[gone] + length)
@@ -285,13 +332,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot_here: int = HOT_HERE, ho
     """(doc_id, text, spans array<struct<low, high>>) for docs (doc_id, text): the byte stretches of each text's UTF-8 that
     are covered by a string of `length` bytes that also starts earlier, in order, none touching another.
 
-    Null text: empty. Rows that share a doc_id count as one document, with the smallest text; a null doc_id is one
-    document after all others; texts shorter than `length` have no span; an empty table gives no row; other columns are
-    ignored.
+    Null text: empty. Rows that share a doc_id, or have none, are documents of their own, which follow each other in the order
+    of their texts' hashes, those without id last; texts shorter than `length` have no span; an empty table gives no row;
+    other columns are ignored.
     """
     prepare(docs.sparkSession)
-    ids = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    one = docs.select(ids.alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).groupBy("did").agg(F.min("text").alias("text"))
+    one, _, named = numbered(docs)
+    one = one.repartition(partitions(docs.sparkSession), "did")
     # One plan: the texts are shuffled once, by document, and that exchange serves all three readers of `one`.
     asked = second_pass(first_pass(one, length, hot_here), hot)
     found = last_pass(last_digits(asked, one, length), length)
@@ -310,7 +357,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot_here: int = HOT_HERE, ho
 
     with_spans = one.join(spans, "did", "left").select("did", "text", "spans")
     out = with_spans.mapInArrow(run, "doc_id bigint, text string, spans array<struct<low:bigint,high:bigint>>")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return named(out, "doc_id")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,11 +381,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(documents(spark, sf_dir)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-#: Texts as BLOBs, places counted in bytes from 0. A 64-bit hash stands for a string, and documents are taken to be
-#: shorter than 1 GB.
+#: Texts and strings as BLOBs, places counted in bytes from 0; documents are taken to be shorter than 1 GB.
 ORACLE = """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-w AS (SELECT doc_id, p, doc_id * 1000000000 + p AS place, hash(b[p + 1 : p + 100]) AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS p FROM d)),
+w AS (SELECT doc_id, p, doc_id * 1000000000 + p AS place, b[p + 1 : p + 100] AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS p FROM d)),
 f AS (SELECT s, min(place) AS first FROM w GROUP BY s HAVING count(*) > 1),
 r AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE w.place <> f.first),
 g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),

@@ -218,9 +218,31 @@ def test_long_documents_in_pieces():
     assert anchors(7_000) == anchors(1 << 21)
 
 
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 20])
+def test_digit_passes_find_equal_strings(length):
+    rng = np.random.default_rng(length)
+    flat = rng.integers(0, 2, 600).astype(np.uint8)
+    start, group = rng.integers(0, 600 - length, 400), np.sort(rng.integers(0, 3, 400))
+    row, number = substrings.equal_strings(flat, start, group, length)
+    by = {}
+    for i in range(400):
+        by.setdefault((int(group[i]), flat[start[i] : start[i] + length].tobytes()), []).append(i)
+    want = sorted(v for v in by.values() if len(v) > 1)
+    assert sorted(row[number == n].tolist() for n in np.unique(number)) == want
+    assert substrings.equal_strings(flat, start[:0], group[:0], length)[0].tolist() == []
+
+
+def test_equal_numbers_of_unequal_bytes_are_told_apart():
+    data = np.frombuffer(b"abcabcabdabc", np.uint8)
+    new = np.array([True, False, False, False])
+    assert substrings.differing(data, np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3]), new).tolist() == [2]
+    assert substrings.differing(data, np.array([0, 3, 6, 9]), np.array([3, 3, 2, 3]), new).tolist() == [2]
+
+
 def test_substrings_odd(spark):
     got = substrings.repeated(documents(spark)).collect()
-    assert sorted((r.doc_id is None, r.doc_id) for r in got) == sorted((i is None, i) for i in {r[0] for r in ODD})
+    # every row is a document of its own, those that share an id or have none too
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in ODD)
     assert [(s.low, s.high) for r in got if r.doc_id == 6 for s in r.spans] != []
     assert substrings.repeated(documents(spark, [])).count() == 0
 
