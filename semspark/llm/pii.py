@@ -4,11 +4,13 @@ Validated numbers and dates are permuted within their format under a key, so equ
 cards keep a right Luhn digit, IBANs their letters and right check digits, North American phones valid area and
 exchange codes, social security numbers valid areas, dates the calendar (a cycle of 400 years, 146,097 days), IPv4
 addresses their four octets. Each is a Feistel network of eight rounds over two mixed moduli, so it is a bijection
-without cycle walking. E-mail addresses have no such format; their parts become keyed hashes of the same address.
+without cycle walking. E-mail addresses have no such format; their parts become keyed hashes of the same address: equal
+addresses stay equal, and of n addresses about n * n / 2**49 pairs (48 bits) come to share one.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from semspark.llm.common import aside, documents, prepare
 
 ROUNDS = 8
+#: The session's setting that names the key, and the key of examples, which everyone knows.
+KEY_SETTING, EXAMPLE_KEY = "semspark.pii.key", "semspark-demo-key"
+log = logging.getLogger(__name__)
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 PATTERN = "|".join(
     (
@@ -199,13 +204,23 @@ def same(kind: str, x: Column) -> Column:
     return x == kind
 
 
-def pseudonymised(docs: DataFrame, key: str = "semspark-demo-key") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session sets; else the example key, with a warning, as whoever knows it can undo the pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, "")
+    if not key:
+        log.warning("%s isn't set; pseudonyms are made under a key that is published", KEY_SETTING)
+    return key or EXAMPLE_KEY
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with text replaced, and columns n_pii and n_<kind> (bigint) appended.
 
     Null and empty texts stay as they are, with counts 0; numbers that fail their validation stay; repeated rows give the
-    same; columns of those names in docs give way, all others are kept. key: every document under one key has linked pseudonyms; pass your own and keep it.
+    same; columns of those names in docs give way, all others are kept. key: every document under one key has linked
+    pseudonyms, and whoever has it can undo them; without one the session's is taken (key_of).
     """
     prepare(docs.sparkSession)
+    key = key or key_of(docs.sparkSession)
     names = [c for c in docs.columns if c not in {"n_pii", *(f"n_{k}" for k in KINDS)}]
     some = F.col("text").rlike("[@0-9]")
     a = aside(docs, "text").withColumn("_raw", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))

@@ -11,7 +11,9 @@ import base64
 import functools
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import public_tokenizers
@@ -54,7 +56,8 @@ def spans(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[int,
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = sorted(found, key=lambda s: (s[0], s[2]))
     runs = [(m.start(), m.end(), 3) for m in RUN.finditer(text) if random_run(m.group(), path, ratio)]
-    runs = [r for r in runs if not any(s < r[1] and r[0] < e for s, e, _ in base)]
+    begins, reach = [s for s, _, _ in base], [*accumulate((e for _, e, _ in base), max)]
+    runs = [r for r in runs if not (n := bisect_left(begins, r[1])) or reach[n - 1] <= r[0]]
     return sorted(base + runs, key=lambda s: (s[0], s[2]))
 
 
