@@ -100,19 +100,37 @@ def meta_columns(spark, d):
     return said[0].unionByName(said[1])
 
 
-@query("SELECT guard, violations FROM (VALUES ('additivity', 1), ('additivity_pinned', 0), ('composite_key', 1), ('opaque_code', 1), ('array_membership', 1)) t(guard, violations)")
+SAID = {
+    "additivity": "SUM(value) runs over ts (point_in_time); pin it to one value or group by it",
+    "composite_key": "l_linenumber is used without its scope: l_orderkey",
+    "opaque_code": "c_name is opaque: filter by c_mktsegment, not by a part of the code",
+    "array_membership": "segments holds several values: test membership, not equality",
+}
+
+
+@query(f"""SELECT 'additivity' AS guard, '{SAID["additivity"]}' AS said, round(sum(value), 2) AS unsafe, round(sum(value) FILTER (ts = (SELECT max(ts) FROM events)), 2) AS safe FROM events
+UNION ALL SELECT 'composite_key', '{SAID["composite_key"]}', count(*) FILTER (l_linenumber = 1), count(*) FILTER (l_linenumber = 1 AND l_orderkey = 1) FROM lineitem
+UNION ALL SELECT 'opaque_code', '{SAID["opaque_code"]}', count(*) FILTER (c_name LIKE 'Customer#00%'), count(*) FILTER (c_mktsegment = 'BUILDING') FROM customer
+UNION ALL SELECT 'array_membership', '{SAID["array_membership"]}', count(*) FILTER (n = 1 AND has), count(*) FILTER (has) FROM (SELECT count(DISTINCT c_mktsegment) AS n, bool_or(c_mktsegment = 'AUTOMOBILE') AS has FROM customer GROUP BY c_nationkey)""")
 def guard_report(spark, d):
-    c, e = table(spark, d, "customer"), table(spark, d, "events")
-    stock = e.groupBy("user_id").agg(F.sum("value").alias("v"))
-    pinned = e.filter(F.col("ts") == F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("user_id").agg(F.sum("value").alias("v"))
-    found = {
-        "additivity": additivity_guard(stock, "value", {"ts": "point_in_time"}),
-        "additivity_pinned": additivity_guard(pinned, "value", {"ts": "point_in_time"}),
-        "composite_key": composite_key_guard(table(spark, d, "lineitem").filter("l_linenumber = 1"), "l_linenumber", ["l_orderkey"]),
-        "opaque_code": opaque_code_guard(c.filter(F.col("c_name").startswith("Customer#00")), "c_name", "c_mktsegment"),
-        "array_membership": array_membership_guard(c.groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("segments")).filter(F.col("segments") == F.array(F.lit("AUTOMOBILE"))), "segments"),
-    }
-    return spark.createDataFrame([(k, len(v)) for k, v in found.items()], "guard string, violations int")
+    """What each guard says of an unsafe question, what that question would have given, and what a safe one gives, of which the
+    guard says nothing."""
+    c, e, lines = (table(spark, d, n) for n in ("customer", "events", "lineitem"))
+    latest = e.agg(F.max("ts")).first()[0]
+    total, count = F.round(F.sum("value"), 2), F.count(F.lit(1)).cast("double")
+    of_nation = c.groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("segments"))
+    asked = [
+        ("additivity", lambda q: additivity_guard(q, "value", {"ts": "point_in_time"}), e.agg(total.alias("v")), e.filter(F.col("ts") == F.lit(latest)).agg(total.alias("v"))),
+        ("composite_key", lambda q: composite_key_guard(q, "l_linenumber", ["l_orderkey"]), lines.filter("l_linenumber = 1").agg(count.alias("v")), lines.filter("l_linenumber = 1 AND l_orderkey = 1").agg(count.alias("v"))),
+        ("opaque_code", lambda q: opaque_code_guard(q, "c_name", "c_mktsegment"), c.filter(F.col("c_name").startswith("Customer#00")).agg(count.alias("v")), c.filter("c_mktsegment = 'BUILDING'").agg(count.alias("v"))),
+        ("array_membership", lambda q: array_membership_guard(q, "segments"), of_nation.filter(F.col("segments") == F.array(F.lit("AUTOMOBILE"))).agg(count.alias("v")), of_nation.filter(F.array_contains("segments", "AUTOMOBILE")).agg(count.alias("v"))),
+    ]
+    out = None
+    for name, guard, unsafe, safe in asked:
+        said = "; ".join(guard(unsafe)) + "".join(f" (safe: {v})" for v in guard(safe))
+        row = unsafe.select(F.lit(name).alias("guard"), F.lit(said).alias("said"), F.col("v").alias("unsafe")).withColumn("safe", safe.scalar())
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT answer, n FROM (VALUES ('Ask', 1), ('NotDerivable', 2)) t(answer, n)")
