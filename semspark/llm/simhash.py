@@ -304,11 +304,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
     ids, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.col("text").cast("string")
     rows = docs.select(ids.alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     one = stage(rows.mapInArrow(run, "did bigint, th bigint, digest binary, keys binary"))
-    unique = stage(one.groupBy("digest").agg(F.min("did").alias("rep"), F.min("th").alias("th"), F.min("keys").alias("keys")).withColumn("id", F.xxhash64("digest")))
+    least_row = one.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("row"), F.min("keys").alias("keys"))
+    unique = stage(least_row.select("digest", F.col("row.did").alias("rep"), F.col("row.th").alias("th"), "keys", F.xxhash64("digest").alias("id")))
     keyed = unique.select("id", "keys").mapInArrow(spread, "table int, key bigint, id bigint").repartition(n, "key").sortWithinPartitions("key", "id")
     buckets = stage(keyed.mapInArrow(shared, "bucket bigint, id bigint, table int").groupBy("bucket", "id").agg(F.min("table").alias("table")))
-    members = unique.select("id", "th").join(buckets.select("id").distinct(), "id")
-    sets = stage(rows.select("th", "text").join(members, "th").dropDuplicates(["th"]).select("id", "text").mapInArrow(shingled, "id bigint, hashes binary"))
+    # one row's text for each set: rows are told by id and text, so a text's copies don't meet
+    members = unique.select("id", F.col("rep").alias("did"), "th").join(buckets.select("id").distinct(), "id")
+    sets = stage(rows.select("did", "th", "text").join(members, ["did", "th"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(shingled, "id bigint, hashes binary"))
 
     def verified(some: DataFrame) -> DataFrame:
         return stage(some.join(sets, "id").select("bucket", "id", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(compare, "a bigint, b bigint"))
