@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from semspark.llm.common import components, embeddings, partitions, prepare, stage, whole_groups
 from semspark.llm.topk import usable
 
-LIST, JOINED, ORDERS, STRETCH, MEMBERS, BLOCK = 16, 8, 6, 512, 192, 1024
+LIST, JOINED, ORDERS, STRETCH, MEMBERS, BLOCK, SMALL = 16, 8, 6, 512, 192, 1024, 128
 MARGIN = 1e-3
 SAMPLE, RECALL, ROUNDS = 512, 0.98, 6
 LISTS = "id bigint, nbrs binary, sims binary"
@@ -204,7 +204,9 @@ def spanning(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def exact(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Over coarse components (id, root): rows (id, n, a, b), being counts of linked vectors of other classes, to be summed by id,
     and forest links."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # at least four blocks, if these have SMALL rows or more: one component of a block's size isn't one task
+    size = F.count("*")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(size / BLOCK), F.least(F.lit(4), F.ceil(size / SMALL))).cast("int").alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("root", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     weight = F.col("mult") if "mult" in vectors.columns else F.lit(1).cast("bigint")
