@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from semspark import gates, project, quality
 from semspark import operators as O
-from semspark.meta import concept_cards, descriptor_cards
+from semspark.functions import cents_to_amount, spark_udf
+from semspark.meta import concept_cards, descriptor_cards, meta_tables
+from semspark.model import Rule
 from semspark.operators.snapshot import Window
 from semspark.plans import Answer, Intent, NotDerivable, compile_intent, period
 from semspark.plans.compiler import derived_set
+from semspark.project.rdf import validate
 from semspark.queries import answered, catalog, money, query, retail, table, tpch
+from semspark.sources import drift, external_table_ddl, view_ddl
 
 
 @query("SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net_revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -198,3 +202,87 @@ def projected_parts(spark, d):
         ("diagram", "relations", project.entity_relations(m, "t").count("||--o{")), ("concept cards", "cards", len(concept_cards(m))), ("descriptor cards", "cards", len(descriptor_cards(m))),
     ]
     return spark.createDataFrame(found, "artefact string, part string, n bigint")
+
+
+@query("SELECT o_orderstatus, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS total FROM orders GROUP BY o_orderstatus")
+def amounts_in_cents(spark, d):
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.sum(cents_to_amount(cents)).cast("double").alias("total"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
+def scoped_concept(spark, d):
+    """A concept that is a part of a shared relation: its value filter is on every question."""
+    m = tpch()
+    c = m.concepts["Customer"]
+    m = replace(m, concepts={**m.concepts, "Customer": replace(c, doc={**c.doc, "grounding": {**c.grounding, "value_filter": "c_mktsegment = 'BUILDING'"}})})
+    return answered(spark, d, Intent(count="Customer"), lambda: m)
+
+
+@query("SELECT round(sum(l_extendedprice), 2) AS gross_revenue, 'assumed' AS said FROM lineitem WHERE l_linestatus = 'F'")
+def assumed_axis(spark, d):
+    """An axis with a default that the question doesn't name: the default is taken, and said."""
+    m = tpch()
+    c = m.concepts["LineItem"]
+    m = replace(m, concepts={**m.concepts, "LineItem": replace(c, doc={**c.doc, "x-axes": {"l_linestatus": {"policy": "assumable_default", "default": "F"}}})})
+    a = compile_intent(m, catalog(spark, d), Intent("GrossRevenue"))
+    return a.df.select(money("gross_revenue"), F.lit("assumed" if any("is assumed" in s for s in a.disclosures) else "silent").alias("said"))
+
+
+@query(_values("axis, reason", [("LineItem.l_linestatus", "required, and there is no default")]))
+def required_axis(spark, d):
+    m = tpch()
+    c = m.concepts["LineItem"]
+    m = replace(m, concepts={**m.concepts, "LineItem": replace(c, doc={**c.doc, "x-axes": {"l_linestatus": {"policy": "mandatory_no_default"}}})})
+    asked = compile_intent(m, catalog(spark, d), Intent("GrossRevenue"))
+    return spark.createDataFrame([(asked.term, asked.reason)], "axis string, reason string")
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag")
+def rule_of_a_function(spark, d):
+    """A rule whose value is a registered function of columns."""
+    spark_udf("net_of_discount", lambda price, discount: price * (1 - F.coalesce(discount, F.lit(0.0))))
+    m = tpch()
+    c = m.concepts["Revenue"]
+    rule = Rule("by_function", "Revenue", ("LineItem",), "spark_udf", None, {"x-udf": {"name": "net_of_discount", "columns": ["l_extendedprice", "l_discount"]}})
+    m = replace(m, rules={**m.rules, "by_function": rule}, concepts={**m.concepts, "Revenue": replace(c, doc={**c.doc, "derived_by_rule": "by_function"})})
+    return answered(spark, d, Intent("Revenue", ("LineItem.l_returnflag",)), lambda: m).select("l_returnflag", money("by_function", "revenue"))
+
+
+@query("SELECT c_nationkey AS nationkey, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY c_nationkey")
+def rule_of_a_view(spark, d):
+    """A rule that a view of the catalog realises."""
+    m = retail()
+    m = replace(m, rules={**m.rules, "assortments": Rule("assortments", "Assortment", ("Assortment",), "sql_view", None, {"view_ref": "nation_segments"})})
+    return derived_set(m, catalog(spark, d), "assortments").select("nationkey", F.size("segments").cast("bigint").alias("segments"))
+
+
+@query(_values("word, action, edge", [("same nation", "resolve", "supplier__shares_nation__supplier"), ("Nachbarn", "resolve", "supplier__shares_nation__supplier"), ("cousins", "ask", None)]))
+def words_of_relations(spark, d):
+    said = {e.edge_id: e.doc["aliases"]["multilingual"] for e in tpch().edges.values() if e.doc.get("aliases")}
+    found = {w: O.relation_alias_resolve(w, said) for w in ("same nation", "Nachbarn", "cousins")}
+    return spark.createDataFrame([(w, x.action, x.value) for w, x in found.items()], "word string, action string, edge string")
+
+
+@query(_values("finding", [("part.p_size is string, described as int",), ("part.p_name is missing",), ("part.extra isn't described",)]))
+def descriptor_drift(spark, d):
+    """A relation held against its descriptor: as it is (nothing), and changed."""
+    part = table(spark, d, "part")
+    changed = part.withColumn("p_size", F.col("p_size").cast("string")).withColumnRenamed("p_name", "extra")
+    return spark.createDataFrame([(x,) for x in [*drift(part, tpch().tables["part"]), *drift(changed, tpch().tables["part"])]], "finding string")
+
+
+@query("""SELECT 'Customer' AS concept, 'c_mktsegment in closed set' AS test, count(*) FILTER (c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')) AS n FROM customer
+UNION ALL SELECT 'Orders', 'o_orderstatus in closed set', count(*) FILTER (o_orderstatus NOT IN ('O', 'F', 'P')) FROM orders
+UNION ALL SELECT 'LineItem', 'l_returnflag in closed set', count(*) FILTER (l_returnflag NOT IN ('R', 'A', 'N')) FROM lineitem
+UNION ALL SELECT 'LineItem', 'l_linestatus in closed set', count(*) FILTER (l_linestatus NOT IN ('O', 'F')) FROM lineitem""")
+def shapes_over_data(spark, d):
+    """The closed sets of the model's shapes, over the data."""
+    found = [f for f in validate(tpch(), catalog(spark, d).frames) if f[1].endswith("in closed set")]
+    return spark.createDataFrame(found, "concept string, test string, n bigint")
+
+
+@query(_values("relation, statement", [("meta_enum", "CREATE TABLE meta_enum (`concept` string, `value` string, `label` string) USING JSON LOCATION 'place/meta_enum'"), ("partsupp", "CREATE OR REPLACE TEMPORARY VIEW partsupp AS SELECT 1")]))
+def statements_for_a_warehouse(spark, d):
+    enum = meta_tables(spark, tpch())["meta_enum"]
+    return spark.createDataFrame([("meta_enum", external_table_ddl("meta_enum", enum, "place")), ("partsupp", view_ddl(tpch().tables["partsupp"], "SELECT 1;"))], "relation string, statement string")
