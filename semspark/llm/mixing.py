@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semspark.llm.common import aside, documents, prepare, stage
+from semspark.llm.common import aside, documents, partitions, prepare, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The seeded order is a 30-bit key, cut at the point where a source's share is full in three passes of 10 bits.
 BITS, PASSES = 10, 3
-#: Rows of one per source that are broadcast; beyond that they are joined by shuffling.
+#: Rows of one per source that are broadcast, and ranked in one task; beyond that they are joined by shuffling, and ranked in
+#: ranges.
 BROADCAST_SOURCES = 10_000
 
 
@@ -28,6 +29,19 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumns({"_size": words(), "_order": seeded(seed)})
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with sums over all rows before each, in an order that no two rows share: ranges are summed up on their own, and
+    each gets what the ranges before it hold (one row for each range)."""
+    n = partitions(rows.sparkSession)
+    placed = stage(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    offsets = totals.select("_part", *(F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"_{k}_ahead") for k in sums))
+    both = placed.withColumns({k: F.coalesce(F.sum(c).over(within), F.lit(0)) for k, c in sums.items()}).join(F.broadcast(offsets), "_part")
+    return both.select(*rows.columns, *((F.col(k) + F.col(f"_{k}_ahead")).alias(k) for k in sums))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, target) of sized rows: weights repeat over the sources by code point, null last; a target
     stops at `most` times its source's size, and the excess goes to the others by weight.
@@ -35,11 +49,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     With the sources ordered by the level at which they are full, and the first k full, the level is what is left over
     the weights left; it rises while the next source would overflow and falls from there on, so the largest one holds.
     """
-    by = sizes.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    every, order = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
-    number = (F.row_number().over(order) - 1) % len(weights) + 1
-    by = by.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), number.cast("int")).cast("bigint").alias("w"), (F.col("source_size") * most).alias("cap"))
-    before = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by = stage(sizes.groupBy("source").agg(F.sum("_size").alias("source_size")))
+    first, cap = F.col("source").asc_nulls_last(), (F.col("source_size") * most).alias("cap")
+    weight = lambda n: F.element_at(F.array(*map(F.lit, weights)), (n % len(weights) + 1).cast("int")).cast("bigint").alias("w")
+    if by.count() > BROADCAST_SOURCES:
+        by = stage(running(by, [first], {"n": F.lit(1)}).select("source", "source_size", weight(F.col("n")), cap))
+        by = running(by, [(F.col("cap") / F.col("w")).asc(), first], {"full": F.col("cap"), "used": F.col("w")})
+        by = stage(by)
+        every = by.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+        level = by.agg(F.max((F.lit(every.size) - F.col("full")) / (F.lit(every.w) - F.col("used"))).alias("level")).first().level
+        return by.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(level)).alias("target"))
+    every = Window.partitionBy()
+    by = by.select("source", "source_size", weight(F.row_number().over(Window.orderBy(first)) - 1), cap)
+    before = Window.orderBy((F.col("cap") / F.col("w")).asc(), first).rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     shares = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
     by = by.withColumn("level", left / shares)

@@ -320,6 +320,17 @@ def test_mixing_many_sources_and_odd_rows(spark, tmp_path, monkeypatch):
     assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mixed(documents(spark, [])).count() == 0
 
 
+def test_sources_ranked_in_ranges(spark, tmp_path, monkeypatch):
+    """Hundreds of sources, some full long before others, ranked in ranges as in one task."""
+    texts, _, r = prose(6, 900, (1, 60))
+    rows = [(i, " ".join(t), "en", r.choice(["big"] * 40 + [f"s{k}é" for k in range(150)] + [f"{k}" for k in range(150)] + [None]), 1) for i, t in enumerate(texts)]
+    d = written(spark, tmp_path, rows)
+    want = duck_mix(d)
+    assert same(mixing.op7_mixing(spark, d).toPandas(), want)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert same(mixing.op7_mixing(spark, d).toPandas(), want)
+
+
 def test_mixed_rows_hold_what_is_taken(spark):
     docs = documents(spark)
     sizes = {r.doc_id: 0 for r in docs.collect()}
