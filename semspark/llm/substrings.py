@@ -12,7 +12,7 @@ string is a suffix with an offset.
      the last pass are exactly the repeated strings; all but the first of each are removed.
 What several documents share is cut down where it lies before it is shuffled, so a passage in a third of all documents
 sends a few rows from each block; anchors with very many contexts are split by single strings, which go to as many
-places, with their bytes.
+places: their bytes are compared in a block, and two independent 64-bit numbers stand for them across blocks.
 """
 
 from __future__ import annotations
@@ -41,6 +41,12 @@ def rolling() -> Rolling:
     return Rolling()
 
 
+@functools.cache
+def second() -> Rolling:
+    """Hashes that are independent of rolling's."""
+    return Rolling(0xD6E8FEB86659FD93)
+
+
 def depth(length: int) -> tuple[int, int]:
     """Bytes of an anchor, and places that it can have in a string."""
     k = max(1, min(32, length // 3))
@@ -274,8 +280,10 @@ def last_digits(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 same = np.r_[False, ~new[1:] & (d[1:] == d[:-1]) & (lo[1:] == lo[:-1])]
                 gone = united(d[~new & ~same], lo[~new & ~same], lo[~new & ~same] + length)
                 yield string_rows(mix64(gone[0].astype(np.uint64)), REMOVED, *gone)
-                cells = [flat[e : e + length].tobytes() for e in a[order][new].tolist()]
-                yield from small(string_rows(h[new], HOT_ASK, d[new], lo[new], lo[new] + length, cells), 4096)
+                begin = a[order][new]
+                number = second().of(second().sums(flat), begin, begin + length)
+                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(number), [None, pa.py_buffer(number.tobytes())]).cast(pa.binary())
+                yield from small(string_rows(h[new], HOT_ASK, d[new], lo[new], lo[new] + length, cells))
 
     return docs.join(asks, "did").select("did", "text", "asks").mapInArrow(run, STRINGS)
 
@@ -291,8 +299,25 @@ def ragged_starts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return who, np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
 
 
+def beyond_the_first(part: np.ndarray, did: np.ndarray, low: np.ndarray, cells: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (did, low, high) of the strings of `width` bytes in the cells that equal an earlier one of their part; strings
+    at one place are one."""
+    size = np.array([len(c) for c in cells])
+    edge = np.cumsum(size) - size
+    who, offset = ragged_starts(size - width + 1)
+    part, did, low, start = part[who], did[who], low[who] + offset, edge[who] + offset
+    order = np.lexsort((low, did, part))  # the passes keep the order of document and place
+    part, did, low, start = part[order], did[order], low[order], start[order]
+    group = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
+    row, group = equal_strings(np.frombuffer(b"".join(cells), np.uint8), start, group, width)
+    did, low = did[row], low[row]
+    again = np.r_[False, group[1:] == group[:-1]] if len(row) else np.zeros(0, bool)
+    again[1:] &= (did[1:] != did[:-1]) | (low[1:] != low[:-1])
+    return did[again], low[again], low[again] + length
+
+
 def last_pass(strings: DataFrame, length: int) -> DataFrame:
-    """Stretches (did, low, high) to remove: strings that are equal in all their bytes, but for each group's first."""
+    """Stretches (did, low, high) to remove: all but the first of equal strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(did: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -303,26 +328,10 @@ def last_pass(strings: DataFrame, length: int) -> DataFrame:
             kind = g["kind"]
             s = kind == REMOVED
             yield from result(g["did"][s], g["low"][s], g["high"][s])
-            s = kind != REMOVED
-            if not s.any():
-                continue
-            size = g["high"][s] - g["low"][s]
-            flat = np.frombuffer(b"".join(g["bytes"][s]), np.uint8)
-            edge = np.cumsum(size) - size
-            who, offset = ragged_starts(size - length + 1)
-            part, did, low = g["part"][s][who], g["did"][s][who], g["low"][s][who] + offset
-            # in the order of document and place, which the passes keep
-            order = np.lexsort((low, did, part))
-            part, did, low, start = part[order], did[order], low[order], (edge[who] + offset)[order]
-            group = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
-            row, group = equal_strings(flat, start, group, length)
-            if not len(row):
-                continue
-            did, low = did[row], low[row]
-            new = np.r_[True, group[1:] != group[:-1]]
-            same = np.r_[False, ~new[1:] & (did[1:] == did[:-1]) & (low[1:] == low[:-1])]
-            gone = ~new & ~same
-            yield from result(did[gone], low[gone], low[gone] + length)
+            # contexts give all strings in them, hot strings are there one by one, as numbers
+            for s, width in ((kind == COLD_ASK, length), (kind == HOT_ASK, 8)):
+                if s.any():
+                    yield from result(*beyond_the_first(g["part"][s], g["did"][s], g["low"][s], g["bytes"][s], width, length))
 
     n = partitions(strings.sparkSession)
     return strings.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(run, "did bigint, low bigint, high bigint")
