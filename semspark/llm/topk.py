@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from semspark.llm.common import embeddings, prepare, stage
 
-CANDIDATES, TOGETHER, DIMENSIONS = 4096, 16, 16
+CANDIDATES, TOGETHER, DIMENSIONS = 4096, 32, 16
 PLANES = 24
 #: Balls of a block that splits evenly.
 BALLS = 8
@@ -64,7 +64,7 @@ def searched(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
             if d + DIMENSIONS >= dims or not len(alive):
                 continue
             slack = q_left[n][mine][:, None] * c_left[n][alive][None, :] * (1 + 1e-9) + 1e-6
-            if len(alive) > k:
+            if len(alive) > k and not np.isfinite(floor).all():  # a floor from the own block is good enough elsewhere
                 low = np.where(c_ids[alive][None, :] == own[:, None], -np.inf, score - slack)
                 floor = np.maximum(floor, np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k])
             keep = (score + slack >= floor[:, None]).any(axis=0)
