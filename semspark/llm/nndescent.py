@@ -8,8 +8,9 @@ all rows have is one row.
    other, and every list keeps its best. A vector that very many have in their lists is split, by those, into groups that
    all hold its own neighbours, before any vector is sent there. Rounds end when few entries change.
 3. Links at the threshold (less a margin for single precision) give coarse components. Lists of vectors in a component
-   may be saturated, so each is enlarged to its whole component: blocks of the component are compared with blocks, in
-   double precision, which gives exact link counts and a spanning forest of links, whatever the component's size.
+   may be saturated, so each is enlarged to its whole component: blocks of near vectors of the component are compared with
+   the blocks whose balls are near enough for a link, in double precision, which gives exact link counts and a spanning
+   forest of links, whatever the component's size.
 4. A saturated list may also lack links to other components. Saturated vectors of a component lie in balls of a centre and
    an angle; balls of two components that are near enough for a link are compared, and a link found joins the components.
 5. An audit compares two bounded samples, of all vectors and of those that have links, with all others; below the recall
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from semspark.llm.common import components, embeddings, partitions, prepare, stage, whole_groups
 from semspark.llm.topk import usable
 
-LIST, JOINED, ORDERS, STRETCH, MEMBERS, BLOCK, SMALL = 16, 8, 6, 512, 192, 1024, 128
+LIST, JOINED, ORDERS, STRETCH, MEMBERS, BLOCK = 16, 8, 6, 512, 192, 512
 MARGIN = 1e-3
 SAMPLE, RECALL, ROUNDS = 512, 0.98, 6
 LISTS = "id bigint, nbrs binary, sims binary"
@@ -201,34 +202,103 @@ def spanning(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (left[:0], left[:0])
 
 
+BLOCKS = "block bigint, root bigint, dims int, ids binary, mult binary, v64 binary, centre binary, radius double"
+
+
+def blocked(members: DataFrame, vectors: DataFrame, seed: int = 17) -> DataFrame:
+    """Members (id, root) with their vectors as blocks of up to BLOCK, each of one root and of near ones (neighbours in a
+    random-projection order), with the ball that they lie in: centre, and greatest angle from it. Ranges are cut, so a
+    component of any size is many blocks."""
+    n, size = partitions(members.sparkSession), BLOCK
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, code = b.column(2).to_numpy(), np.zeros(b.num_rows, np.int64)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                planes = np.random.default_rng([seed, d]).standard_normal((d, 24))
+                code[at] = ((matrix(b.column(3).take(pa.array(at)), np.float64) @ planes) > 0) @ (1 << np.arange(23, -1, -1, dtype=np.int64))
+            yield b.append_column("code", pa.array(code))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: list[tuple] = []
+        count = TaskContext.get().partitionId() << 40
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            if held:
+                _, root, d, cells, mult = zip(*held, strict=True)
+                m = matrix(list(cells), np.float64)
+                c = m.mean(axis=0)
+                c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-6 else m[0]
+                angle = float(np.arccos(np.clip(m @ c, -1, 1)).max())
+                cells = [count, root[0], d[0], np.array([h[0] for h in held], np.int64).tobytes(), np.array(mult, np.int64).tobytes(), m.tobytes(), c.tobytes(), angle]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, cells, strict=True))], schema)
+                count += 1
+                held.clear()
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("id", "root", "dims", "v64", "mult")), strict=True):
+                if held and (row[1:3] != held[0][1:3] or len(held) >= size):
+                    yield from flush()
+                held.append(row)
+        yield from flush()
+
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in BLOCKS.split(", ")])
+    weight = F.col("mult") if "mult" in vectors.columns else F.lit(1).cast("bigint")
+    rows = members.join(vectors.select("id", "dims", "v64", weight.alias("mult")), "id").select("id", "root", "dims", "v64", "mult")
+    rows = rows.mapInArrow(coded, "id bigint, root bigint, dims int, v64 binary, mult bigint, code bigint")
+    rows = rows.repartitionByRange(n, "root", "dims", "code", "id").sortWithinPartitions("root", "dims", "code", "id")
+    return stage(rows.mapInArrow(cut, BLOCKS))
+
+
 def exact(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Over coarse components (id, root): rows (id, n, a, b), being counts of linked vectors of other classes, to be summed by id,
-    and forest links."""
-    # at least four blocks, if these have SMALL rows or more: one component of a block's size isn't one task
-    size = F.count("*")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(size / BLOCK), F.least(F.lit(4), F.ceil(size / SMALL))).cast("int").alias("blocks"))
-    rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("root", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    weight = F.col("mult") if "mult" in vectors.columns else F.lit(1).cast("bigint")
-    rows = rows.join(vectors.select("id", "dims", "v64", weight.alias("mult")), "id").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "dims", "v64", "mult")
-    keyed = rows.withColumn("part", F.xxhash64("root", "i", "j")).select("part", "i", "j", "block", "id", "dims", "v64", "mult")
+    and forest links. Blocks of a component are compared only if their balls are near enough for a link."""
+    held, reach = blocked(members, vectors), float(np.arccos(threshold))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in whole_groups(batches, "part"):
-            cut = np.flatnonzero(np.r_[True, (g["part"][1:] != g["part"][:-1]) | (g["dims"][1:] != g["dims"][:-1]), True])
-            for s, e in zip(cut, cut[1:], strict=False):
-                ids, block = g["id"][s:e], g["block"][s:e]
-                m = matrix(g["v64"][s:e], np.float64)
-                link = m @ m.T >= threshold
-                np.fill_diagonal(link, False)
-                counted = link if g["i"][s] == g["j"][s] else link & (block[:, None] != block[None, :])
-                n = counted @ g["mult"][s:e]
-                a, b = spanning(link)
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(n.astype(np.int64)), none]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[a])]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids[b])])], ["id", "n", "a", "b"])
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [np.arccos(np.clip(np.frombuffer(r["centre"], np.float64) @ np.frombuffer(r["other_centre"], np.float64), -1, 1)) <= r["radius"] + r["other_radius"] + reach + 1e-6 for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("block", "other")], ["block", "other"])
 
-    n = partitions(members.sparkSession)
-    return keyed.repartition(n, "part").sortWithinPartitions("part", "dims", "id").mapInArrow(run, "id bigint, n bigint, a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                one = "other_ids" not in r
+                ids, mult = (np.frombuffer(r[c], np.int64) for c in ("ids", "mult"))
+                m = np.frombuffer(r["v64"], np.float64).reshape(len(ids), -1)
+                if one:
+                    link = m @ m.T >= threshold
+                    np.fill_diagonal(link, False)
+                    n, (a, b) = link @ mult, spanning(link)
+                    a, b = ids[a], ids[b]
+                else:
+                    ids2, mult2 = (np.frombuffer(r[c], np.int64) for c in ("other_ids", "other_mult"))
+                    link = m @ np.frombuffer(r["other_v64"], np.float64).reshape(len(ids2), -1).T >= threshold
+                    n = np.r_[link @ mult2, link.T @ mult]
+                    whole = np.zeros((len(link) + len(ids2),) * 2, bool)
+                    whole[: len(link), len(link) :], whole[len(link) :, : len(link)] = link, link.T
+                    a, b = spanning(whole)
+                    ids = np.r_[ids, ids2]
+                    a, b = ids[a], ids[b]
+                some = n > 0
+                ids, n, none = ids[some], n[some], pa.nulls(len(a), pa.int64())
+                wide = pa.nulls(len(ids), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(ids), none]), pa.concat_arrays([pa.array(n.astype(np.int64)), none]), pa.concat_arrays([wide, pa.array(a)]), pa.concat_arrays([wide, pa.array(b)])], ["id", "n", "a", "b"])
+
+    ball = held.select("block", "root", "dims", "centre", "radius")
+    other = ball.select(F.col("block").alias("other"), "root", "dims", F.col("centre").alias("other_centre"), F.col("radius").alias("other_radius"))
+    pairs = stage(ball.join(other, ["root", "dims"]).filter("block < other").mapInArrow(near, "block bigint, other bigint"))
+    data = held.select("block", "ids", "mult", "v64")
+    far = data.select(*(F.col(c).alias("other" if c == "block" else f"other_{c}") for c in data.columns))
+    result = "id bigint, n bigint, a bigint, b bigint"
+    alone = held.filter(F.octet_length("ids") > 8).select("ids", "mult", "v64").mapInArrow(run, result)
+    return alone.unionByName(pairs.join(data, "block").join(far, "other").drop("block", "other").mapInArrow(run, result))
 
 
 def between(lists: DataFrame, coarse: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -241,17 +311,6 @@ def between(lists: DataFrame, coarse: DataFrame, vectors: DataFrame, threshold:
             ok = [len(x) == 4 * k and np.frombuffer(x, np.float32).min() >= threshold - MARGIN for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
 
-    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in whole_groups(batches, "ball", 1 << 12):
-            cut = np.flatnonzero(np.r_[True, g["ball"][1:] != g["ball"][:-1], True])
-            out = []
-            for s, e in zip(cut, cut[1:], strict=False):
-                m = matrix(g["v64"][s:e], np.float64)
-                c = m.mean(axis=0) if np.linalg.norm(m.mean(axis=0)) > 1e-6 else m[0]
-                c = c / np.linalg.norm(c)
-                out.append((g["ball"][s], g["root"][s], g["dims"][s], c.tobytes(), float(np.arccos(np.clip(m @ c, -1, 1)).max())))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["ball", "root", "dims", "centre", "radius"])
-
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, "part", 1 << 12):
             cut = np.flatnonzero(np.r_[True, (g["part"][1:] != g["part"][:-1]) | (g["dims"][1:] != g["dims"][:-1]), True])
@@ -266,29 +325,25 @@ def between(lists: DataFrame, coarse: DataFrame, vectors: DataFrame, threshold:
                 yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], ["x", "y"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in whole_groups(batches, "pair", 1 << 12):
-            cut = np.flatnonzero(np.r_[True, (g["pair"][1:] != g["pair"][:-1]) | (g["x"][1:] != g["x"][:-1]) | (g["y"][1:] != g["y"][:-1]), True])
-            for s, e in zip(cut, cut[1:], strict=False):
-                ids, m, first = g["id"][s:e], matrix(g["v64"][s:e], np.float64), g["ball"][s:e] == g["x"][s]
-                link = m[first] @ m[~first].T >= threshold
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, ids2 = (np.frombuffer(r[c], np.int64) for c in ("ids", "other_ids"))
+                link = np.frombuffer(r["v64"], np.float64).reshape(len(ids), -1) @ np.frombuffer(r["other_v64"], np.float64).reshape(len(ids2), -1).T >= threshold
                 if link.any():
                     a, b = np.unravel_index(link.argmax(), link.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[first][a]]), pa.array([ids[~first][b]])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[a]]), pa.array([ids2[b]])], ["a", "b"])
 
-    members = lists.select("id", "sims").mapInArrow(full, "id bigint").join(coarse, "id")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("ball", F.xxhash64("root", F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    members = stage(members.join(vectors.select("id", "dims", "v64"), "id").select("ball", "root", "id", "dims", "v64"))
-    balls = stage(members.repartition(n, "ball").sortWithinPartitions("ball").mapInArrow(ball, "ball bigint, root bigint, dims int, centre binary, radius double"))
+    held = blocked(lists.select("id", "sims").mapInArrow(full, "id bigint").join(coarse, "id"), vectors)
+    balls = held.select(F.col("block").alias("ball"), "root", "dims", "centre", "radius")
     blocks = -(-balls.count() // BLOCK)
     if not blocks:
         return spark.createDataFrame([], "a bigint, b bigint")
     rows = balls.withColumn("block", F.pmod(F.xxhash64("ball"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).withColumn("part", F.xxhash64("i", "j"))
-    pairs = stage(rows.repartition(n, "part").sortWithinPartitions("part", "dims").mapInArrow(near, "x bigint, y bigint").withColumn("pair", F.xxhash64("x", "y")))
-    sides = pairs.withColumn("ball", F.explode(F.array("x", "y")))
-    sides = sides.join(members, "ball").select("pair", "x", "y", "ball", "id", "v64")
-    return stage(sides.repartition(n, "pair").sortWithinPartitions("pair", "x", "y", "ball").mapInArrow(linked, "a bigint, b bigint"))
+    pairs = stage(rows.repartition(n, "part").sortWithinPartitions("part", "dims").mapInArrow(near, "x bigint, y bigint"))
+    data = held.select(F.col("block").alias("x"), "ids", "v64")
+    far = held.select(F.col("block").alias("y"), F.col("ids").alias("other_ids"), F.col("v64").alias("other_v64"))
+    return stage(pairs.join(data, "x").join(far, "y").drop("x", "y").mapInArrow(linked, "a bigint, b bigint"))
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, sample: int = SAMPLE) -> float:
