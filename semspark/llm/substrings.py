@@ -157,21 +157,39 @@ def differing(data: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.nda
     return np.concatenate(out) if out else rest
 
 
-def equal_strings(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Most-significant-digit passes over strings flat[start : start + length], within groups: the rows that have equals, equal
-    ones next to each other and in their given order, and the number of each one's group."""
-    row, group = np.arange(len(start)), group
+def digits_at(flat: np.ndarray) -> np.ndarray:
+    """The DIGIT bytes from each place on as one big-endian number; zeros beyond the end."""
     padded = np.r_[flat, np.zeros(DIGIT, np.uint8)]
-    window = np.lib.stride_tricks.sliding_window_view(padded, DIGIT)
+    out = np.zeros(len(flat), np.uint64)
+    for k in range(DIGIT):
+        out = out << np.uint64(8) | padded[k : k + len(flat)]
+    return out
+
+
+def equal_strings(flat: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Most-significant-digit passes over strings flat[start : start + length], within groups (their numbers in order): the rows
+    that have equals, equal ones next to each other and in their given order, and the number of each one's group. A pass
+    sorts only the groups that its digit splits."""
+    row = np.arange(len(start))
+    digits = digits_at(flat)
     for depth in range(0, length, DIGIT):
-        digit = np.ascontiguousarray(window[start[row] + depth]).view(f">u{DIGIT}").ravel().astype(np.uint64)
+        if not len(row):
+            break
+        digit = digits[start[row] + depth]
         if length - depth < DIGIT:
-            digit >>= np.uint64(8 * (DIGIT - (length - depth)))
-        order = np.lexsort((digit, group))
-        row, group, digit = row[order], group[order], digit[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(row) else np.zeros(0, bool)
-        number = np.cumsum(new) - 1
-        several = (np.bincount(number) > 1)[number] if len(row) else new
+            digit = digit >> np.uint64(8 * (DIGIT - (length - depth)))
+        new = np.r_[True, group[1:] != group[:-1]]
+        number, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        differ = digit != digit[first][number]
+        if depth and not differ.any():
+            continue
+        split = np.zeros(len(first), bool)
+        split[number[differ]] = True
+        at = np.flatnonzero(split[number])
+        order = np.lexsort((digit[at], number[at]))
+        row[at], digit[at] = row[at][order], digit[at][order]
+        number = np.cumsum(new | np.r_[False, digit[1:] != digit[:-1]]) - 1
+        several = (np.bincount(number) > 1)[number]
         row, group = row[several], number[several]
     return row, group
 
@@ -302,12 +320,16 @@ def ragged_starts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def beyond_the_first(part: np.ndarray, did: np.ndarray, low: np.ndarray, cells: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (did, low, high) of the strings of `width` bytes in the cells that equal an earlier one of their part; strings
     at one place are one."""
+    order = np.lexsort((low, did, part))
+    part, did, low, cells = part[order], did[order], low[order], cells[order]
     size = np.array([len(c) for c in cells])
     edge = np.cumsum(size) - size
     who, offset = ragged_starts(size - width + 1)
     part, did, low, start = part[who], did[who], low[who] + offset, edge[who] + offset
-    order = np.lexsort((low, did, part))  # the passes keep the order of document and place
-    part, did, low, start = part[order], did[order], low[order], start[order]
+    # the passes keep the order of document and place; only stretches that overlap are out of it
+    if ((part[1:] == part[:-1]) & (did[1:] == did[:-1]) & (low[1:] < low[:-1])).any():
+        order = np.lexsort((low, did, part))
+        part, did, low, start = part[order], did[order], low[order], start[order]
     group = np.cumsum(np.r_[True, part[1:] != part[:-1]]) - 1
     row, group = equal_strings(np.frombuffer(b"".join(cells), np.uint8), start, group, width)
     did, low = did[row], low[row]
