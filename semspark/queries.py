@@ -369,10 +369,10 @@ def orders_without_lines(spark, d):
 
 
 @query("""WITH b AS (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem), n AS (SELECT l_orderkey, count(*) AS n FROM b GROUP BY l_orderkey)
-SELECT l_returnflag, round(sum(o_totalprice / n), 2) AS allocated FROM orders JOIN n ON o_orderkey = l_orderkey JOIN b USING (l_orderkey) GROUP BY l_returnflag""")
+SELECT l_returnflag, CAST(round(sum(CAST(o_totalprice / n AS DECIMAL(20,6))), 2) AS DOUBLE) AS allocated FROM orders JOIN n ON o_orderkey = l_orderkey JOIN b USING (l_orderkey) GROUP BY l_returnflag""")
 def allocated_revenue(spark, d):
     bridge = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    return O.allocate(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), bridge, "o_orderkey", "o_totalprice").groupBy("l_returnflag").agg(F.round(F.sum("o_totalprice"), 2).alias("allocated"))
+    return O.allocate(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), bridge, "o_orderkey", "o_totalprice").groupBy("l_returnflag").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(20,6)")), 2).cast("double").alias("allocated"))
 
 
 @query("SELECT event_type, round(sum(value), 2) AS value FROM (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL) GROUP BY event_type")
