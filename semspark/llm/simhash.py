@@ -24,8 +24,9 @@ from semspark.llm.common import NO_ID, aside, components, documents, mix64, part
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
-#: Groups of up to this many rows are compared pair by pair, larger ones by a search that returns a spanning forest.
-SMALL_GROUP = 6
+#: Groups of up to this many rows are compared pair by pair, many groups at once; larger ones by a search that returns a
+#: spanning forest.
+SMALL_GROUP = 64
 
 
 @functools.cache
