@@ -153,6 +153,33 @@ def test_similar_recall_at_the_bound(spark):
     assert all(got[1000 + n] == 1000 + n for n in set(range(200)) - set(over))
 
 
+def test_similar_groups_meet_by_golay_keys(spark):
+    """Buckets of similar_groups come from SimHash fingerprints: at 3 differing bits in one table a Golay key is shared."""
+    r = random.Random(18)
+    h = np.unique(np.array([r.getrandbits(64) for _ in range(301)], np.uint64))
+    plain = [simhash.majority(simhash.mix64(h ^ salt)) for salt in simhash.mix64(np.arange(1, 6, dtype=np.uint64))]
+    assert simhash.simhashes(h, 5).tolist() == plain
+    rows = {}
+    for n in range(300):
+        fps = [r.getrandbits(64) for _ in range(4)]
+        near = [fps[0], fps[1], r.getrandbits(64), fps[3]]
+        for bit in r.sample(range(64), 3):
+            near[3] ^= 1 << bit
+        for t in (0, 1):  # near enough for a comparison, mostly without a key
+            for low, size in ((0, 21), (21, 21), (42, 22)):
+                for bit in r.sample(range(low, low + size), 6):
+                    near[t] ^= 1 << bit
+        rows |= {n: fps, 1000 + n: near}
+    cells = [(n, b"".join(x.to_bytes(8, "little") for x in fps)) for n, fps in rows.items()]
+    got = simhash.sharing(spark.createDataFrame(cells, "id bigint, fps binary").repartition(7), 0.8).collect()
+    found = {}
+    for x in got:
+        found.setdefault(x.bucket, set()).add((x.id, x.table))
+    assert {n for b in found.values() for n in range(300) if {i for i, _ in b} == {n, 1000 + n}} == set(range(300))
+    assert sum({t for _, t in b} == {3} for b in found.values()) > 100
+    assert sum({i % 1000 for i, _ in b} != {min(i for i, _ in b) % 1000} for b in found.values()) <= 2
+
+
 def test_simhash_odd(spark):
     got = simhash.near_duplicates(documents(spark)).collect()
     assert len(got) == len(ODD) and {x.component_id for x in got if x.fp == 0} == {1}
