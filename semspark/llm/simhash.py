@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semspark.llm.chaining import columns, planes
-from semspark.llm.common import NO_ID, aside, components, documents, mix64, partitions, prepare, small, stage, texts, whole_groups
+from semspark.llm.common import NO_ID, aside, components, documents, least_labels, mix64, partitions, prepare, small, stage, texts, whole_groups
 
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (shift, bits)
@@ -225,9 +225,27 @@ def nearness(similarity: float, bits: int) -> int:
 TOLD_BY = 2
 
 
+#: Tables that are met first; in the others, what these have put together is one, so that a large group's links aren't found
+#: over and over.
+FIRST_TABLES = 1
+
+
 def sharing(sets: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, id, table) of sets (id bigint, fps binary: their fingerprints end to end): each bucket is what shares a
-    Golay key in a table and hangs together by fingerprints near enough for that similarity. Equal buckets have one name."""
+    """(bucket, id, table) of sets (id bigint, fps binary: their fingerprints end to end) that meet others: those that share a
+    Golay key in a table, and are near enough by fingerprints for that similarity, are in one bucket, as is what such pairs
+    connect. Each set is in one bucket at most, which is named by its smallest id; table: the first in which the set, or what
+    it hung together with by then, met another."""
+    alone = sets.select("id", F.col("id").alias("root"), "fps")
+    edges = stage(meetings(alone, similarity, 0, FIRST_TABLES))
+    so_far = sets.join(components(edges.select("a", "b")), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "fps")
+    edges = stage(edges.unionByName(meetings(so_far, similarity, FIRST_TABLES, None)))
+    first = edges.select(F.explode(F.array("a", "b")).alias("id"), "table").groupBy("id").agg(F.min("table").alias("table"))
+    return components(edges.select("a", "b")).join(first, "id").select(F.col("root").alias("bucket"), "id", "table")
+
+
+def meetings(sets: DataFrame, similarity: float, low: int, high: int | None) -> DataFrame:
+    """(a, b, table): links between roots of sets (id, root, fps) that meet in the tables from low to high. Of each partition
+    of the keys a forest of these links."""
     n = partitions(sets.sparkSession)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,10 +254,13 @@ def sharing(sets: DataFrame, similarity: float) -> DataFrame:
             b = b.filter(b.column(1).is_valid())
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy()
-            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), -1)
-            i, k, _ = keys(fp.ravel())
-            code = np.unique((i // fp.shape[1]) << 32 | (i % fp.shape[1]) << 26 | k)  # a home is a visit on both sides
+            roots = b.column(0).to_numpy()
+            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(roots), -1)
+            used = fp[:, low:high]
+            i, k, _ = keys(used.ravel())
+            if not len(i):
+                continue
+            code = np.unique((i // used.shape[1]) << 32 | (low + i % used.shape[1]) << 26 | k)  # a home is a visit on both sides
             own, key = code >> 32, code & 0xFFFFFFFF
             part = (mix64(key.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
             order = np.lexsort((key, part))
@@ -251,7 +272,7 @@ def sharing(sets: DataFrame, similarity: float) -> DataFrame:
                 at = slice(cut[p], cut[p + 1])
                 one, where = np.unique(own[at], return_inverse=True)
                 held.append(len(one))
-                cells.append(planes(ids[one], *(fp[one, t] for t in range(TOLD_BY))) + planes(np.diff(key[at], prepend=0).astype(np.uint32), where.astype(np.uint32)))
+                cells.append(planes(roots[one], *(fp[one, t] for t in range(TOLD_BY))) + planes(np.diff(key[at], prepend=0).astype(np.uint32), where.astype(np.uint32)))
             yield from small(pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (has, held, np.diff(cut)[has])] + [pa.array(cells, pa.binary())], ["part", "m", "n", "cell"]), 500)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,61 +282,55 @@ def sharing(sets: DataFrame, similarity: float) -> DataFrame:
             for s, e in zip(edge, edge[1:], strict=False):
                 got, base = [], 0
                 for cell, m, k in zip(g["cell"][s:e], g["m"][s:e].tolist(), g["n"][s:e].tolist(), strict=True):
-                    ids, *told = columns(cell, m, np.int64, *[np.uint64] * TOLD_BY)
+                    roots, *told = columns(cell, m, np.int64, *[np.uint64] * TOLD_BY)
                     step, where = columns(cell[8 * m * (1 + TOLD_BY) :], k, np.uint32, np.uint32)
-                    got.append((ids, np.stack(told, axis=1), np.cumsum(step, dtype=np.int64), where.astype(np.int64) + base))
+                    got.append((roots, np.stack(told, axis=1), np.cumsum(step, dtype=np.int64), where.astype(np.int64) + base))
                     base += m
-                ids, told, key, own = (np.concatenate(c) for c in zip(*got, strict=True))
+                roots, told, key, own = (np.concatenate(c) for c in zip(*got, strict=True))
                 order = np.argsort(key, kind="stable")
                 key = key[order]
                 new = np.r_[True, key[1:] != key[:-1], True]
                 several = ~(new[:-1] & new[1:])
                 key, own = key[several], own[order][several]
                 if len(key):
-                    yield from small(bucketed(key, ids[own], told[own], limit))
+                    yield from small(tied(key, roots[own], told[own], limit))
 
-    cells = sets.select("id", "fps").mapInArrow(spread, "part int, m int, n int, cell binary")
-    found = cells.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(meet, "bucket bigint, id bigint, table int")
-    return found.groupBy("bucket", "id").agg(F.min("table").alias("table"))
+    cells = sets.select("root", "fps").mapInArrow(spread, "part int, m int, n int, cell binary")
+    return cells.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(meet, "a bigint, b bigint, table int")
 
 
-def bucketed(key: np.ndarray, ids: np.ndarray, told: np.ndarray, limit: int) -> pa.RecordBatch:
-    """(bucket, id, table) of rows sorted by key: what of a key hangs together by at most `limit` differing bits."""
+def tied(key: np.ndarray, roots: np.ndarray, told: np.ndarray, limit: int) -> pa.RecordBatch:
+    """(a, b, table) of rows sorted by key: a forest of the links between the roots of rows that share a key and differ in at
+    most `limit` bits; table: the first in which b is linked."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
+    several = np.minimum.reduceat(roots, start) != np.maximum.reduceat(roots, start)
     big = size > SMALL_GROUP
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at = np.flatnonzero(~big)
+    at = np.flatnonzero(several & ~big)
     for part in np.array_split(at, max(1, int((size[at] ** 2).sum()) // 2_000_000)):
         pairs = size[part] ** 2
         own = np.repeat(np.arange(len(part)), pairs)
         place = np.arange(len(own)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         x, y = start[part][own] + place // size[part][own], start[part][own] + place % size[part][own]
-        x, y = x[x < y], y[x < y]
+        use = (x < y) & (roots[x] != roots[y])
+        x, y = x[use], y[use]
         ok = np.bitwise_count(told[x] ^ told[y]).sum(axis=1) <= limit
         a.append(x[ok])
         b.append(y[ok])
-    for s, n in zip(start[big], size[big], strict=True):
+    for s, n in zip(start[several & big], size[several & big], strict=True):
         x, y = forest(told[s : s + n], limit)
         a.append(s + x)
         b.append(s + y)
     x, y = np.concatenate(a), np.concatenate(b)
-    label = np.arange(len(key))
-    while (label[x] != label[y]).any():
-        low = np.minimum(label[x], label[y])
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        label = label[label]
-    order = np.argsort(label, kind="stable")
-    order = order[(np.bincount(label, minlength=len(label))[label] > 1)[order]]
-    label, ids, table = label[order], ids[order], key[order] >> 26
-    first = np.flatnonzero(np.r_[True, label[1:] != label[:-1]]) if len(label) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[first, len(label)])
-    name = mix64(np.add.reduceat(mix64(ids.view(np.uint64)), first) ^ size.astype(np.uint64)) if len(label) else np.zeros(0, np.uint64)
-    once = np.zeros(len(first), bool)
-    once[np.unique(name, return_index=True)[1]] = True  # keys ascend, so this is the first table that has it
-    use = np.repeat(once, size)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[use].view(np.int64)), pa.array(ids[use]), pa.array(table[use].astype(np.int32))], ["bucket", "id", "table"])
+    new = roots[x] != roots[y]
+    x, y = x[new], y[new]
+    ids, least = least_labels(roots[x], roots[y])
+    table = np.full(len(ids), 1 << 30, np.int64)
+    for z in (x, y):
+        np.minimum.at(table, np.searchsorted(ids, roots[z]), key[z] >> 26)
+    use = ids != least
+    return pa.RecordBatch.from_arrays([pa.array(least[use]), pa.array(ids[use]), pa.array(table[use].astype(np.int32))], ["a", "b", "table"])
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -347,16 +362,31 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-#: Tables of the first round of similar_groups; in the second, buckets whose members the first has connected are left out,
-#: and of the others' links those between what it has connected.
-FIRST_TABLES = 3
+def apart(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Index arrays of those sets that may have a link of that similarity, such links being within one array each. Two such sets
+    share one at least of each one's size - ceil(similarity * size) + 1 rarest members, so others are never compared."""
+    size = np.array([len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    own, rank = np.repeat(np.arange(len(sets)), size), rank[code]
+    order = np.lexsort((rank, own))
+    place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    need = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    use = (place < need[own]) & (count[code[order]] > 1)
+    ids, label = least_labels(own[use], len(sets) + rank[order][use])
+    ids, label = ids[ids < len(sets)], label[ids < len(sets)]
+    by = np.argsort(label, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(label[by]) > 0]) if len(by) else by
+    return [x for x in np.split(ids[by], cut[1:]) if len(x) > 1]
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 13) -> DataFrame:
     """(doc_id, component_id) as in near_duplicates, for documents whose sets of word shingles have a Jaccard similarity
     of `similarity` or more, and what such pairs connect. Each set has a SimHash fingerprint for each table; those that
-    share a Golay key of a table (an A or a B row of links) meet there, and what of them is near enough by fingerprints is
-    a bucket. In every bucket the exact similarity decides which are linked, and a forest of those links is kept. Sets of
+    share a Golay key of a table (an A or a B row of links) meet there, and what hangs together by pairs that meet and are
+    near enough by fingerprints is one bucket, whatever tables and keys they met by. In every bucket the exact similarity
+    decides which are linked, all sets being compared that share enough for it, and a forest of those links is kept. Sets of
     similarity 0.8 share a key of a table in 46 of 100 cases, in one table at least in 9996 of 10,000; whatever differs in 3
     bits of a fingerprint always does. Only documents of equal sets are put together beforehand. A null doc_id takes part
     after all others."""
@@ -371,25 +401,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
                 cells.append(simhashes(h, tables).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(cells, pa.binary())], ["did", "th", "digest", "fps"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # buckets whose documents aren't connected yet
-        for g in whole_groups(batches, "bucket"):
-            bucket, root = g["bucket"], g["root"]
-            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            use = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), np.diff(np.r_[start, len(bucket)]))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[use]), pa.array(g["id"][use]), pa.array(root[use])], ["bucket", "id", "root"])
-
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(words(t), width)).tobytes() for t in texts(b)], pa.binary())], ["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(hashes(words(t), width)).tobytes() for t in texts(b)], pa.binary())], ["bucket", "id", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in whole_groups(batches, "bucket", 1 << 11):
             cut = np.flatnonzero(np.r_[True, g["bucket"][1:] != g["bucket"][:-1], True])
-            out = [[s + x for x in linked([np.frombuffer(x, np.uint64) for x in g["hashes"][s:e]], similarity)] for s, e in zip(cut, cut[1:], strict=False)]
+            out = [(cut[:0], cut[:0])]
+            for s, e in zip(cut, cut[1:], strict=False):
+                sets = [np.frombuffer(x, np.uint64) for x in g["hashes"][s:e]]
+                for at in apart(sets, similarity):
+                    out.append(tuple(s + at[x] for x in linked([sets[i] for i in at.tolist()], similarity)))
             x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-            new = g["root"][x] != g["root"][y]  # else they are connected already
-            yield pa.RecordBatch.from_arrays([pa.array(g["id"][x[new]]), pa.array(g["id"][y[new]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(g["id"][x]), pa.array(g["id"][y])], ["a", "b"])
 
     n = partitions(docs.sparkSession)
     ids, text = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.col("text").cast("string")
@@ -397,17 +422,11 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, tab
     one = stage(rows.mapInArrow(run, "did bigint, th bigint, digest binary, fps binary"))
     least_row = one.groupBy("digest").agg(F.min(F.struct("did", "th")).alias("row"), F.min("fps").alias("fps"))
     unique = stage(least_row.select("digest", F.col("row.did").alias("rep"), F.col("row.th").alias("th"), "fps", F.xxhash64("digest").alias("id")))
-    buckets = stage(sharing(unique.select("id", "fps"), similarity))
+    buckets = sharing(unique.select("id", "fps"), similarity).select("id", "bucket")
     # one row's text for each set: rows are told by id and text, so a text's copies don't meet
-    members = unique.select("id", F.col("rep").alias("did"), "th").join(buckets.select("id").distinct(), "id")
-    sets = stage(rows.select("did", "th", "text").join(members, ["did", "th"]).dropDuplicates(["id"]).select("id", "text").mapInArrow(shingled, "id bigint, hashes binary"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        return stage(some.join(sets, "id").select("bucket", "id", "root", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(compare, "a bigint, b bigint"))
-
-    edges = verified(buckets.filter(F.col("table") < FIRST_TABLES).withColumn("root", F.col("id")))
-    later = buckets.filter(F.col("table") >= FIRST_TABLES).join(components(edges), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    edges = edges.unionByName(verified(later.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(apart, "bucket bigint, id bigint, root bigint")))
+    members = unique.select("id", F.col("rep").alias("did"), "th").join(buckets, "id")
+    sets = rows.select("did", "th", "text").join(members, ["did", "th"]).dropDuplicates(["id"]).select("bucket", "id", "text").mapInArrow(shingled, "bucket bigint, id bigint, hashes binary")
+    edges = sets.repartition(n, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(compare, "a bigint, b bigint")
     rooted = unique.join(components(edges), "id", "left").select("digest", "rep", F.coalesce("root", "id").alias("root"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     out = one.select("did", "digest").join(rooted.join(named, "root").select("digest", "component_id"), "digest")

@@ -180,6 +180,33 @@ def test_similar_groups_meet_by_golay_keys(spark):
     assert sum({i % 1000 for i, _ in b} != {min(i for i, _ in b) % 1000} for b in found.values()) <= 2
 
 
+def test_a_set_is_in_one_bucket(spark):
+    """Near copies that meet by many keys are one bucket, in which each is once."""
+    texts, _, r = prose(19, 4, (300, 300))
+    rows = {1000 * n + i: altered(t, 1 + i % 3, r) if i else t for n, t in enumerate(texts) for i in range(80 if n < 2 else 1)}
+    sets = {i: np.unique(simhash.hashes(" ".join(t).encode().split(), 5)) for i, t in rows.items()}
+    cells = [(i, simhash.simhashes(h, 13).tobytes()) for i, h in sets.items()]
+    got = simhash.sharing(spark.createDataFrame(cells, "id bigint, fps binary").repartition(5), 0.8).collect()
+    assert sorted((x.bucket, x.id) for x in got) == [(1000 * n, 1000 * n + i) for n in (0, 1) for i in range(80)]
+    want = union([(i, j) for i in rows for j in rows if i <= j and jaccard(rows[i], rows[j]) >= 0.8])
+    assert grouped(spark, rows) == want
+
+
+def test_links_are_within_parts_of_a_bucket():
+    r = random.Random(20)
+    common = [r.getrandbits(63) for _ in range(60)]
+    sets = []
+    for _ in range(60):
+        base = common + [r.getrandbits(63) for _ in range(r.randint(1, 60))]
+        sets += [np.array(base, np.uint64)] + [np.unique(np.array(r.sample(base, max(1, int(len(base) * r.uniform(0.75, 1)))), np.uint64)) for _ in range(r.randint(0, 3))]
+    sets += [np.array(x, np.uint64) for x in ([7], [7], [7, 8, 9, 10], [7, 8, 9, 10, 11], [7, 8, 9, 12])]
+    pairs = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9]
+    part = {i: n for n, at in enumerate(simhash.apart(sets, 0.8)) for i in at.tolist()}
+    assert len(pairs) > 100 and all(part[i] == part[j] for i, j in pairs)
+    alone = [np.array(common[:40] + [r.getrandbits(63) for _ in range(40)], np.uint64) for _ in range(50)]
+    assert simhash.apart(alone, 0.8) == []
+
+
 def test_simhash_odd(spark):
     got = simhash.near_duplicates(documents(spark)).collect()
     assert len(got) == len(ODD) and {x.component_id for x in got if x.fp == 0} == {1}
