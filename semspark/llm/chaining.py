@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semspark.llm.common import documents, mix64, numbered, partitions, prepare, sliding_min, small, text_bytes, united, whole_groups
+from semspark.llm.common import Rolling, documents, mix64, numbered, partitions, prepare, sliding_min, small, text_bytes, united, whole_groups
 
 SEED, WINDOW = 4, 8
 LONG, LONG_WINDOW = 32, 16
@@ -42,6 +42,12 @@ RARE = 4
 MARGIN = 64
 #: Stretches that are by so much less similar along their chain are aligned once more, freely.
 CLOSE = 0.05
+#: Seeds up to so many words apart are ends of a stretch.
+REACH = MIN_WORDS
+#: Of a seed that repeats itself within its own words one place for each so many words is an end of stretches.
+STRIDE = 16
+#: Pairs of stretches that are made at once.
+PAIRS = 1 << 20
 BLOCK = 2 << 20
 #: Parts of the seeds in each partition, which are matched one after the other.
 PARTS = 4
@@ -311,13 +317,11 @@ def chains(x: np.ndarray, y: np.ndarray, worth: float, gap: float) -> list[np.nd
     return out
 
 
-def matches(x: Words, cells: list[bytes], sizes: list[int], seed: int, window: int, long: int, long_window: int) -> tuple[np.ndarray, ...]:
+def matches(x: Words, seeds: tuple[np.ndarray, ...], got: list[np.ndarray], seed: int) -> tuple[np.ndarray, ...]:
     """(document's index, other did, word, other word) of a block's seeds with their partners, sorted, without repeats. Of a
     pair whose seeds are all rare only the later document's block returns matches."""
-    key, own, word, width = x.seeds(seed, window, long, long_window)
-    got = [columns(c, n, np.uint64, np.int64, np.uint32, np.uint8) for c, n in zip(cells, sizes, strict=True)]
-    pk = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-    pd, pw, rare = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3))
+    key, own, word, width = seeds
+    pk, pd, pw, rare = got
     low, high = np.searchsorted(key, pk), np.searchsorted(key, pk, side="right")
     who = np.repeat(np.arange(len(pk)), high - low)
     at = np.arange(len(who)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[who]
@@ -344,9 +348,55 @@ def matches(x: Words, cells: list[bytes], sizes: list[int], seed: int, window: i
     return doc[use], other[use], a[use], b[use]
 
 
+def stretches(x: Words, seeds: tuple[np.ndarray, ...], got: list[np.ndarray], seed: int) -> tuple[np.ndarray, ...]:
+    """(key, hash of the words, did, word, words from seed to seed) of a block's stretches: from one short seed that others
+    have to another one up to REACH words on, at least one of both being frequent. The upper half of a key is its first seed's.
+    Sorted by key and hash; of those that are alike the first."""
+    key, own, word, width = seeds
+    pk, rare = got[0], got[3].astype(bool)
+    met = np.searchsorted(pk, key)
+    met = np.minimum(met, len(pk) - 1)
+    use = np.flatnonzero((width == seed) & (pk[met] == key))
+    use = use[np.lexsort((word[use], own[use]))]
+    key, own, word, many = key[use], own[use], word[use], ~rare[met[use]]
+    # a seed that overlaps or touches itself repeats a few words: its first and last place are kept, and some between
+    again = np.r_[False, (key[1:] == key[:-1]) & (own[1:] == own[:-1]) & (word[1:] - word[:-1] <= seed)]
+    begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))
+    step = (word - word[begin]) // STRIDE
+    inner = again & np.r_[again[1:], False] & np.r_[False, step[1:] == step[:-1]]
+    key, own, word, many = (v[~inner] for v in (key, own, word, many))
+    first, last = [], []
+    for s in range(1, min(REACH, len(key) - 1) + 1):
+        i = np.flatnonzero((own[s:] == own[:-s]) & (word[s:] - word[:-s] <= REACH))
+        if not len(i):
+            break
+        i = i[many[i] | many[i + s]]
+        first.append(i)
+        last.append(i + s)
+    none = np.zeros(0, np.int64)
+    i, j = (np.concatenate(v) if v else none for v in (first, last))
+    roll = Rolling()
+    roll.powers(len(x.hash) + 1)
+    sums = np.zeros(len(x.hash) + 1, np.uint64)
+    np.cumsum(x.hash * roll.up[: len(x.hash)], out=sums[1:], dtype=np.uint64)
+    at = x.first[own] + word
+    text = roll.of(sums, at[i], at[j] + seed)
+    half = np.uint64(32)
+    pair = mix64(key)[i] >> half << half | mix64(key ^ np.uint64(BASE))[j] >> half
+    did, word, gap = x.did[own[i]], word[i], (word[j] - word[i]).astype(np.uint8)
+    order = np.lexsort((word, did, text, pair))
+    order = order[np.r_[True, (pair[order][1:] != pair[order][:-1]) | (text[order][1:] != text[order][:-1])]] if len(order) else order
+    return tuple(v[order] for v in (pair, text, did, word.astype(np.uint32), gap))
+
+
+STRETCH_KINDS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+PAIR_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8)
+MATCH_KINDS = (np.int64, np.int64, np.uint32, np.uint32)
+
+
 FOUND = "block int, kind tinyint, did bigint, other bigint, low bigint, high bigint, cell binary"
-#: Kinds of rows: a chain, and a request for words of another document.
-CHAIN, ASK = 0, 1
+#: Kinds of rows: a chain, a request for words of another document, matches, stretches, and matches at both ends of pairs of them.
+CHAIN, ASK, MATCH, STRETCH, PAIR = range(5)
 
 
 def found_rows(block, kind, did, other, low, high, cells) -> pa.Table:
@@ -355,9 +405,10 @@ def found_rows(block, kind, did, other, low, high, cells) -> pa.Table:
     return pa.table([wide(block, np.int32), wide(kind, np.int8), *(wide(v, np.int64) for v in (did, other, low, high)), pa.array(cells, pa.binary()) if cells is not None else pa.nulls(n, pa.binary())], ["block", "kind", "did", "other", "low", "high", "cell"])
 
 
-def chained(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: int, long_window: int, gap: float) -> DataFrame:
-    """Chains of at least LEAST_CHAIN words: rows (block, CHAIN, did, other, matches), and, for each document that a block's
-    chains lead to, what words of it the block needs: (block, ASK, other, low, high)."""
+def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: int, long_window: int) -> DataFrame:
+    """Of each block the matches of its seeds with their partners, (block, MATCH, low: how many, cell), and its stretches, dealt
+    by their first seeds: (block, STRETCH, other: the part, low: how many, cell)."""
+    parts = PARTS * partitions(texts.sparkSession)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
@@ -366,23 +417,121 @@ def chained(texts: DataFrame, replies: DataFrame, seed: int, window: int, long:
         block = left.column("block")[0].as_py()
         x = Words(left)
         x.hashes()
-        doc, other, a, b = matches(x, right.column("cell").to_pylist(), right.column("n").to_pylist(), seed, window, long, long_window)
-        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]), True]) if len(doc) else none
+        seeds = x.seeds(seed, window, long, long_window)
+        got = [columns(c, n, np.uint64, np.int64, np.uint32, np.uint8) for c, n in zip(right.column("cell").to_pylist(), right.column("n").to_pylist(), strict=True)]
+        got = [np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), *(np.concatenate([g[k] for g in got]) for k in (1, 2, 3))]
+        order = np.argsort(got[0], kind="stable")
+        got = [v[order] for v in got]
+        doc, other, a, b = matches(x, seeds, got, seed)
+        zero = np.zeros(1, np.int64)
+        found = found_rows(block, MATCH, zero, zero, zero + len(doc), zero, [planes(x.did[doc], other, a.astype(np.uint32), b.astype(np.uint32))])
+        pair, text, did, word, gap = stretches(x, seeds, got, seed)
+        part = ((pair >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        has = np.flatnonzero(np.diff(cut))
+        cells = []
+        for p in has.tolist():
+            i = order[cut[p] : cut[p + 1]]
+            cells.append(planes(keyed(pair[i]), text[i], did[i], word[i], gap[i]))
+        return pa.concat_tables([found, found_rows(block, STRETCH, 0 * has, has, np.diff(cut)[has], 0 * has, cells)])
+
+    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, FOUND)
+
+
+def paired(found: DataFrame) -> DataFrame:
+    """Matches as they are, and for each two stretches that begin with the same seed and end with the same seed, but have
+    different words between, the matches of both ends: (block of the later, PAIR, low: how many, cell). Of stretches that are
+    alike word for word the first stands for all; all pairs of different ones are made, however many there are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        out = [table.filter(pa.array(kind == MATCH)).drop_columns(["dest"])]
+        table = table.filter(pa.array(kind == STRETCH))
+        if not table.num_rows:
+            return out[0]
+        size = table.column("low").to_numpy()
+        got = [columns(c, n, *STRETCH_KINDS) for c, n in zip(table.column("cell").to_pylist(), size.tolist(), strict=True)]
+        pair = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+        text, did, word, gap = (np.concatenate([g[k] for g in got]) for k in range(1, 5))
+        block = np.repeat(table.column("block").to_numpy(), size)
+        order = np.lexsort((word, did, text, pair))
+        order = order[np.r_[True, (pair[order][1:] != pair[order][:-1]) | (text[order][1:] != text[order][:-1])]]
+        order = order[np.lexsort((word[order], did[order], pair[order]))]
+        pair, did, word, gap, block = (v[order] for v in (pair, did, word, gap, block))
+        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        before = np.arange(len(pair)) - np.repeat(start, np.diff(np.r_[start, len(pair)]))  # how many are earlier
+        upto = np.cumsum(before)
+        s = 0
+        while s < len(pair):
+            e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PAIRS, side="right")))
+            n = before[s:e]
+            p = np.repeat(np.arange(s, e), n)
+            q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + (p - before[p])
+            s = e
+            if not len(p):
+                continue
+            # a place that begins several pairs of stretches with another place is sent with the farthest end
+            order = np.lexsort((gap[q], gap[p], word[q], word[p], did[q], did[p], block[p]))
+            p, q = p[order], q[order]
+            last = np.r_[(did[p][1:] != did[p][:-1]) | (did[q][1:] != did[q][:-1]) | (word[p][1:] != word[p][:-1]) | (word[q][1:] != word[q][:-1]), True]
+            p, q = p[last], q[last]
+            to = block[p]
+            edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+            cells = [planes(did[p[a:z]], did[q[a:z]], word[p[a:z]], word[q[a:z]], gap[p[a:z]], gap[q[a:z]]) for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+            zero = np.zeros(len(cells), np.int64)
+            out.append(found_rows(to[edge[:-1]], PAIR, zero, zero, np.diff(edge), zero, cells))
+        return pa.concat_tables(out)
+
+    return found.groupBy("dest").applyInArrow(run, FOUND)
+
+
+def chained(found: DataFrame, seed: int, gap: float) -> DataFrame:
+    """Chains of at least LEAST_CHAIN words: rows (block, CHAIN, did, other, matches), and, for each document that a block's
+    chains lead to, what words of it the block needs: (block, ASK, other, low, high)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        block = table.column("block")[0].as_py()
+        got = []
+        for kind, n, cell in zip(*(table.column(c).to_pylist() for c in ("kind", "low", "cell")), strict=True):
+            if kind == MATCH:
+                got.append((*columns(cell, n, *MATCH_KINDS), np.zeros(n, bool)))
+            else:
+                did, other, a, b, more, more2 = columns(cell, n, *PAIR_KINDS)
+                got += [(did, other, a, b, np.ones(n, bool)), (did, other, a + more, b + more2, np.ones(n, bool))]
+        did, other, a, b = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(4))
+        added = np.concatenate([g[4] for g in got])
+        order = np.lexsort((added, b, a, other, did))
+        did, other, a, b, added = (v[order] for v in (did, other, a, b, added))
+        new = np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1])] if len(did) else np.zeros(0, bool)
+        keep = new | np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(did) else new
+        did, other, a, b, new, added = (v[keep] for v in (did, other, a, b, new, added))
+        cut = np.r_[np.flatnonzero(new), len(did)]
         out, cells = [], []
         for s, e in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-            for c in chains(a[s:e], b[s:e], float(seed), gap):
-                xs, ys = a[s + c], b[s + c]
-                if min(xs[-1] - xs[0], ys[-1] - ys[0]) + seed >= LEAST_CHAIN:
-                    out.append((x.did[doc[s]], other[s], ys[0], ys[-1] + seed))
-                    cells.append(planes(np.diff(xs, prepend=0).astype(np.uint32), np.diff(ys, prepend=0).astype(np.uint32)))
+            tries = [np.arange(s, e)]
+            if 1 < e - s - np.count_nonzero(added[s:e]) < e - s:  # a longer chain may be split elsewhere: the partners' matches make their own, too
+                tries.append(s + np.flatnonzero(~added[s:e]))
+            seen = set()
+            for i in tries:
+                for c in chains(a[i], b[i], float(seed), gap):
+                    xs, ys = a[i[c]], b[i[c]]
+                    if min(xs[-1] - xs[0], ys[-1] - ys[0]) + seed < LEAST_CHAIN:
+                        continue
+                    cell = planes(np.diff(xs, prepend=0).astype(np.uint32), np.diff(ys, prepend=0).astype(np.uint32))
+                    if cell not in seen:
+                        seen.add(cell)
+                        out.append((did[s], other[s], ys[0], ys[-1] + seed))
+                        cells.append(cell)
         if not out:
             return found_rows(0, 0, none, none, none, none, None)
-        did, to, low, high = np.array(out, np.int64).T
-        chains_ = found_rows(block, CHAIN, did, to, low, high, cells)
+        one, to, low, high = np.array(out, np.int64).T
+        chains_ = found_rows(block, CHAIN, one, to, low, high, cells)
         w, lo, hi = united(to, np.maximum(0, low - MARGIN), high + MARGIN)
         return pa.concat_tables([chains_, found_rows(block, ASK, w, w, lo, hi, None)])
 
-    return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, FOUND)
+    return found.groupBy("block").applyInArrow(run, FOUND)
 
 
 def served(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -524,8 +673,11 @@ def aligned(texts: DataFrame, rows: DataFrame, seed: int, min_words: int, simila
             at = np.searchsorted(np.searchsorted(code, ref) * lift + first, np.searchsorted(code, other) * lift + low, side="right") - 1
             mine = np.searchsorted(x.did, ours)
             cells = chains_.column("cell").to_pylist()
-            for n in np.lexsort((low, ours, other)).tolist():
+            whole = -1  # the document that lies as a whole in one passage: later references give it nothing more
+            for n in np.lexsort((low, other, ours)).tolist():
                 k, i, cell = int(at[n]), int(mine[n]), cells[n]
+                if i == whole and ours[n] > other[n]:
+                    continue
                 s, e, w = int(x.first[i]), int(x.first[i + 1]), int(cut[k])
                 a, b = (np.cumsum(c, dtype=np.int64) for c in columns(cell, len(cell) // 8, np.uint32, np.uint32))
                 here, there = int(x.bounds[i]), int(place[k]) - int(edge[k])
@@ -533,6 +685,8 @@ def aligned(texts: DataFrame, rows: DataFrame, seed: int, min_words: int, simila
                     one = (int(ours[n]), int(x.begin[s + i1]) - here, int(x.end[s + i2 - 1]) - here)
                     two = (int(other[n]), int(begin[w + j1]) + there, int(end[w + j2 - 1]) + there)
                     out.append((*one, *two, size, near) if one[:2] > two[:2] else (*two, *one, size, near))
+                    if i1 == 0 and i2 == e - s and ours[n] > other[n]:
+                        whole = i
         cols = list(zip(*out, strict=True)) or [()] * 8
         names = ["did", "start", "stop", "ref", "ref_start", "ref_stop", "n_words", "similarity"]
         return outer(pa.table([pa.array(c, pa.float64() if k == 7 else pa.int64()) for k, c in enumerate(cols)], names))
@@ -584,7 +738,9 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     # One plan: the texts are shuffled once, by block, and that exchange serves all four steps that read them.
     texts = one.select(block_of("did").alias("block"), "did", "text").repartition(n, "block")
     replies = partners(sown(texts, seed, window, long, long_window, RARE), RARE).repartition(n, "block")
-    found = chained(texts, replies, seed, window, long, long_window, gap)
+    found = linked(texts, replies, seed, window, long, long_window)
+    found = found.withColumn("dest", F.when(F.col("kind") == STRETCH, F.col("other").cast("int")).otherwise(F.col("block"))).repartition(n, "dest")
+    found = chained(paired(found).repartition(n, "block"), seed, gap)
     found = found.withColumn("dest", F.when(F.col("kind") == ASK, block_of("other")).otherwise(F.col("block"))).repartition(n, "dest")
     rows = served(texts, found).repartition(n, "block")
     out = outermost(aligned(texts, rows, seed, min_words, similarity))

@@ -6,6 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -458,6 +459,58 @@ def test_recall_of_changed_passages(spark):
         assert recall >= least and len(pairs) <= 205
 
 
+@pytest.mark.parametrize(("others", "change"), [(30, "replaced"), (30, "left out"), (30, "added"), (120, "replaced")])
+def test_changed_passages_whose_seeds_are_all_frequent(spark, others, change):
+    """A passage of 60 words and the same with 5 words changed are a pair, however many documents hold its stretches."""
+    texts, voc, r = prose(53, 5 * others + 100, (20, 50), 4000)
+    docs, at = dict(enumerate(texts)), r.sample(range(len(texts)), len(texts))
+    want = set()
+    for n in range(4):
+        p = [r.choice(voc) for _ in range(60)]
+        for k in range(5):
+            for i in at[k * others : (k + 1) * others]:
+                docs[i] = docs[i] + p[12 * k : 12 * k + 12] + [r.choice(voc) for _ in range(30)]
+        q = []
+        for i, w in enumerate(p):
+            new = i % 12 == 11
+            q += [] if new and change == "left out" else [r.choice(voc)] if new and change == "replaced" else [w]
+            q += [r.choice(voc)] if new and change == "added" else []
+        one, two = len(texts) + 2 * n, len(texts) + 2 * n + 1
+        docs[one], docs[two] = ([r.choice(voc) for _ in range(20)] + x + [r.choice(voc) for _ in range(20)] for x in (p, q))
+        want.add((one, two))
+    got = chaining.fuzzy_passages(documents(spark, [(i, " ".join(t), None, None, None) for i, t in docs.items()])).collect()
+    assert {(g.ref_doc_id, g.doc_id) for g in got if g.n_words >= 55} == want
+
+
+def test_stretches_of_a_block(spark):
+    """Brute force: stretches between short seeds that others have, one of both frequent; the first of those that are alike."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abc") if i % 3 else "a" for _ in range(r.randint(1, 60))) for i in range(40)]
+    x = chaining.Words(pa.table({"did": pa.array(range(40), pa.int64()), "text": pa.array(texts, pa.large_string())}))
+    x.hashes()
+    seeds = x.seeds(4, 8, 32, 16)
+    shared = {k: r.random() < 0.5 for k in np.unique(seeds[0]).tolist() if r.random() < 0.7}  # whether it is rare
+    pk = np.array(sorted(shared), np.uint64)
+    none = np.zeros(len(pk), np.int64)
+    pair, text, did, word, gap = chaining.stretches(x, seeds, [pk, none, none, np.array([shared[k] for k in pk.tolist()], np.uint8)], 4)
+    got = {(d, w, w + g) for d, w, g in zip(did.tolist(), word.tolist(), gap.tolist(), strict=True)}
+    places = sorted((o, w, k) for k, o, w, n in zip(*(v.tolist() for v in seeds), strict=True) if n == 4 and k in shared)
+    least, allowed = {}, set()
+    for d, w, k in places:
+        for d2, w2, k2 in places:
+            if d == d2 and 0 < w2 - w <= chaining.REACH and not (shared[k] and shared[k2]):
+                least.setdefault((k, k2, tuple(texts[d].split()[w : w2 + 4])), (d, w, w2))
+                allowed.add((d, w, w2))
+    assert got <= allowed and len(got) > 100
+    assert len(pair) == len(set(zip(pair.tolist(), text.tolist(), strict=True)))
+    assert {v for v in least.values() if no_run(texts[v[0]].split(), v)} <= got
+
+
+def no_run(t, v):
+    """Whether no seed at the ends of a stretch repeats itself within its own words, so none is left out."""
+    return all(t[w + s : w + s + 4] != t[w : w + 4] for w in v[1:] for s in (-4, -3, -2, -1, 1, 2, 3, 4) if w + s >= 0)
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     texts, voc, r = prose(41, 12, (50, 60), 4000)
     p = [r.choice(voc) for _ in range(60)]
