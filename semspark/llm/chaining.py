@@ -391,12 +391,12 @@ def stretches(x: Words, seeds: tuple[np.ndarray, ...], got: list[np.ndarray], se
 
 STRETCH_KINDS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
 PAIR_KINDS = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8)
-MATCH_KINDS = (np.int64, np.int64, np.uint32, np.uint32)
+DONE_KINDS = (*[np.int64] * 7, np.float64)
 
 
 FOUND = "block int, kind tinyint, did bigint, other bigint, low bigint, high bigint, cell binary"
-#: Kinds of rows: a chain, a request for words of another document, matches, stretches, and matches at both ends of pairs of them.
-CHAIN, ASK, MATCH, STRETCH, PAIR = range(5)
+#: Kinds of rows: a chain, a request for words of another document, stretches, matches at both ends of pairs of them, passages.
+CHAIN, ASK, STRETCH, PAIR, DONE = range(5)
 
 
 def found_rows(block, kind, did, other, low, high, cells) -> pa.Table:
@@ -405,9 +405,30 @@ def found_rows(block, kind, did, other, low, high, cells) -> pa.Table:
     return pa.table([wide(block, np.int32), wide(kind, np.int8), *(wide(v, np.int64) for v in (did, other, low, high)), pa.array(cells, pa.binary()) if cells is not None else pa.nulls(n, pa.binary())], ["block", "kind", "did", "other", "low", "high", "cell"])
 
 
-def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: int, long_window: int) -> DataFrame:
-    """Of each block the matches of its seeds with their partners, (block, MATCH, low: how many, cell), and its stretches, dealt
-    by their first seeds: (block, STRETCH, other: the part, low: how many, cell)."""
+def chain_rows(block: int, did: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int, gap: float, known: set = frozenset()) -> pa.Table:
+    """Chains of at least LEAST_CHAIN words along matches that are sorted: rows (block, CHAIN, did, other, matches), and, for
+    each document that a block's chains lead to, what words of it the block needs: (block, ASK, other, low, high)."""
+    none = np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1]), True]) if len(did) else none
+    out, cells = [], []
+    for s, e in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        for c in chains(a[s:e], b[s:e], float(seed), gap):
+            xs, ys = a[s + c], b[s + c]
+            if min(xs[-1] - xs[0], ys[-1] - ys[0]) + seed >= LEAST_CHAIN:
+                cell = planes(np.diff(xs, prepend=0).astype(np.uint32), np.diff(ys, prepend=0).astype(np.uint32))
+                if (int(did[s]), int(other[s]), cell) not in known:
+                    out.append((did[s], other[s], ys[0], ys[-1] + seed))
+                    cells.append(cell)
+    if not out:
+        return found_rows(0, 0, none, none, none, none, None)
+    one, to, low, high = np.array(out, np.int64).T
+    w, lo, hi = united(to, np.maximum(0, low - MARGIN), high + MARGIN)
+    return pa.concat_tables([found_rows(block, CHAIN, one, to, low, high, cells), found_rows(block, ASK, w, w, lo, hi, None)])
+
+
+def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: int, long_window: int, gap: float) -> DataFrame:
+    """Of each block the chains along the matches of its seeds with their partners, and its stretches, dealt by their first
+    seeds: (block, STRETCH, other: the part, low: how many, cell)."""
     parts = PARTS * partitions(texts.sparkSession)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -423,9 +444,8 @@ def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: i
         order = np.argsort(got[0], kind="stable")
         got = [v[order] for v in got]
         doc, other, a, b = matches(x, seeds, got, seed)
-        zero = np.zeros(1, np.int64)
-        found = found_rows(block, MATCH, zero, zero, zero + len(doc), zero, [planes(x.did[doc], other, a.astype(np.uint32), b.astype(np.uint32))])
-        pair, text, did, word, gap = stretches(x, seeds, got, seed)
+        found = chain_rows(block, x.did[doc], other, a, b, seed, gap)
+        pair, text, did, word, size = stretches(x, seeds, got, seed)
         part = ((pair >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -433,133 +453,100 @@ def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: i
         cells = []
         for p in has.tolist():
             i = order[cut[p] : cut[p + 1]]
-            cells.append(planes(keyed(pair[i]), text[i], did[i], word[i], gap[i]))
+            cells.append(planes(keyed(pair[i]), text[i], did[i], word[i], size[i]))
         return pa.concat_tables([found, found_rows(block, STRETCH, 0 * has, has, np.diff(cut)[has], 0 * has, cells)])
 
     return texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, FOUND)
 
 
-def paired(found: DataFrame) -> DataFrame:
-    """Matches as they are, and for each two stretches that begin with the same seed and end with the same seed, but have
-    different words between, the matches of both ends: (block of the later, PAIR, low: how many, cell). Of stretches that are
-    alike word for word the first stands for all; all pairs of different ones are made, however many there are."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        out = [table.filter(pa.array(kind == MATCH)).drop_columns(["dest"])]
-        table = table.filter(pa.array(kind == STRETCH))
-        if not table.num_rows:
-            return out[0]
-        size = table.column("low").to_numpy()
-        got = [columns(c, n, *STRETCH_KINDS) for c, n in zip(table.column("cell").to_pylist(), size.tolist(), strict=True)]
-        pair = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-        text, did, word, gap = (np.concatenate([g[k] for g in got]) for k in range(1, 5))
-        block = np.repeat(table.column("block").to_numpy(), size)
-        order = np.lexsort((word, did, text, pair))
-        order = order[np.r_[True, (pair[order][1:] != pair[order][:-1]) | (text[order][1:] != text[order][:-1])]]
-        order = order[np.lexsort((word[order], did[order], pair[order]))]
-        pair, did, word, gap, block = (v[order] for v in (pair, did, word, gap, block))
-        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        before = np.arange(len(pair)) - np.repeat(start, np.diff(np.r_[start, len(pair)]))  # how many are earlier
-        upto = np.cumsum(before)
-        s = 0
-        while s < len(pair):
-            e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PAIRS, side="right")))
-            n = before[s:e]
-            p = np.repeat(np.arange(s, e), n)
-            q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + (p - before[p])
-            s = e
-            if not len(p):
-                continue
-            # a place that begins several pairs of stretches with another place is sent with the farthest end
-            order = np.lexsort((gap[q], gap[p], word[q], word[p], did[q], did[p], block[p]))
-            p, q = p[order], q[order]
-            last = np.r_[(did[p][1:] != did[p][:-1]) | (did[q][1:] != did[q][:-1]) | (word[p][1:] != word[p][:-1]) | (word[q][1:] != word[q][:-1]), True]
-            p, q = p[last], q[last]
-            to = block[p]
-            edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-            cells = [planes(did[p[a:z]], did[q[a:z]], word[p[a:z]], word[q[a:z]], gap[p[a:z]], gap[q[a:z]]) for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
-            zero = np.zeros(len(cells), np.int64)
-            out.append(found_rows(to[edge[:-1]], PAIR, zero, zero, np.diff(edge), zero, cells))
-        return pa.concat_tables(out)
-
-    return found.groupBy("dest").applyInArrow(run, FOUND)
-
-
-def chained(found: DataFrame, seed: int, gap: float) -> DataFrame:
-    """Chains of at least LEAST_CHAIN words: rows (block, CHAIN, did, other, matches), and, for each document that a block's
-    chains lead to, what words of it the block needs: (block, ASK, other, low, high)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        block = table.column("block")[0].as_py()
-        got = []
-        for kind, n, cell in zip(*(table.column(c).to_pylist() for c in ("kind", "low", "cell")), strict=True):
-            if kind == MATCH:
-                got.append((*columns(cell, n, *MATCH_KINDS), np.zeros(n, bool)))
-            else:
-                did, other, a, b, more, more2 = columns(cell, n, *PAIR_KINDS)
-                got += [(did, other, a, b, np.ones(n, bool)), (did, other, a + more, b + more2, np.ones(n, bool))]
-        did, other, a, b = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(4))
-        added = np.concatenate([g[4] for g in got])
-        order = np.lexsort((added, b, a, other, did))
-        did, other, a, b, added = (v[order] for v in (did, other, a, b, added))
-        new = np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1])] if len(did) else np.zeros(0, bool)
-        keep = new | np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(did) else new
-        did, other, a, b, new, added = (v[keep] for v in (did, other, a, b, new, added))
-        cut = np.r_[np.flatnonzero(new), len(did)]
-        out, cells = [], []
-        for s, e in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-            tries = [np.arange(s, e)]
-            if 1 < e - s - np.count_nonzero(added[s:e]) < e - s:  # a longer chain may be split elsewhere: the partners' matches make their own, too
-                tries.append(s + np.flatnonzero(~added[s:e]))
-            seen = set()
-            for i in tries:
-                for c in chains(a[i], b[i], float(seed), gap):
-                    xs, ys = a[i[c]], b[i[c]]
-                    if min(xs[-1] - xs[0], ys[-1] - ys[0]) + seed < LEAST_CHAIN:
-                        continue
-                    cell = planes(np.diff(xs, prepend=0).astype(np.uint32), np.diff(ys, prepend=0).astype(np.uint32))
-                    if cell not in seen:
-                        seen.add(cell)
-                        out.append((did[s], other[s], ys[0], ys[-1] + seed))
-                        cells.append(cell)
-        if not out:
-            return found_rows(0, 0, none, none, none, none, None)
-        one, to, low, high = np.array(out, np.int64).T
-        chains_ = found_rows(block, CHAIN, one, to, low, high, cells)
-        w, lo, hi = united(to, np.maximum(0, low - MARGIN), high + MARGIN)
-        return pa.concat_tables([chains_, found_rows(block, ASK, w, w, lo, hi, None)])
-
-    return found.groupBy("block").applyInArrow(run, FOUND)
+def paired(table: pa.Table) -> list[pa.Table]:
+    """For each two stretches that begin with the same seed and end with the same seed, but have different words between, the
+    matches of both ends: (block of the later, PAIR, low: how many, cell). Of stretches that are alike word for word the first
+    stands for all; all pairs of different ones are made, however many there are."""
+    size = table.column("low").to_numpy()
+    got = [columns(c, n, *STRETCH_KINDS) for c, n in zip(table.column("cell").to_pylist(), size.tolist(), strict=True)]
+    pair = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+    text, did, word, gap = (np.concatenate([g[k] for g in got]) for k in range(1, 5))
+    block = np.repeat(table.column("block").to_numpy(), size)
+    order = np.lexsort((word, did, text, pair))
+    order = order[np.r_[True, (pair[order][1:] != pair[order][:-1]) | (text[order][1:] != text[order][:-1])]]
+    order = order[np.lexsort((word[order], did[order], pair[order]))]
+    pair, did, word, gap, block = (v[order] for v in (pair, did, word, gap, block))
+    start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    before = np.arange(len(pair)) - np.repeat(start, np.diff(np.r_[start, len(pair)]))  # how many are earlier
+    upto = np.cumsum(before)
+    out, s = [], 0
+    while s < len(pair):
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + PAIRS, side="right")))
+        n = before[s:e]
+        p = np.repeat(np.arange(s, e), n)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + (p - before[p])
+        s = e
+        if not len(p):
+            continue
+        # a place that begins several pairs of stretches with another place is sent with the farthest end
+        order = np.lexsort((gap[q], gap[p], word[q], word[p], did[q], did[p], block[p]))
+        p, q = p[order], q[order]
+        last = np.r_[(did[p][1:] != did[p][:-1]) | (did[q][1:] != did[q][:-1]) | (word[p][1:] != word[p][:-1]) | (word[q][1:] != word[q][:-1]), True]
+        p, q = p[last], q[last]
+        to = block[p]
+        edge = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+        cells = [planes(did[p[a:z]], did[q[a:z]], word[p[a:z]], word[q[a:z]], gap[p[a:z]], gap[q[a:z]]) for a, z in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
+        zero = np.zeros(len(cells), np.int64)
+        out.append(found_rows(to[edge[:-1]], PAIR, zero, zero, np.diff(edge), zero, cells))
+    return out
 
 
 def served(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Chains as they are, and each request (at dest, the block that has the document) with its answer: (block: the one that
-    asked, ASK, other, low: number of the first word, high: its place in bytes, cell: the bytes)."""
+    """Chains and passages as they are, the pairs of stretches, and each request (at dest, the block that has the document) with
+    its answer: (block: the one that asked, ASK, other, low: number of the first word, high: its place in bytes, cell: the
+    bytes)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = np.zeros(0, np.int64)
-        if not left.num_rows or not right.num_rows:
-            return found_rows(0, 0, none, none, none, none, None)
+        right = right.drop_columns(["dest"])
         kind = right.column("kind").to_numpy()
-        chains_ = right.filter(pa.array(kind == CHAIN)).drop_columns(["dest"])
+        out = [right.filter(pa.array((kind == CHAIN) | (kind == DONE)))]
+        if (kind == STRETCH).any():
+            out += paired(right.filter(pa.array(kind == STRETCH)))
         right = right.filter(pa.array(kind == ASK))
-        if not right.num_rows:
-            return chains_
-        x = Words(left)
-        x.places()
-        ref, low, high = (right.column(c).to_numpy() for c in ("other", "low", "high"))
-        i = np.searchsorted(x.did, ref)
-        first, last = x.first[i], x.first[i + 1]
-        low = np.minimum(low, last - first - 1)
-        a, z = x.begin[first + low], x.end[np.minimum(first + high, last) - 1]
-        cells = [x.data[s:e].tobytes() for s, e in zip(a.tolist(), z.tolist(), strict=True)]
-        return pa.concat_tables([chains_, found_rows(right.column("block").to_numpy(), ASK, ref, ref, low, a - x.bounds[i], cells)])
+        if right.num_rows:
+            x = Words(left)
+            x.places()
+            ref, low, high = (right.column(c).to_numpy() for c in ("other", "low", "high"))
+            i = np.searchsorted(x.did, ref)
+            first, last = x.first[i], x.first[i + 1]
+            low = np.minimum(low, last - first - 1)
+            a, z = x.begin[first + low], x.end[np.minimum(first + high, last) - 1]
+            cells = [x.data[s:e].tobytes() for s, e in zip(a.tolist(), z.tolist(), strict=True)]
+            out.append(found_rows(right.column("block").to_numpy(), ASK, ref, ref, low, a - x.bounds[i], cells))
+        return pa.concat_tables(out)
 
     return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(run, FOUND)
 
 
+def bridged(block: int, chains_: pa.Table, pairs: pa.Table, whole: np.ndarray, seed: int, gap: float) -> pa.Table:
+    """Chains along the ends of pairs of stretches, and along these together with the chains that the same two documents have
+    already. A document that lies as a whole in one passage needs none."""
+    got = [columns(c, n, *PAIR_KINDS) for c, n in zip(pairs.column("cell").to_pylist(), pairs.column("low").to_pylist(), strict=True)]
+    did, other, a, b, more, more2 = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(6))
+    use = ~np.isin(did, whole)
+    did, other, a, b, more, more2 = (v[use] for v in (did, other, a, b, more, more2))
+    meets = set(zip(did.tolist(), other.tolist(), strict=True))
+    known, held = set(), [(did, other, a, b), (did, other, a + more, b + more2)]
+    for one, to, cell in zip(*(chains_.column(c).to_pylist() for c in ("did", "other", "cell")), strict=True):
+        if (one, to) in meets:
+            known.add((one, to, cell))
+            xs, ys = (np.cumsum(c, dtype=np.int64) for c in columns(cell, len(cell) // 8, np.uint32, np.uint32))
+            held.append((np.full(len(xs), one), np.full(len(xs), to), xs, ys))
+    did, other, a, b = (np.concatenate([h[k] for h in held]) for k in range(4))
+    order = np.lexsort((b, a, other, did))
+    did, other, a, b = (v[order] for v in (did, other, a, b))
+    if len(did):
+        first = np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        did, other, a, b = (v[first] for v in (did, other, a, b))
+    return chain_rows(block, did, other, a, b, seed, gap, known)
+
+
 def distance(a: list[int], b: list[int]) -> int:
     """Edit distance of word sequences, by bit-parallel columns (the whole of b in one integer)."""
     while a and b and a[-1] == b[-1]:
@@ -647,51 +634,70 @@ def passages(ha: np.ndarray, hb: np.ndarray, x: np.ndarray, y: np.ndarray, seed:
 PASSAGES = "did bigint, start bigint, stop bigint, ref bigint, ref_start bigint, ref_stop bigint, n_words bigint, similarity double"
 
 
-def aligned(texts: DataFrame, rows: DataFrame, seed: int, min_words: int, similarity: float) -> DataFrame:
-    """Passages along the chains of each block, given the other documents' words."""
+def passages_of(left: pa.Table, chains_: pa.Table, slices: pa.Table, seed: int, min_words: int, similarity: float) -> tuple[list[tuple], list[int]]:
+    """Passages along the chains of a block, given the other documents' words; and which documents lie as a whole in one."""
+    out: list[tuple] = []
+    covered: list[int] = []
+    ours = chains_.column("did").to_numpy()
+    x = Words(left.filter(pa.array(np.isin(left.column("did").to_numpy(), ours))))
+    x.hashes()
+    # the other documents' slices, end to end, in the order of document and place
+    ref, first, place = (slices.column(c).to_numpy() for c in ("other", "low", "high"))
+    order = np.lexsort((first, ref))
+    ref, first, place = ref[order], first[order], place[order]
+    texts_ = slices.column("cell").take(pa.array(order)).to_pylist()
+    edge = np.r_[0, np.cumsum([len(t) for t in texts_])]
+    begin, end, words = word_hashes(np.frombuffer(b"".join(texts_), np.uint8), edge[:-1])
+    cut = np.searchsorted(begin, edge)
+    other, low = chains_.column("other").to_numpy(), chains_.column("low").to_numpy()
+    # the last slice of the document that begins at the chain or before
+    code = np.unique(ref)
+    lift = int(max(first.max(), low.max())) + 1
+    at = np.searchsorted(np.searchsorted(code, ref) * lift + first, np.searchsorted(code, other) * lift + low, side="right") - 1
+    mine = np.searchsorted(x.did, ours)
+    cells = chains_.column("cell").to_pylist()
+    whole = -1  # the document that lies as a whole in one passage: later references give it nothing more
+    for n in np.lexsort((low, other, ours)).tolist():
+        k, i, cell = int(at[n]), int(mine[n]), cells[n]
+        if i == whole and ours[n] > other[n]:
+            continue
+        s, e, w = int(x.first[i]), int(x.first[i + 1]), int(cut[k])
+        a, b = (np.cumsum(c, dtype=np.int64) for c in columns(cell, len(cell) // 8, np.uint32, np.uint32))
+        here, there = int(x.bounds[i]), int(place[k]) - int(edge[k])
+        for i1, i2, j1, j2, size, near in passages(x.hash[s:e], words[w : cut[k + 1]], a, b - first[k], seed, min_words, similarity):
+            one = (int(ours[n]), int(x.begin[s + i1]) - here, int(x.end[s + i2 - 1]) - here)
+            two = (int(other[n]), int(begin[w + j1]) + there, int(end[w + j2 - 1]) + there)
+            out.append((*one, *two, size, near) if one[:2] > two[:2] else (*two, *one, size, near))
+            if i1 == 0 and i2 == e - s and ours[n] > other[n]:
+                whole = i
+                covered.append(int(ours[n]))
+    return out, covered
+
+
+def aligned(texts: DataFrame, rows: DataFrame, seed: int, min_words: int, similarity: float, gap: float, last: bool) -> DataFrame:
+    """Passages along the chains of each block: as rows if it is the last time, else in one cell (block, DONE, low: how many,
+    cell), with the chains along the block's pairs of stretches and their requests."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            kind = right.column("kind").to_numpy()
-            chains_, slices = right.filter(pa.array(kind == CHAIN)), right.filter(pa.array(kind == ASK))
-            ours = chains_.column("did").to_numpy()
-            x = Words(left.filter(pa.array(np.isin(left.column("did").to_numpy(), ours))))
-            x.hashes()
-            # the other documents' slices, end to end, in the order of document and place
-            ref, first, place = (slices.column(c).to_numpy() for c in ("other", "low", "high"))
-            order = np.lexsort((first, ref))
-            ref, first, place = ref[order], first[order], place[order]
-            texts_ = slices.column("cell").take(pa.array(order)).to_pylist()
-            edge = np.r_[0, np.cumsum([len(t) for t in texts_])]
-            begin, end, words = word_hashes(np.frombuffer(b"".join(texts_), np.uint8), edge[:-1])
-            cut = np.searchsorted(begin, edge)
-            other, low = chains_.column("other").to_numpy(), chains_.column("low").to_numpy()
-            # the last slice of the document that begins at the chain or before
-            code = np.unique(ref)
-            lift = int(max(first.max(), low.max())) + 1
-            at = np.searchsorted(np.searchsorted(code, ref) * lift + first, np.searchsorted(code, other) * lift + low, side="right") - 1
-            mine = np.searchsorted(x.did, ours)
-            cells = chains_.column("cell").to_pylist()
-            whole = -1  # the document that lies as a whole in one passage: later references give it nothing more
-            for n in np.lexsort((low, other, ours)).tolist():
-                k, i, cell = int(at[n]), int(mine[n]), cells[n]
-                if i == whole and ours[n] > other[n]:
-                    continue
-                s, e, w = int(x.first[i]), int(x.first[i + 1]), int(cut[k])
-                a, b = (np.cumsum(c, dtype=np.int64) for c in columns(cell, len(cell) // 8, np.uint32, np.uint32))
-                here, there = int(x.bounds[i]), int(place[k]) - int(edge[k])
-                for i1, i2, j1, j2, size, near in passages(x.hash[s:e], words[w : cut[k + 1]], a, b - first[k], seed, min_words, similarity):
-                    one = (int(ours[n]), int(x.begin[s + i1]) - here, int(x.end[s + i2 - 1]) - here)
-                    two = (int(other[n]), int(begin[w + j1]) + there, int(end[w + j2 - 1]) + there)
-                    out.append((*one, *two, size, near) if one[:2] > two[:2] else (*two, *one, size, near))
-                    if i1 == 0 and i2 == e - s and ours[n] > other[n]:
-                        whole = i
+        none = np.zeros(0, np.int64)
+        kind = right.column("kind").to_numpy() if right.num_rows else none
+        chains_, slices, pairs, done = (right.filter(pa.array(kind == k)) for k in (CHAIN, ASK, PAIR, DONE))
+        out, covered = passages_of(left, chains_, slices, seed, min_words, similarity) if chains_.num_rows else ([], [])
+        held = [columns(c, n, *DONE_KINDS) for c, n in zip(done.column("cell").to_pylist(), done.column("low").to_pylist(), strict=True)]
         cols = list(zip(*out, strict=True)) or [()] * 8
+        cols = [np.concatenate([np.array(c, t), *(h[k] for h in held)]) for k, (c, t) in enumerate(zip(cols, DONE_KINDS, strict=True))]
         names = ["did", "start", "stop", "ref", "ref_start", "ref_stop", "n_words", "similarity"]
-        return outer(pa.table([pa.array(c, pa.float64() if k == 7 else pa.int64()) for k, c in enumerate(cols)], names))
+        found = outer(pa.table([pa.array(c) for c in cols], names))
+        if last:
+            return found
+        block = right.column("block")[0].as_py() if right.num_rows else 0
+        zero = np.zeros(min(found.num_rows, 1), np.int64)
+        rows = [found_rows(block, DONE, zero, zero, zero + found.num_rows, zero, [planes(*(c.to_numpy() for c in found.columns))] if len(zero) else [])]
+        if pairs.num_rows:
+            rows.append(bridged(block, chains_, pairs, np.array(covered, np.int64), seed, gap))
+        return pa.concat_tables(rows)
 
-    return texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, PASSAGES)
+    return texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, PASSAGES if last else FOUND)
 
 
 def outer(found: pa.Table) -> pa.Table:
@@ -738,12 +744,12 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     # One plan: the texts are shuffled once, by block, and that exchange serves all four steps that read them.
     texts = one.select(block_of("did").alias("block"), "did", "text").repartition(n, "block")
     replies = partners(sown(texts, seed, window, long, long_window, RARE), RARE).repartition(n, "block")
-    found = linked(texts, replies, seed, window, long, long_window)
-    found = found.withColumn("dest", F.when(F.col("kind") == STRETCH, F.col("other").cast("int")).otherwise(F.col("block"))).repartition(n, "dest")
-    found = chained(paired(found).repartition(n, "block"), seed, gap)
-    found = found.withColumn("dest", F.when(F.col("kind") == ASK, block_of("other")).otherwise(F.col("block"))).repartition(n, "dest")
-    rows = served(texts, found).repartition(n, "block")
-    out = outermost(aligned(texts, rows, seed, min_words, similarity))
+    found = linked(texts, replies, seed, window, long, long_window, gap)
+    for last in (False, True):  # chains with partners, then along stretches
+        dest = F.when(F.col("kind") == ASK, block_of("other")).when(F.col("kind") == STRETCH, F.col("other").cast("int")).otherwise(F.col("block"))
+        rows = served(texts, found.withColumn("dest", dest).repartition(n, "dest")).repartition(n, "block")
+        found = aligned(texts, rows, seed, min_words, similarity, gap, last)
+    out = outermost(found)
     return named(out.withColumnsRenamed({"did": "doc_id", "ref": "ref_doc_id"}), "doc_id", "ref_doc_id")
 
 
