@@ -9,6 +9,9 @@ Documents are dealt into blocks of some megabytes, which stay where they are in
    costs a few rows for each block, never a pair for each two places, and what is found doesn't depend on the blocks.
    The long seeds are for passages that are put together from several earlier ones: whatever repeats LONG_RUN words
    meets an earlier place that has LONG of them in one piece.
+   What else frequent seeds have in common is found by stretches: two seeds at most REACH words apart, one of both frequent,
+   with the words between. Each two different stretches with the same ends are paired, however many there are; the first of
+   those that are alike word for word stands for all. Documents that lie as a whole in one passage need no more.
 2. Chains: the matches of a document with another are chained by word order in both, a Fenwick tree giving the best chain
    so far; each skipped word costs GAP.
 3. Alignment: the other document's words come from its block, one request for each block. A chain is aligned from seed to
@@ -49,6 +52,8 @@ STRIDE = 16
 #: Pairs of stretches that are made at once.
 PAIRS = 1 << 20
 BLOCK = 2 << 20
+#: Bytes of texts that a task holds before it deals them to blocks.
+PACK = 32 << 20
 #: Parts of the seeds in each partition, which are matched one after the other.
 PARTS = 4
 BASE = 0x9E3779B97F4A7C15
@@ -105,6 +110,53 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return mix64(out + np.uint64(n))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows (block, did, text) as one compressed cell for each block in each PACK bytes of a partition: (block, n, size, cell)."""
+
+    def cells(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        block = table.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        did = table.column("did").to_numpy()[order]
+        data, bounds = text_bytes(pa.concat_arrays(table.column("text").chunks))
+        data = data.tobytes()
+        block, low, high = block[order], bounds[:-1][order].tolist(), bounds[1:][order].tolist()
+        edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+        size, out = [], []
+        for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            lengths = np.array(high[s:e], np.int64) - np.array(low[s:e], np.int64)
+            cell = b"".join([did[s:e].tobytes(), lengths.tobytes(), *(data[a:z] for a, z in zip(low[s:e], high[s:e], strict=True))])
+            size.append(len(cell))
+            out.append(pa.compress(cell, codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(block[edge[:-1]], pa.int32()), pa.array(np.diff(edge), pa.int32()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["block", "n", "size", "cell"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACK:
+                yield from small(cells(held), 200)
+                held, size = [], 0
+        if held:
+            yield from small(cells(held), 200)
+
+    return rows.select("block", "did", "text").mapInArrow(run, "block int, n int, size bigint, cell binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The documents (did, text) of packed rows."""
+    out = []
+    for n, size, cell in zip(*(table.column(c).to_pylist() for c in ("n", "size", "cell")), strict=True):
+        cell = pa.decompress(cell, decompressed_size=size, codec="zstd")
+        did, lengths = (np.frombuffer(cell, np.int64, n, 8 * n * k) for k in (0, 1))
+        bounds = np.r_[0, np.cumsum(lengths)]
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), cell.slice(16 * n)])
+        out.append(pa.table([pa.array(did), text], ["did", "text"]))
+    return pa.concat_tables(out)
+
+
 class Words:
     """The words of a block's documents, by document."""
 
@@ -201,7 +253,7 @@ def sown(texts: DataFrame, seed: int, window: int, long: int, long_window: int,
     parts = PARTS * partitions(texts.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        x = Words(table)
+        x = Words(unpacked(table))
         x.hashes()
         key, own, word, _ = x.seeds(seed, window, long, long_window)
         did = x.did[own]
@@ -436,7 +488,7 @@ def linked(texts: DataFrame, replies: DataFrame, seed: int, window: int, long: i
         if not left.num_rows or not right.num_rows:
             return found_rows(0, 0, none, none, none, none, None)
         block = left.column("block")[0].as_py()
-        x = Words(left)
+        x = Words(unpacked(left))
         x.hashes()
         seeds = x.seeds(seed, window, long, long_window)
         got = [columns(c, n, np.uint64, np.int64, np.uint32, np.uint8) for c, n in zip(right.column("cell").to_pylist(), right.column("n").to_pylist(), strict=True)]
@@ -510,7 +562,8 @@ def served(texts: DataFrame, found: DataFrame) -> DataFrame:
             out += paired(right.filter(pa.array(kind == STRETCH)))
         right = right.filter(pa.array(kind == ASK))
         if right.num_rows:
-            x = Words(left)
+            left = unpacked(left)
+            x = Words(left.filter(pa.array(np.isin(left.column("did").to_numpy(), right.column("other").to_numpy()))))
             x.places()
             ref, low, high = (right.column(c).to_numpy() for c in ("other", "low", "high"))
             i = np.searchsorted(x.did, ref)
@@ -639,6 +692,7 @@ def passages_of(left: pa.Table, chains_: pa.Table, slices: pa.Table, seed: int,
     out: list[tuple] = []
     covered: list[int] = []
     ours = chains_.column("did").to_numpy()
+    left = unpacked(left)
     x = Words(left.filter(pa.array(np.isin(left.column("did").to_numpy(), ours))))
     x.hashes()
     # the other documents' slices, end to end, in the order of document and place
@@ -742,7 +796,7 @@ def fuzzy_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     block_of = lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")
     n = partitions(spark)
     # One plan: the texts are shuffled once, by block, and that exchange serves all four steps that read them.
-    texts = one.select(block_of("did").alias("block"), "did", "text").repartition(n, "block")
+    texts = packed(one.select(block_of("did").alias("block"), "did", "text")).repartition(n, "block")
     replies = partners(sown(texts, seed, window, long, long_window, RARE), RARE).repartition(n, "block")
     found = linked(texts, replies, seed, window, long, long_window, gap)
     for last in (False, True):  # chains with partners, then along stretches
