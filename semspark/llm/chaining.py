@@ -11,7 +11,8 @@ Documents are dealt into blocks of some megabytes, which stay where they are in
    meets an earlier place that has LONG of them in one piece.
    What else frequent seeds have in common is found by stretches: two seeds at most REACH words apart, one of both frequent,
    with the words between. Each two different stretches with the same ends are paired, however many there are; the first of
-   those that are alike word for word stands for all. Documents that lie as a whole in one passage need no more.
+   those that are alike word for word stands for all. Two documents whose seeds lie in one passage of the later one need
+   no more: what they give would lie in it too.
 2. Chains: the matches of a document with another are chained by word order in both, a Fenwick tree giving the best chain
    so far; each skipped word costs GAP.
 3. Alignment: the other document's words come from its block, one request for each block. A chain is aligned from seed to
@@ -62,7 +63,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31337))
+_FOLDED = mix64(np.arange(256, dtype=np.uint64) + np.uint64(31337))[_LOWER]
 
 
 def word_places(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,18 +81,24 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     begin, end = word_places(data, bounds)
     # the odd base's powers are taken within words, so long blocks need no long tables
     size = end - begin
-    h = np.zeros(len(begin), np.uint64)
-    low = _VALUE[_LOWER[data]]
     step = np.uint64(BASE)
-    short = np.flatnonzero(size > 0)
-    at = 0
-    while len(short):
-        h[short] = h[short] * step + low[begin[short] + at]
-        at += 1
-        short = short[size[short] > at] if at < 64 else short[:0]
+    # longest words first: those that have one more letter come before the others
+    least = np.minimum(size, 64).astype(np.uint8)
+    order = np.argsort(np.uint8(64) - least, kind="stable")
+    left = np.cumsum(np.bincount(least, minlength=65)[::-1])[::-1]  # how many words have so many letters, or more
+    at = begin[order]
+    sorted_ = np.zeros(len(begin), np.uint64)
+    for k in range(64):
+        n = int(left[k + 1])
+        if not n:
+            break
+        sorted_[:n] *= step
+        sorted_[:n] += _FOLDED[data[at[:n] + k]]
+    h = np.empty_like(sorted_)
+    h[order] = sorted_
     for i in np.flatnonzero(size > 64).tolist():
         for part in range(64, int(size[i]), 4096):
-            x = low[begin[i] + part : min(end[i], begin[i] + part + 4096)]
+            x = _FOLDED[data[begin[i] + part : min(end[i], begin[i] + part + 4096)]]
             h[i] = mix64((h[i : i + 1] ^ np.bitwise_xor.reduce(mix64(x + np.arange(len(x), dtype=np.uint64) * step))))[0]
     return begin, end, mix64(h + size.astype(np.uint64))
 
@@ -181,27 +188,31 @@ class Words:
         #: a document's words are those from first[i] to first[i + 1]
         self.first = np.searchsorted(self.begin, self.bounds)
 
-    def sampled(self, seed: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    def sampled(self, seed: int, window: int, ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Places of the smallest shingle of each window, the first if tied, and their hashes. A document of fewer
-        shingles than a window has one window."""
+        shingles than a window has one window. With ends, also each document's first and last shingle."""
         s = shingles(self.hash, seed)
         none = np.uint64(0xFFFFFFFFFFFFFFFF)
         if not len(s):
             return np.zeros(0, np.int64), s
         i = np.arange(len(s))
-        own = np.searchsorted(self.first, i, side="right") - 1
+        own = np.repeat(np.arange(len(self.did)), np.diff(self.first))[: len(s)]
         last = self.first[own + 1] - seed  # a document's last shingle
         ok = i <= last
         index = np.uint64(0xFFFFFFFF)
         keyed = np.where(ok, s & ~index | i.astype(np.uint64), none)
         low = sliding_min(np.r_[keyed, np.full(window, none)], window)[: len(s)]
         use = ok & (i <= np.maximum(self.first[own], last - window + 1))
-        at = np.unique((low[use] & index).astype(np.int64))
+        mark = np.zeros(len(s), bool)
+        mark[(low[use] & index).astype(np.int64)] = True
+        if ends:
+            mark |= ok & ((i == self.first[own]) | (i == last))
+        at = np.flatnonzero(mark)
         return at, s[at]
 
     def seeds(self, seed: int, window: int, long: int, long_window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Key, document's index, word and width of all seeds, sorted by key, document and word."""
-        a, ka = self.sampled(seed, window)
+        a, ka = self.sampled(seed, window, ends=True)
         b, kb = self.sampled(long, long_window)
         at, key = np.r_[a, b], np.r_[ka, mix64(kb)]
         width = np.r_[np.full(len(a), seed), np.full(len(b), long)]
@@ -321,8 +332,9 @@ def partners(found: DataFrame, rare: int) -> DataFrame:
     return found.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "block int, n int, cell binary")
 
 
-def chains(x: np.ndarray, y: np.ndarray, worth: float, gap: float) -> list[np.ndarray]:
-    """Index arrays of collinear chains over matches (x, y), best first; each match is in one at most.
+def chains(x: np.ndarray, y: np.ndarray, worth: float, gap: float, least: int = 0) -> list[np.ndarray]:
+    """Index arrays of collinear chains over matches (x, y), best first; each match is in one at most. Those whose ends are
+    fewer than least words apart, in x or in y, are left out.
 
     score[i] = worth + max(0, score[j] - gap * (words skipped)) over j before i in x and in y. As the skipped words are
     those between j and i in x and in y, halved, the best j has the greatest score[j] + gap * (x + y) / 2: a prefix
@@ -330,16 +342,24 @@ def chains(x: np.ndarray, y: np.ndarray, worth: float, gap: float) -> list[np.nd
     """
     order = np.lexsort((y, x))
     xs, ys = x[order], y[order]
-    if len(xs) > 1 and (np.diff(xs) > 0).all() and (ys - xs == ys[0] - xs[0]).all():  # one diagonal
-        cost = np.diff(xs)
+    dx, dy = xs[1:] - xs[:-1], ys[1:] - ys[:-1]
+    if len(xs) > 1 and (dx > 0).all() and (dx == dy).all():  # one diagonal
+        cost = dx
         return [order[a] for a in np.split(np.arange(len(xs)), np.flatnonzero(gap * cost > worth * 4) + 1)]
-    rank = np.searchsorted(np.unique(ys), ys) + 1
-    n = int(rank.max())
-    tree: list[tuple[float, int]] = [(-1e300, -1)] * (n + 1)
     score, back = [0.0] * len(xs), [-1] * len(xs)
-    xl, yl, rl = xs.tolist(), ys.tolist(), rank.tolist()
+    xl, yl = xs.tolist(), ys.tolist()
+    if rising := bool((dx > 0).all() and (dy > 0).all()):  # the best j is always the last one
+        gain = 0.0
+        for i in range(len(xl)):
+            if i:
+                gain = score[i - 1] + gap * (xl[i - 1] + yl[i - 1]) / 2 - gap * (xl[i] + yl[i]) / 2
+            score[i], back[i] = (worth + gain, i - 1) if gain > 0 else (worth, -1)
+    rank = [] if rising else np.searchsorted(np.unique(ys), ys) + 1
+    n = 0 if rising else int(rank.max())
+    tree: list[tuple[float, int]] = [(-1e300, -1)] * (n + 1)
+    rl = [] if rising else rank.tolist()
     waiting: list[int] = []
-    for i in range(len(xl)):
+    for i in range(len(rl)):
         if waiting and xl[waiting[0]] != xl[i]:  # matches at the same word don't follow each other
             for j in waiting:
                 v, r = (score[j] + gap * (xl[j] + yl[j]) / 2, j), rl[j]
@@ -364,7 +384,7 @@ def chains(x: np.ndarray, y: np.ndarray, worth: float, gap: float) -> list[np.nd
             used[i] = True
             chain.append(i)
             i = back[i]
-        if chain:
+        if chain and min(xl[chain[0]] - xl[chain[-1]], yl[chain[0]] - yl[chain[-1]]) >= least:
             out.append(order[chain[::-1]])
     return out
 
@@ -464,7 +484,7 @@ def chain_rows(block: int, did: np.ndarray, other: np.ndarray, a: np.ndarray, b:
     cut = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1]), True]) if len(did) else none
     out, cells = [], []
     for s, e in zip(cut.tolist(), cut[1:].tolist(), strict=False):
-        for c in chains(a[s:e], b[s:e], float(seed), gap):
+        for c in chains(a[s:e], b[s:e], float(seed), gap, LEAST_CHAIN - seed):
             xs, ys = a[s + c], b[s + c]
             if min(xs[-1] - xs[0], ys[-1] - ys[0]) + seed >= LEAST_CHAIN:
                 cell = planes(np.diff(xs, prepend=0).astype(np.uint32), np.diff(ys, prepend=0).astype(np.uint32))
@@ -577,13 +597,33 @@ def served(texts: DataFrame, found: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(found.groupBy("dest")).applyInArrow(run, FOUND)
 
 
-def bridged(block: int, chains_: pa.Table, pairs: pa.Table, whole: np.ndarray, seed: int, gap: float) -> pa.Table:
+def within(did: np.ndarray, low: np.ndarray, high: np.ndarray, covered: np.ndarray, seed: int) -> np.ndarray:
+    """Whether the words from low to high of a document lie in one of its passages (did, low, high, words of the document),
+    with the MARGIN words at either side that an alignment may look at. At the ends of a document, whose first and last
+    shingles are seeds, fewer words than a seed may be left."""
+    if not len(covered):
+        return np.zeros(len(did), bool)
+    one, begin, end, words = covered[np.lexsort(covered.T[1::-1])].T
+    docs, first = np.unique(one, return_index=True)
+    at = np.minimum(np.searchsorted(docs, did), len(docs) - 1)
+    n = words[first][at]
+    low = np.maximum(low - MARGIN, np.minimum(low, seed - 1))
+    high = np.minimum(high + MARGIN, np.maximum(high, n - seed + 1))
+    lift = int(words.max()) + 1
+    rank = np.searchsorted(docs, one) * lift
+    last = np.searchsorted(rank + begin, at * lift + low, side="right") - 1  # the last passage that begins there or before
+    farthest = np.maximum.accumulate(rank + end)
+    return (docs[at] == did) & (last >= first[at]) & (farthest[last] >= at * lift + high)
+
+
+def bridged(block: int, chains_: pa.Table, pairs: pa.Table, covered: np.ndarray, seed: int, gap: float) -> pa.Table:
     """Chains along the ends of pairs of stretches, and along these together with the chains that the same two documents have
-    already. A document that lies as a whole in one passage needs none."""
+    already. Two documents whose seeds all lie within one passage that the later one has already need none: what they give
+    would lie within that passage."""
     got = [columns(c, n, *PAIR_KINDS) for c, n in zip(pairs.column("cell").to_pylist(), pairs.column("low").to_pylist(), strict=True)]
+    whole = covered[(covered[:, 1] == 0) & (covered[:, 2] == covered[:, 3]), 0]
+    got = [[v[use] for v in g] for g in got for use in (~np.isin(g[0], whole),)]
     did, other, a, b, more, more2 = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(6))
-    use = ~np.isin(did, whole)
-    did, other, a, b, more, more2 = (v[use] for v in (did, other, a, b, more, more2))
     meets = set(zip(did.tolist(), other.tolist(), strict=True))
     known, held = set(), [(did, other, a, b), (did, other, a + more, b + more2)]
     for one, to, cell in zip(*(chains_.column(c).to_pylist() for c in ("did", "other", "cell")), strict=True):
@@ -597,56 +637,77 @@ def bridged(block: int, chains_: pa.Table, pairs: pa.Table, whole: np.ndarray, s
     if len(did):
         first = np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         did, other, a, b = (v[first] for v in (did, other, a, b))
+        cut = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (other[1:] != other[:-1]), True])
+        use = np.repeat(~within(did[cut[:-1]], a[cut[:-1]], a[cut[1:] - 1] + seed, covered, seed), np.diff(cut))
+        did, other, a, b = (v[use] for v in (did, other, a, b))
     return chain_rows(block, did, other, a, b, seed, gap, known)
 
 
 def distance(a: list[int], b: list[int]) -> int:
     """Edit distance of word sequences, by bit-parallel columns (the whole of b in one integer)."""
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k] == b[k]:
         k += 1
-    a, b = a[k:], b[k:]
+    n, z = n - k, 0
+    while z < n and a[-1 - z] == b[-1 - z]:
+        z += 1
+    a, b = a[k : len(a) - z], b[k : len(b) - z]
     if not a or not b:
         return len(a) + len(b)
     places: dict[int, int] = {}
     for i, x in enumerate(b):
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(b)) - 1
-    top = 1 << (len(b) - 1)
-    up, down, d = full, 0, len(b)
+    up, down = full, 0
     for x in a:
         eq = places.get(x, 0)
         v = eq | down
         eq |= (((eq & up) + up) ^ up)
         more = down | ~(eq | up) & full
         less = up & eq
-        d += bool(more & top) - bool(less & top)
         more = more << 1 | 1
         up = (less << 1 | ~(v | more)) & full
         down = more & v & full
-    return d
+    return len(a) + up.bit_count() - down.bit_count()  # the last column: its top, and all steps down from there
+
+
+def nearest(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of words of which it is known that it is at most so much: so many words of one that the other has not,
+    counting repeats, have to be edited, and mostly that is as much."""
+    n = min(len(a), len(b))
+    same = a[:n] == b[:n]
+    k = n if same.all() else int(same.argmin())
+    same = a[k:][::-1][: n - k] == b[k:][::-1][: n - k]
+    z = n - k if same.all() else int(same.argmin())
+    a, b = a[k : len(a) - z], b[k : len(b) - z]
+    _, at = np.unique(np.r_[a, b], return_inverse=True)
+    more = np.bincount(at[: len(a)], minlength=len(at)) - np.bincount(at[len(a) :], minlength=len(at))
+    if max(int(np.maximum(more, 0).sum()), int(np.maximum(-more, 0).sum())) == most:
+        return most
+    return distance(a.tolist(), b.tolist())
 
 
 def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How many words from the beginning of a and b on agree, some mismatches (up to a drop of 6 from the best) being passed
     over; and how many of these mismatch."""
     n = min(len(a), len(b))
-    for reach in (64, n):  # mostly short
-        same = a[: min(n, reach)] == b[: min(n, reach)]
-        score = np.cumsum(np.where(same, 1, -2))
-        bad = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > 6)
-        if len(bad) or reach >= n:
+    for reach in (min(n, 64), n):  # mostly short
+        best, most, wrong, k = 0, 0, 0, 0  # how many words, worth 1 each and -2 if they mismatch; how many do
+        for at in [*(a[:reach] != b[:reach]).nonzero()[0].tolist(), reach]:
+            score = at - 3 * k
+            if score > most:
+                best, most, wrong = at, score, k
+            if at < reach and most - (score - 2) > 6:
+                return best, wrong
+            k += 1
+        if reach == n:
             break
-    score = score[: bad[0]] if len(bad) else score
-    best = int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
-    return best, best - int(same[:best].sum())
+    return best, wrong
 
 
 def passages(ha: np.ndarray, hb: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
     """Stretches (begin, end in a; begin, end in b; words; similarity) along a chain of matches (x, y) of the words ha, hb."""
-    dx, dy = np.diff(x), np.diff(y)
+    dx, dy = x[1:] - x[:-1], y[1:] - y[:-1]
     edits = np.zeros(len(dx), np.int64)
     level = dx == dy
     for k in np.flatnonzero(~level | (dx > seed)).tolist():
@@ -675,7 +736,7 @@ def passages(ha: np.ndarray, hb: np.ndarray, x: np.ndarray, y: np.ndarray, seed:
             continue
         near = 1 - wrong / n
         if (wrong > 2 or i2 - i != j2 - j) and near >= similarity - CLOSE:  # edits along the chain may be a few more than needed
-            near = 1 - distance(ha[i:i2].tolist(), hb[j:j2].tolist()) / n
+            near = 1 - nearest(ha[i:i2], hb[j:j2], wrong) / n
         if near >= similarity:
             out.append((i, i2, j, j2, n, near))
         elif e > s:
@@ -687,10 +748,11 @@ def passages(ha: np.ndarray, hb: np.ndarray, x: np.ndarray, y: np.ndarray, seed:
 PASSAGES = "did bigint, start bigint, stop bigint, ref bigint, ref_start bigint, ref_stop bigint, n_words bigint, similarity double"
 
 
-def passages_of(left: pa.Table, chains_: pa.Table, slices: pa.Table, seed: int, min_words: int, similarity: float) -> tuple[list[tuple], list[int]]:
-    """Passages along the chains of a block, given the other documents' words; and which documents lie as a whole in one."""
+def passages_of(left: pa.Table, chains_: pa.Table, slices: pa.Table, seed: int, min_words: int, similarity: float) -> tuple[list[tuple], list[tuple[int, int, int, int]]]:
+    """Passages along the chains of a block, given the other documents' words; and of those of the block's documents: did,
+    first word, word after the last, and the document's words."""
     out: list[tuple] = []
-    covered: list[int] = []
+    covered: list[tuple[int, int, int, int]] = []
     ours = chains_.column("did").to_numpy()
     left = unpacked(left)
     x = Words(left.filter(pa.array(np.isin(left.column("did").to_numpy(), ours))))
@@ -722,9 +784,10 @@ def passages_of(left: pa.Table, chains_: pa.Table, slices: pa.Table, seed: int,
             one = (int(ours[n]), int(x.begin[s + i1]) - here, int(x.end[s + i2 - 1]) - here)
             two = (int(other[n]), int(begin[w + j1]) + there, int(end[w + j2 - 1]) + there)
             out.append((*one, *two, size, near) if one[:2] > two[:2] else (*two, *one, size, near))
+            if one[:2] > two[:2]:
+                covered.append((one[0], i1, i2, e - s))
             if i1 == 0 and i2 == e - s and ours[n] > other[n]:
                 whole = i
-                covered.append(int(ours[n]))
     return out, covered
 
 
@@ -748,7 +811,7 @@ def aligned(texts: DataFrame, rows: DataFrame, seed: int, min_words: int, simila
         zero = np.zeros(min(found.num_rows, 1), np.int64)
         rows = [found_rows(block, DONE, zero, zero, zero + found.num_rows, zero, [planes(*(c.to_numpy() for c in found.columns))] if len(zero) else [])]
         if pairs.num_rows:
-            rows.append(bridged(block, chains_, pairs, np.array(covered, np.int64), seed, gap))
+            rows.append(bridged(block, chains_, pairs, np.array(covered, np.int64).reshape(-1, 4), seed, gap))
         return pa.concat_tables(rows)
 
     return texts.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, PASSAGES if last else FOUND)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from semspark.llm import chaining, nndescent, simhash, substrings, topk
@@ -511,6 +512,58 @@ def no_run(t, v):
     return all(t[w + s : w + s + 4] != t[w : w + 4] for w in v[1:] for s in (-4, -3, -2, -1, 1, 2, 3, 4) if w + s >= 0)
 
 
+def test_near_copies_that_no_passage_covers_as_a_whole(spark, monkeypatch):
+    """Near copies whose last words but one differ: two of them whose seeds all lie in a passage that the later one has already
+    are not chained along stretches, so chains don't grow with the square of the copies; every copy has its passage."""
+    r, n, made, real = random.Random(8), 300, [], chaining.aligned
+    p = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(n):
+        q = [f"x{i}a{k}" if r.random() < 0.02 and 10 < k < 140 else w for k, w in enumerate(p)]
+        q[148] = f"x{i}"
+        docs.append(" ".join(q))
+
+    def aligned(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(chaining, "aligned", aligned)
+    got = chaining.fuzzy_passages(documents(spark, [(i, t, None, None, None) for i, t in enumerate(docs)])).collect()
+    assert made[0].filter(F.col("kind") == chaining.CHAIN).count() < 10 * n
+    assert {g.doc_id for g in got if g.n_words >= 147} == set(range(1, n))
+
+
+def test_what_lies_within_a_passage():
+    """Brute force: words with MARGIN more at either side, in one passage; fewer than a seed's may be left at a document's ends."""
+    r = random.Random(4)
+    words = {d: r.choice((3, 60, 150, 400)) for d in range(0, 40, 2)}
+    covered = []
+    for d in r.sample(sorted(words), 15):
+        for _ in range(r.randint(1, 4)):
+            low = min(r.choice((0, 2, 3, 5, r.randrange(words[d]))), words[d] - 1)
+            covered.append((d, low, r.choice((words[d], max(words[d] - 3, low + 1), r.randint(low, words[d]))), words[d]))
+    covered = np.array(covered, np.int64)
+    asked = []
+    for _ in range(3000):
+        d = r.randrange(41)
+        n = words.get(d, 50)
+        low = r.choice((0, min(4, n - 1), r.randrange(n)))
+        asked.append((d, low, r.choice((n, max(low + 1, n - 4), r.randint(low + 1, n)))))
+    m, s = chaining.MARGIN, 4
+    want = [any(c == d and a <= max(low - m, min(low, s - 1)) and z >= min(high + m, max(high, n - s + 1)) for c, a, z, n in covered.tolist()) for d, low, high in asked]
+    assert chaining.within(*np.array(asked, np.int64).T, covered, s).tolist() == want
+    assert 50 < sum(want) < 2500
+
+
+def test_nearest_is_the_edit_distance():
+    r = random.Random(6)
+    for _ in range(300):
+        a = [r.randrange(r.choice((3, 40))) for _ in range(r.randint(1, 40))]
+        b = [x if r.random() > 0.2 else r.randrange(40) for x in a if r.random() > 0.1] or [1]
+        d = edit(a, b)
+        assert chaining.nearest(np.array(a), np.array(b), d) == chaining.nearest(np.array(a), np.array(b), d + 2) == d
+
+
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     texts, voc, r = prose(41, 12, (50, 60), 4000)
     p = [r.choice(voc) for _ in range(60)]
